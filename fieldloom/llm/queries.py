@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import importance, langid, near_dedup, quality_rules
+from fieldloom.llm import importance, langid, mixing, near_dedup, pii, quality_rules
 from fieldloom.llm.shared import table
 
 
@@ -15,6 +15,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), target, share)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit_language_model(documents.where(~langid.held_out()))
@@ -32,25 +40,85 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_source_mixing": op2_source_mixing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_importance_resampling": op6_importance_resampling,
+    "op7_pii": op7_pii,
     "op8_language_id": op8_language_id,
 }
 
 #: Links of documents by exact shingle sets, and the components they make.
 OP5_SQL = r"""
 WITH RECURSIVE
-w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-        ELSE list_distinct(list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' '))) END AS shingles FROM w),
+        ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles FROM w),
 n AS (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles FROM s),
 e AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
-common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
-link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 75 * (x.n_shingles + y.n_shingles - both)),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n_shingles + y.n_shingles - shared)),
 reach(doc_id, other) AS (SELECT a, b FROM link UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON reach.other = link.a),
 root AS (SELECT doc_id, least(doc_id, min(other)) AS component_id FROM reach GROUP BY doc_id)
 SELECT n.doc_id, n.n_shingles, coalesce(root.component_id, n.doc_id) AS component_id, n.doc_id = coalesce(root.component_id, n.doc_id) AS kept
 FROM n LEFT JOIN root USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_minhash_near_dedup": OP5_SQL}
+OP2_SQL = r"""
+WITH
+good AS (SELECT doc_id, CASE WHEN min(quality) > 0 THEN 2.0 ELSE 0.5 END::DOUBLE AS weight FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, coalesce(weight, 1.0) AS weight FROM documents LEFT JOIN good USING (doc_id)),
+k AS (SELECT doc_id, source, size, -ln((CAST(concat('0x', substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '|17')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / weight AS key FROM d),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+rated AS (SELECT *, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS rate, 2 * source_size AS cap, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE AS budget FROM per),
+level AS (SELECT *, (budget - coalesce(CAST(sum(cap) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0)) / CAST(sum(rate) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
+  FROM rated WINDOW f AS (ORDER BY CAST(cap AS DOUBLE) / rate, source NULLS LAST)),
+goal AS (SELECT source, source_size, CASE WHEN CAST(cap AS DOUBLE) / rate <= level THEN CAST(cap AS DOUBLE) ELSE rate * max(CASE WHEN CAST(cap AS DOUBLE) / rate > level THEN level END) OVER () END AS target FROM level),
+whole AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM goal),
+run AS (SELECT doc_id, source, size, CAST(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS before FROM k)
+SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN 2 * before + size <= 2 * (target - epochs * source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM run JOIN whole ON run.source IS NOT DISTINCT FROM whole.source
+"""
+
+
+def _op7_sql() -> str:
+    """Matches and the gaps between them give positions; the checks are list expressions."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "iban": pii.PATTERNS["iban"],
+        "idnumber": pii.PATTERNS["idnumber"],
+    }
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: (CAST(substr(reverse({digits}), i, 1) AS INTEGER) * (CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END)) // 10 + (CAST(substr(reverse({digits}), i, 1) AS INTEGER) * (CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END)) % 10)) % 10 = 0"
+    turned = "concat(substr(v, 5), substr(v, 1, 4))"
+    value = f"(instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr({turned}, i, 1)) - 1)"
+    checks = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(v, '.'), lambda p: NOT regexp_full_match(p, '0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})'))) = 0",
+        "card": f"length({digits}) BETWEEN 12 AND 19 AND {luhn}",
+        "phone": f"length({digits}) BETWEEN 9 AND 15",
+        "iban": f"list_reduce(list_transform(range(1, length(v) + 1), lambda i: {value}), lambda a, x: (a * (CASE WHEN x > 9 THEN 100 ELSE 10 END) + x) % 97, 0) = 1",
+        "idnumber": "regexp_matches(lower(around), 'ssn|social security|identity')",
+    }
+    parts = []
+    for order, (kind, pattern) in enumerate(patterns.items()):
+        parts.append(f"""SELECT doc, {order} AS kind_order, '{kind}' AS kind, s, s + length(v) AS e FROM (
+  SELECT doc, v, s, concat_ws(' ', substr(text, greatest(s - {pii.BEFORE}, 0) + 1, s - greatest(s - {pii.BEFORE}, 0)), substr(text, s + length(v) + 1, {pii.AFTER})) AS around FROM (
+  SELECT doc, text, found[i] AS v, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda g: length(g))), 0) AS BIGINT) AS s FROM (
+    SELECT doc, text, found, gaps, unnest(range(1, len(found) + 1)) AS i FROM (
+      SELECT doc, text, regexp_extract_all(text, '{pattern}') AS found, regexp_split_to_array(text, '{pattern}') AS gaps FROM t)))) WHERE {checks[kind]}""")
+    union = "\nUNION ALL\n".join(parts)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in pii.KINDS)
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({union}),
+per AS (SELECT doc, {counts}, string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, kind_order) AS spans,
+  string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, kind_order) FILTER (WHERE kind_order < 4) AS base FROM spans GROUP BY doc)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN per USING (doc)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_source_mixing": OP2_SQL, "op5_minhash_near_dedup": OP5_SQL, "op7_pii": _op7_sql()}
