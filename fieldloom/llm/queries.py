@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import importance, langid, mixing, near_dedup, pii, quality_rules
+from fieldloom.llm import importance, langid, mixing, near_dedup, packing, pieces, pii, quality_rules, topk
 from fieldloom.llm.shared import table
 
 
+#: Where the public tokenizers' files are; a parameter of the operators.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -19,6 +24,15 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.usable(table(spark, sf_dir, "embeddings")).withColumn("weights", topk.quantized(256.0))
+    return topk.top_k(rows.where("vec_id % 50 = 0"), rows, 5)
+
+
+def op4_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", length=2048)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,15 +52,32 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents, model, langid.held_out().alias("held_out"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "parity", "round_trip")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
+    "op3_exact_top_k": op3_exact_top_k,
+    "op4_packed_tokens": op4_packed_tokens,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_importance_resampling": op6_importance_resampling,
     "op7_pii": op7_pii,
     "op8_language_id": op8_language_id,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.w) + 1), lambda i: q.w[i] * c.w[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
 #: Links of documents by exact shingle sets, and the components they make.
 OP5_SQL = r"""
 WITH RECURSIVE
@@ -121,4 +152,4 @@ FROM t LEFT JOIN per USING (doc)
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op2_source_mixing": OP2_SQL, "op5_minhash_near_dedup": OP5_SQL, "op7_pii": _op7_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_source_mixing": OP2_SQL, "op3_exact_top_k": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op7_pii": _op7_sql()}
