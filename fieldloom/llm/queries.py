@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import importance, langid, mixing, near_dedup, packing, pieces, pii, quality_rules, topk
+from fieldloom.llm import importance, langid, mixing, near_dedup, packing, pieces, pii, quality_rules, repeats, topk
 from fieldloom.llm.shared import table
 
 
@@ -52,6 +52,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents, model, langid.held_out().alias("held_out"))
 
 
+def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.without_repeats(table(spark, sf_dir, "documents")))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "parity", "round_trip")
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_importance_resampling": op6_importance_resampling,
     "op7_pii": op7_pii,
     "op8_language_id": op8_language_id,
+    "op9_repeated_strings": op9_repeated_strings,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
