@@ -7,9 +7,9 @@ model, the merges that its scores order, byte fallback, and the decoder.
 
 ``encode`` runs batches through it, multithreaded. Where no piece of the model continues after
 a space (checked against the pieces), the text is cut before each run of spaces, which
-can't change the result, and each distinct cut of a batch is encoded once. Every
-text's ids can be held against the SentencePiece library's (``parity``), and every
-decoded text against its normalised text (``round_trip``).
+can't change the result of either library, and each distinct cut is encoded once while it is
+remembered. All ids can be held against the SentencePiece library's (``parity``): cut by cut, or
+text by text where texts aren't cut; and every decoded text against its own (``round_trip``).
 
 Defined results: null and empty texts give no ids, parity and round trip true; repeated rows
 are encoded each; texts of any length are encoded whole; an empty table gives an
@@ -130,8 +130,7 @@ class Model:
             model = models.Unigram(vocab, self.unknown, self.byte_fallback)
         t = Tokenizer(model)
         t.encode_special_tokens = True
-        steps = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-        t.decoder = decoders.Sequence([*steps, decoders.Strip(" ", 1, 0)] if self.dummy_prefix else steps)
+        t.decoder = decoders.Sequence([*([decoders.Metaspace(MARK, "never")] if self.escape else []), decoders.ByteFallback(), decoders.Fuse()])
         return t
 
 
@@ -145,6 +144,7 @@ class Codec:
         self.normalizer = self.model.normalizer()
         self.cuts = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if self.model.separable() else None
         self.seen: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # cuts whose ids differ from the library's
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         #: Without a character map and squeezing, normalising is a prefix and a replacement.
         self.plain = not self.model.char_map and not self.model.squeeze and self.model.escape
@@ -156,10 +156,11 @@ class Codec:
             return (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
         return self.normalizer.normalize_str(text)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str], verify: bool = False) -> tuple[list[np.ndarray], list[list[str]] | None]:
+        """Ids of each text, and its cuts where texts are cut."""
         normal = [self.normalized(t) for t in texts]
         if self.cuts is None:
-            return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(normal, add_special_tokens=False)]
+            return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(normal, add_special_tokens=False)], None
         parts = [self.cuts.findall(t) for t in normal]
         distinct = set().union(*parts)
         new = list(distinct.difference(self.seen))
@@ -168,10 +169,30 @@ class Codec:
             new = list(distinct)
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.seen[p] = array("i", e.ids).tobytes()
-        return [np.frombuffer(b"".join(map(self.seen.__getitem__, text)), dtype=np.int32) for text in parts]
+        if verify and self.plain:
+            for p, ids in zip(new, self._library(new), strict=True):
+                if array("i", ids).tobytes() != self.seen[p]:
+                    self.odd.add(p)
+        return [np.frombuffer(b"".join(map(self.seen.__getitem__, text)), dtype=np.int32) for text in parts], parts
+
+    def _library(self, cuts: list[str]) -> list[list[int]]:
+        """The SentencePiece library's ids of cuts. It puts a space before a text, so the cut's own first one is left out."""
+        bare = [p[1:] if self.model.dummy_prefix else p for p in cuts]
+        out = self.reference.encode([p.replace(MARK, " ") for p in bare], num_threads=1)
+        for i, p in enumerate(bare):
+            if not p:  # a single space: what it adds to a text
+                out[i] = self.reference.encode("x ")[len(self.reference.encode("x")) :]
+        return out
+
+    def parity(self, texts: list[str], ids: list[np.ndarray], parts: list[list[str]] | None) -> list[bool]:
+        """Whether each text's ids are the library's: by its cuts, each held against the library when first met, or by the whole text."""
+        if parts is not None and self.plain:
+            return [not self.odd or self.odd.isdisjoint(p) for p in parts]
+        return [x.tobytes() == array("i", y).tobytes() for x, y in zip(ids, self.reference.encode(texts, num_threads=1), strict=True)]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+        texts = self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+        return [t[1:] if t.startswith(" ") else t for t in texts] if self.model.dummy_prefix else texts
 
     def expected(self, text: str) -> str:
         """What decoding must give back: the text itself where normalising only marks spaces."""
@@ -195,10 +216,10 @@ def encode(documents: DataFrame, path: str, verify: bool = True) -> DataFrame:
             for a in range(0, whole.num_rows, 256):
                 b = whole.slice(a, 256)
                 texts = [t or "" for t in b.column(1).to_pylist()]
-                ids = c.encode(texts)
+                ids, parts = c.encode(texts, verify)
                 same = back = [None] * len(texts)
                 if verify:
-                    same = [np.array_equal(x, y) for x, y in zip(ids, c.reference.encode(texts, num_threads=1), strict=True)]
+                    same = c.parity(texts, ids, parts)
                     back = [x == c.expected(t) for x, t in zip(c.decode(ids), texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())], ["doc_id", "n_tokens", "ids", "parity", "round_trip"])
 

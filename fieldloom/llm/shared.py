@@ -15,16 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed once and stored in the folder that ``spark.checkpoint.dir`` names.
-
-    Only where that setting is empty (tests, a laptop) a temporary folder of this machine is used.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one of this machine only where that is empty (tests, a laptop)."""
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, computed once and stored in the shared folder; recovers from there if executors are lost."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
