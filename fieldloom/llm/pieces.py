@@ -10,6 +10,7 @@ a space (checked against the pieces), the text is cut before each run of spaces,
 can't change the result of either library, and each distinct cut is encoded once while it is
 remembered. All ids can be held against the SentencePiece library's (``parity``): cut by cut, or
 text by text where texts aren't cut; and every decoded text against its own (``round_trip``).
+Decoding puts together what each id gives, decoded once, and decodes runs of bytes as they come.
 
 Defined results: null and empty texts give no ids, parity and round trip true; repeated rows
 are encoded each; texts of any length are encoded whole; an empty table gives an
@@ -18,24 +19,32 @@ empty result; other columns are not read. The path must be readable on every wor
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
+from fieldloom.llm.shared import returning
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE = 600_000  # distinct cuts whose ids a worker remembers
+CACHE_BYTES = 15_000_000  # of the keys that a worker remembers in a generation, KEY_BYTES being added for each
+KEY_BYTES = 80
+THREADS = 2  # of the tokenizers library in a worker, where the environment names no number; tasks share an executor's cores
+CHUNK = 1 << 20  # bytes of texts or ids that are worked on at a time
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -134,16 +143,45 @@ class Model:
         return t
 
 
+class Recent:
+    """Values worked out for recent keys: two generations, of about ``size`` bytes of keys each and what one call asks for."""
+
+    def __init__(self, work: Callable[[list], Iterable], size: int) -> None:
+        self.work, self.size = work, size
+        self.forget()
+
+    def forget(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+        self.held = 0
+
+    def know(self, keys: set) -> dict:
+        """A dictionary that has all of ``keys``."""
+        if self.held > self.size:
+            self.old, self.young, self.held = self.young, {}, 0
+        missing = keys.difference(self.young)
+        again = missing.intersection(self.old)
+        self.young.update((k, self.old[k]) for k in again)
+        new = list(missing - again)
+        self.young.update(zip(new, self.work(new), strict=True))
+        self.held += sum(map(len, missing)) + KEY_BYTES * len(missing)
+        return self.young
+
+
 class Codec:
-    """Encodes and decodes batches with the model at a path."""
+    """Encodes and decodes batches with the model at a path; ``verify`` holds the ids of each cut against the library when first met."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, verify: bool = False) -> None:
         with open(path, "rb") as f:
             self.model = Model.parse(f.read())
+        self.verify = verify
         self.tokenizer = self.model.tokenizer()
         self.normalizer = self.model.normalizer()
         self.cuts = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if self.model.separable() else None
-        self.seen: dict[str, bytes] = {}
+        #: What each id gives on its own. Only runs of bytes depend on their neighbours.
+        self.alone = self._decoded(np.arange(len(self.model.pieces), dtype=np.int32)[:, None])
+        self.byte = np.array([kind == BYTE for _, _, kind in self.model.pieces])
+        self.seen = Recent(self._encoded, CACHE_BYTES)
         self.odd: set[str] = set()  # cuts whose ids differ from the library's
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         #: Without a character map and squeezing, normalising is a prefix and a replacement.
@@ -156,24 +194,23 @@ class Codec:
             return (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
         return self.normalizer.normalize_str(text)
 
-    def encode(self, texts: list[str], verify: bool = False) -> tuple[list[np.ndarray], list[list[str]] | None]:
+    def _encoded(self, cuts: list[str]) -> list[bytes]:
+        found = [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(cuts, add_special_tokens=False)]
+        if self.verify and self.plain:
+            self.odd.update(p for p, ids, theirs in zip(cuts, found, self._library(cuts), strict=True) if array("i", theirs).tobytes() != ids)
+        return found
+
+    def _decoded(self, ids: Iterable[np.ndarray]) -> list[str]:
+        return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[list[str]] | None]:
         """Ids of each text, and its cuts where texts are cut."""
         normal = [self.normalized(t) for t in texts]
         if self.cuts is None:
             return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(normal, add_special_tokens=False)], None
         parts = [self.cuts.findall(t) for t in normal]
-        distinct = set().union(*parts)
-        new = list(distinct.difference(self.seen))
-        if len(self.seen) + len(new) > CACHE:
-            self.seen = {}
-            new = list(distinct)
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.seen[p] = array("i", e.ids).tobytes()
-        if verify and self.plain:
-            for p, ids in zip(new, self._library(new), strict=True):
-                if array("i", ids).tobytes() != self.seen[p]:
-                    self.odd.add(p)
-        return [np.frombuffer(b"".join(map(self.seen.__getitem__, text)), dtype=np.int32) for text in parts], parts
+        known = self.seen.know(set().union(*parts))
+        return [np.frombuffer(b"".join(map(known.__getitem__, text)), dtype=np.int32) for text in parts], parts
 
     def _library(self, cuts: list[str]) -> list[list[int]]:
         """The SentencePiece library's ids of cuts. It puts a space before a text, so the cut's own first one is left out."""
@@ -185,13 +222,23 @@ class Codec:
         return out
 
     def parity(self, texts: list[str], ids: list[np.ndarray], parts: list[list[str]] | None) -> list[bool]:
-        """Whether each text's ids are the library's: by its cuts, each held against the library when first met, or by the whole text."""
+        """Whether each text's ids are the library's: by its cuts, or by the whole text."""
         if parts is not None and self.plain:
             return [not self.odd or self.odd.isdisjoint(p) for p in parts]
         return [x.tobytes() == array("i", y).tobytes() for x, y in zip(ids, self.reference.encode(texts, num_threads=1), strict=True)]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        texts = self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+        """Texts of ids: what each id gives, runs of bytes being decoded as a whole."""
+        flat = np.concatenate([np.empty(0, np.int32), *ids])
+        bounds = np.cumsum([0, *map(len, ids)])
+        shown = list(map(self.alone.__getitem__, flat.tolist()))
+        at = np.flatnonzero(self.byte[flat])
+        if len(at):
+            begins = np.concatenate([[True], (np.diff(at) > 1) | np.isin(at[1:], bounds)])
+            first, end = at[begins], at[np.append(begins[1:], True)] + 1
+            for a, b, text in zip(first.tolist(), end.tolist(), self._decoded(flat[a:b] for a, b in zip(first, end, strict=True)), strict=True):
+                shown[a:b] = [text] + [""] * (b - a - 1)
+        texts = ["".join(shown[a:b]) for a, b in pairwise(bounds.tolist())]
         return [t[1:] if t.startswith(" ") else t for t in texts] if self.model.dummy_prefix else texts
 
     def expected(self, text: str) -> str:
@@ -203,28 +250,43 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, verify: bool = False) -> Codec:
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
+    return Codec(path, verify)
+
+
+def _chunks(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows, of about ``CHUNK`` units of ``sizes`` or a single row."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(total, total[a] + CHUNK, side="right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def _sizes(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def encode(documents: DataFrame, path: str, verify: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (int32, little-endian), parity and round_trip of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(path, verify)
         for whole in batches:
-            for a in range(0, whole.num_rows, 256):
-                b = whole.slice(a, 256)
+            for b in _chunks(whole, _sizes(whole.column(1))):
                 texts = [t or "" for t in b.column(1).to_pylist()]
-                ids, parts = c.encode(texts, verify)
+                ids, parts = c.encode(texts)
                 same = back = [None] * len(texts)
                 if verify:
                     same = c.parity(texts, ids, parts)
                     back = [x == c.expected(t) for x, t in zip(c.decode(ids), texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())], ["doc_id", "n_tokens", "ids", "parity", "round_trip"])
+        c.seen.forget()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens int, ids binary, parity boolean, round_trip boolean")
+    return rows.mapInArrow(returning(run), "doc_id long, n_tokens int, ids binary, parity boolean, round_trip boolean")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -233,8 +295,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for whole in batches:
-            for a in range(0, whole.num_rows, 256):
-                b = whole.slice(a, 256)
+            for b in _chunks(whole, _sizes(whole.column(1))):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c.decode([np.frombuffer(x or b"", np.int32) for x in b.column(1).to_pylist()]), pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(returning(run), "doc_id long, text string")
