@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm import textkernel as tk
-from fieldloom.llm.shared import bounded_sample, cut, shuffle_tasks, unit_hash
+from fieldloom.llm.shared import bounded_sample, cut, returning, shuffle_tasks, unit_hash
 
 
 def _buckets(data: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +54,7 @@ def ngram_counts(documents: DataFrame, bits: int) -> DataFrame:
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
-    return documents.select("text", "target").mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return documents.select("text", "target").mapInArrow(returning(run), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def fit_ratio(documents: DataFrame, target_ids: DataFrame, bits: int = 15, smoothing: float = 1.0) -> np.ndarray:
@@ -88,7 +88,7 @@ def log_weights(documents: DataFrame, ratio: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total, mask=n == 0)], ["doc_id", "n_grams", "log_weight"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_grams long, log_weight double")
+    return rows.mapInArrow(returning(run), "doc_id long, n_grams long, log_weight double")
 
 
 def global_rank(df: DataFrame, *order) -> DataFrame:

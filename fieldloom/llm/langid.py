@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm import textkernel as tk
-from fieldloom.llm.shared import unit_hash
+from fieldloom.llm.shared import returning, unit_hash
 
 BITS = 12
 SIZE = 1 << BITS
@@ -133,7 +133,7 @@ def fit_language_model(documents: DataFrame, per_language: int = 800, clusters:
                             tf.append(np.minimum(x[some], 2**31 - 1).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.binary()), pa.array(tf, pa.binary())], ["lang", "grams", "tf"])
 
-    sample = picked.mapInArrow(run, "lang string, grams binary, tf binary").toPandas().sort_values(["lang", "grams", "tf"])
+    sample = picked.mapInArrow(returning(run), "lang string, grams binary, tf binary").toPandas().sort_values(["lang", "grams", "tf"])
     x = np.zeros((len(sample), SIZE), dtype=np.float32)
     for i, (grams, tf) in enumerate(zip(sample.grams, sample.tf, strict=True)):
         x[i, np.frombuffer(grams, np.int16)] = np.log1p(np.frombuffer(tf, np.int32))
@@ -162,7 +162,7 @@ def identify(documents: DataFrame, model: LanguageModel, *keep: Column) -> DataF
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*names, "lang_pred", "score", "rejected"])
 
     kinds = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes[1:])
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(returning(run), f"{kinds}, lang_pred string, score double, rejected boolean")
 
 
 def held_out() -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm import textkernel as tk
-from fieldloom.llm.shared import cut
+from fieldloom.llm.shared import cut, returning
 
 BATCH = 32  # hashes compared at a time
 _rng = np.random.default_rng(99)
@@ -86,7 +86,7 @@ def shingle_rows(documents: DataFrame, k: int, rows: int, bands: int) -> DataFra
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32), np.concatenate(keys) if keys else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), lists], ["doc_id", "n_shingles", "fp1", "fp2", "bands"])
 
-    return _plain(documents).mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>")
+    return _plain(documents).mapInArrow(returning(run), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>")
 
 
 def _plain(documents: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def _confirmed(documents: DataFrame, sized: DataFrame, k: int, percent: int, mis
 
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     texts = _plain(documents).join(sized.select("node", "root", "blocks", mine.alias("mine")), F.col("doc_id") == F.col("node")).select("doc_id", "root", "blocks", "mine", "text")
-    sets = texts.mapInArrow(sets_of, "doc_id long, root long, blocks int, mine int, shingles binary")
+    sets = texts.mapInArrow(returning(sets_of), "doc_id long, root long, blocks int, mine int, shingles binary")
     # Block i meets each block j: once for each unordered pair, and itself.
     dealt = sets.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "doc_id", "mine", "shingles")
 

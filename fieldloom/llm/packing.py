@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.llm.shared import returning
 from fieldloom.llm.tokens import rank_encoding
 
 SCHEMA = "sequence_id long, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, n_tokens int, token_ids binary, position_ids binary"
@@ -134,4 +135,4 @@ def pack(documents: DataFrame, tokenizer: str, length: int = 2048, chunk: int =
             yield from flush()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(returning(run), SCHEMA)

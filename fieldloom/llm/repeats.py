@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm import textkernel as tk
-from fieldloom.llm.shared import cut, shuffle_tasks
+from fieldloom.llm.shared import cut, returning, shuffle_tasks
 
 GRAM = 200  # bytes of an anchor; half of the default width
 _NO_ID = -(1 << 63)
@@ -81,7 +81,7 @@ def _anchor_rows(keyed: DataFrame, width: int, gram: int) -> DataFrame:
                 d, first, more, p, anchor, extent = anchors_of(data, off, width, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[row + d], th[row + d], first << 24 | more << 12 | p, anchor.view(np.int64), extent.view(np.int64))], ["did", "th", "at", "anchor", "extent"])
 
-    return keyed.select("did", "th", "text").mapInArrow(run, "did long, th long, at long, anchor long, extent long")
+    return keyed.select("did", "th", "text").mapInArrow(returning(run), "did long, th long, at long, anchor long, extent long")
 
 
 def _stored(keyed: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def _stored(keyed: DataFrame) -> DataFrame:
                 z.append(len(raw).to_bytes(8, "little") + (codec.compress(raw, asbytes=True) if len(raw) else b""))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(z, pa.binary())], ["doc_id", "did", "th", "z"])
 
-    return keyed.mapInArrow(run, "doc_id long, did long, th long, z binary")
+    return keyed.mapInArrow(returning(run), "doc_id long, did long, th long, z binary")
 
 
 def _text(z: bytes) -> bytes:
@@ -121,7 +121,7 @@ def _extent_rows(stored: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + 4096], strict=True), kinds, strict=True)], names)
 
     schema = "anchor long, extent long, did long, th long, at long, open boolean, kinds long, bytes binary"
-    return stored.select("did", "th", "z").join(wanted, ["did", "th"]).mapInArrow(run, schema)
+    return stored.select("did", "th", "z").join(wanted, ["did", "th"]).mapInArrow(returning(run), schema)
 
 
 def _suffixes(blobs: pa.Array, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,7 +183,7 @@ def _in_runs(extents: DataFrame, width: int) -> DataFrame:
             yield from marked(pa.Table.from_batches(held))
 
     laid = extents.repartition(shuffle_tasks(extents.sparkSession), "anchor").sortWithinPartitions("anchor")
-    return laid.mapInArrow(run, "did long, th long, first long, last long")
+    return laid.mapInArrow(returning(run), "did long, th long, first long, last long")
 
 
 def _by_suffix(extents: DataFrame, width: int) -> DataFrame:
@@ -198,7 +198,7 @@ def _by_suffix(extents: DataFrame, width: int) -> DataFrame:
             columns = [b.column(c).to_numpy(zero_copy_only=False)[row] for c in ("anchor", "extent", "did", "th", "open")]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, (at >> 24)[row] + place, hashes.view(np.int64))], ["anchor", "extent", "did", "th", "open", "first", "suffix"])
 
-    rows = extents.mapInArrow(run, "anchor long, extent long, did long, th long, open boolean, first long, suffix long")
+    rows = extents.mapInArrow(returning(run), "anchor long, extent long, did long, th long, open boolean, first long, suffix long")
     twice = rows.groupBy("anchor", "suffix").agg(F.min("extent").alias("a"), F.max("extent").alias("b")).where("a <> b").select("anchor", "suffix")
     return rows.where("open").join(twice, ["anchor", "suffix"]).select("did", "th", "first", F.col("first").alias("last"))
 
@@ -255,7 +255,7 @@ def without_repeats(documents: DataFrame, width: int = 400, **options) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "removed", "kept"])
 
     joined = _stored(_keyed(documents)).join(ranges, ["did", "th"], "left").select("doc_id", "z", "ranges")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+    return joined.mapInArrow(returning(run), "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
 
 
 def digest(cleaned: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.shared import shuffle_tasks
+from fieldloom.llm.shared import returning, shuffle_tasks
 
 BLOCK = 128  # rows of a candidate block
 GROUP = 512  # queries of a group
@@ -78,7 +78,7 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
             yield flush(np.array(held_ids, dtype=np.int64), held)
 
     laid = rows.repartitionByRange(shuffle_tasks(rows.sparkSession), "vec_id").sortWithinPartitions("vec_id")
-    return laid.mapInArrow(run, "name string, dim int, ids binary, weights binary, most binary, least binary")
+    return laid.mapInArrow(returning(run), "name string, dim int, ids binary, weights binary, most binary, least binary")
 
 
 def _matrix(blobs: pd.Series, dims: pd.Series, dim: int) -> list[np.ndarray]:
