@@ -13,8 +13,8 @@ is never one task's sort. What the plan keeps is a row for each source.
 
 Defined results: a null text has size 0, and a size of 0 takes 0; null sources are one
 source, last in order; a null id is hashed as empty and sorts first among equal keys; a null or
-non-positive weight counts as 1; repeated rows have equal keys and are taken one by one; an empty
-table gives an empty result. Input columns beside those named are not read by ``plan``, and
+non-positive weight counts as 1; repeated rows have equal keys and are taken one by one, those at the
+edge in the order of their content; an empty table gives an empty result. Input columns beside those named are not read by ``plan``, and
 ``apply`` uses names that start with ``_mix_``.
 """
 
@@ -74,7 +74,9 @@ def plan(rows: DataFrame, **options) -> DataFrame:
     within = F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     near = binned.alias("b").join(_small(edge).alias("e"), F.col("b.source").eqNullSafe(F.col("e.source")) & (F.col("bin") == F.col("last_bin"))).select("b.*", "start")
     before = F.col("start") + within - F.col("size")
-    last = near.withColumn("before", before).where("2 * before + size <= 2 * rest").groupBy("source").agg(F.max(F.struct("key", "doc_id", "size")).alias("last"))
+    fits = (2 * before + F.col("size") <= 2 * F.col("rest")).cast("int")
+    equal = near.withColumn("fits", fits).groupBy("source", "key", "doc_id", "size").agg(F.sum("fits").alias("some"), F.count("*").alias("all")).where("some > 0")
+    last = equal.groupBy("source").agg(F.max(F.struct("key", "doc_id", "size", "some", "all")).alias("last"))
     ends = edge.alias("e").join(last.alias("l"), F.col("e.source").eqNullSafe(F.col("l.source")), "left").select("e.source", "last_bin", "last")
     return cut(goal.alias("g").join(ends.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source")), "left").select("g.source", "source_size", "mean_weight", "target", "epochs", "last_bin", "last"))
 
@@ -84,12 +86,23 @@ def _small(per_source: DataFrame) -> DataFrame:
     return F.broadcast(per_source) if per_source.limit(SMALL + 1).count() <= SMALL else per_source
 
 
-def apply(rows: DataFrame, planned: DataFrame) -> DataFrame:
-    """``rows`` (with doc_id, source, size, key) with source_size, target and copies, how often the mix takes each row."""
+def apply(rows: DataFrame, planned: DataFrame, content: Column | None = None) -> DataFrame:
+    """``rows`` (with doc_id, source, size, key) with source_size, target and copies, how often the mix takes each row.
+
+    Where only some of the rows of one id, size and source fit, the first by ``content`` are taken.
+    """
     p = planned.select(F.col("source").alias("_mix_source"), "source_size", "mean_weight", "target", "epochs", "last_bin", "last")
     joined = rows.join(_small(p), F.col("source").eqNullSafe(F.col("_mix_source")))
-    inside = (_bin() < F.col("last_bin")) | ((_bin() == F.col("last_bin")) & (F.struct("key", "doc_id", "size") <= F.col("last")))
-    return joined.withColumn("copies", F.col("epochs") + F.coalesce(inside, F.lit(False)).cast("int")).drop("_mix_source", "mean_weight", "epochs", "last_bin", "last")
+    own, last = F.struct("key", "doc_id", "size"), F.struct("last.key", "last.doc_id", "last.size")
+    here = _bin() == F.col("last_bin")
+    inside = (_bin() < F.col("last_bin")) | (here & (own <= last))
+    with_copies = lambda df, extra: df.withColumn("copies", F.col("epochs") + F.coalesce(extra, F.lit(False)).cast("int")).drop("_mix_source", "mean_weight", "epochs", "last_bin", "last")
+    if planned.where("last.some < last.all").isEmpty():
+        return with_copies(joined, inside)
+    split = F.coalesce(here & (own <= last) & ~(own < last) & (F.col("last.some") < F.col("last.all")), F.lit(False))
+    nth = F.row_number().over(Window.partitionBy("source", "key", "doc_id", "size").orderBy(F.lit(0) if content is None else content))
+    edge = joined.where(split).withColumn("_mix_nth", nth)
+    return with_copies(joined.where(~split), inside).unionByName(with_copies(edge, F.col("_mix_nth") <= F.col("last.some")).drop("_mix_nth"))
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:
@@ -116,4 +129,4 @@ def mixed_rows(documents: DataFrame, labels: DataFrame, seed: int = 17, **option
     names = documents.columns
     packed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_mix_row"))
     weighed = packed.join(quality_weights(labels), "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))).withColumn("key", key_of(F.col("doc_id"), F.col("weight"), seed))
-    return apply(weighed, planned).where("copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_mix_row.*")
+    return apply(weighed, planned, F.xxhash64("_mix_row")).where("copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_mix_row.*")
