@@ -81,10 +81,10 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
     return laid.mapInArrow(returning(run), "name string, dim int, ids binary, weights binary, most binary, least binary")
 
 
-def _matrix(blobs: pd.Series, dims: pd.Series, dim: int) -> list[np.ndarray]:
+def _matrix(blobs: pd.Series, rows: list[int], dims: pd.Series, dim: int) -> list[np.ndarray]:
     out = []
-    for blob, own in zip(blobs, dims, strict=True):
-        m = np.frombuffer(blob, np.float64).reshape(-1, own)
+    for blob, n, own in zip(blobs, rows, dims, strict=True):
+        m = np.frombuffer(blob, np.float64).reshape(n, own)
         out.append(m if own == dim else np.pad(m, ((0, 0), (0, dim - own))))
     return out
 
@@ -121,9 +121,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
         out = []
         if len(q) and len(c):
             dim = int(max(q.dim.max(), c.dim.max()))
-            blocks, ids = _matrix(c.weights, c.dim, dim), [np.frombuffer(x, np.int64) for x in c.ids]
-            most, least = np.concatenate(_matrix(c.most, c.dim, dim)), np.concatenate(_matrix(c.least, c.dim, dim))
-            for name, own, vectors in zip(q.name, [np.frombuffer(x, np.int64) for x in q.ids], _matrix(q.weights, q.dim, dim), strict=True):
+            ids, asked = ([np.frombuffer(x, np.int64) for x in side.ids] for side in (c, q))
+            blocks, one = _matrix(c.weights, [*map(len, ids)], c.dim, dim), [1] * len(c)
+            most, least = np.concatenate(_matrix(c.most, one, c.dim, dim)), np.concatenate(_matrix(c.least, one, c.dim, dim))
+            for name, own, vectors in zip(q.name, asked, _matrix(q.weights, [*map(len, asked)], q.dim, dim), strict=True):
                 bounds = np.maximum(vectors, 0) @ most.T + np.minimum(vectors, 0) @ least.T
                 for i, query in enumerate(vectors):
                     scores, names, _ = best_in_blocks(query, own[i], bounds[i], ids, blocks, k)
