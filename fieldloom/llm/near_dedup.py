@@ -15,7 +15,8 @@
 Defined results: a null, empty or blank text has an empty set, is linked with
 nothing and is its own component; fewer words than ``k`` make one shingle of all; rows of one id
 are one node, and its set is taken from each of the rows; a null id is kept, counted, and
-linked with nothing (its component is null). Other columns are not read.
+linked with nothing (its component is null). Other columns are not read. ``keep_one`` keeps all rows of
+an id that stays.
 """
 
 from __future__ import annotations

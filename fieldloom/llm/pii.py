@@ -172,5 +172,5 @@ def redacted(text: Column, found: Column) -> Column:
 
 def redact(documents: DataFrame) -> DataFrame:
     """``documents`` with every span in text replaced; other columns and null texts stay."""
-    marked = documents.withColumn("_pii_found", spans(F.col("text")))
-    return marked.withColumn("text", redacted(F.col("text"), F.col("_pii_found"))).select(documents.columns)
+    text = F.col("text").cast("string")
+    return documents.withColumn("text", let(spans(text), lambda found: redacted(text, found)))
