@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.scalar import uniform
+from fieldloom.operators.series import numbered
 
 
 def sample(rows: DataFrame, k: int, seed: int, *ids: str) -> DataFrame:
@@ -13,22 +14,29 @@ def sample(rows: DataFrame, k: int, seed: int, *ids: str) -> DataFrame:
     return rows.withColumn("_u", uniform(*[F.col(c) for c in ids], F.lit(seed))).orderBy("_u", *ids).limit(k).drop("_u")
 
 
-def train_val_split(rows: DataFrame, share: float, seed: int, *ids: str) -> DataFrame:
+def train_val_split(rows: DataFrame, share: float, seed: int, *ids: str, bins: int = 1 << 16) -> DataFrame:
     """``rows`` with part, 'val' for exactly max(1, share of the count, halves to even) of them.
 
-    The border is the hash of the last row that belongs to the validation part, found by a bounded sort on
-    the hash alone; every row is then compared with it. No row is numbered.
+    The border is the hash of the last row that belongs to the validation part: hashes are counted in ``bins``, and only
+    those of the bin with the border are sorted. Every row is then compared with it; no row is numbered.
     """
     hashed = rows.withColumn("_u", uniform(*[F.col(c) for c in ids], F.lit(seed)))
-    wanted = max(1, round(share * rows.count()))
-    border = hashed.select("_u").orderBy("_u").limit(wanted).agg(F.max("_u").alias("_border"))
+    placed = hashed.select("_u", F.floor(F.col("_u") * bins).alias("_bin"))
+    counts = {r[0]: r[1] for r in placed.groupBy("_bin").count().collect()}  # a row for each bin
+    left, at = max(1, round(share * sum(counts.values()))), -1
+    for at in sorted(counts):
+        if left <= counts[at]:
+            break
+        left -= counts[at]
+    border = placed.where(F.col("_bin") == at).select("_u").orderBy("_u").limit(left).agg(F.max("_u").alias("_border"))
     return hashed.crossJoin(F.broadcast(border)).withColumn("part", F.when(F.col("_u") <= F.col("_border"), "val").otherwise("train")).drop("_u", "_border")
 
 
-def minibatches(rows: DataFrame, size: int, seed: int, epoch: int, keys: list[str], *ids: str) -> DataFrame:
+def minibatches(rows: DataFrame, size: int, seed: int, epoch: int, keys: list[str], *ids: str, bins: int = 1024) -> DataFrame:
     """``rows`` with batch: shuffled anew each epoch within ``keys`` and cut into runs of ``size``."""
-    order = Window.partitionBy(*keys).orderBy(uniform(*[F.col(c) for c in ids], F.lit(seed), F.lit(epoch)), *ids)
-    return rows.withColumn("batch", F.floor((F.row_number().over(order) - 1) / size).cast("int"))
+    shuffled = rows.withColumn("_u", uniform(*[F.col(c) for c in ids], F.lit(seed), F.lit(epoch)))
+    placed = numbered(shuffled, keys, ["_u", *ids], 1 / bins)
+    return placed.withColumn("batch", F.floor(F.col("position") / size)).drop("_u", "position", "total")
 
 
 def guard(packed: DataFrame, limit: float = 1.5e5, column: str = "field") -> DataFrame:

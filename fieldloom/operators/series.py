@@ -1,29 +1,57 @@
-"""Irregular and regular series: resampling, cadence, strides, autocorrelation, lookups.
+"""Irregular and regular series: numbering, resampling, cadence, strides, autocorrelation, lookups.
 
-Times are epoch microseconds or whole steps, so that ticks are exact. Every window is partitioned
-by run and ordered by time; one run's series is one ordered sequence, as its meaning needs.
+Times are epoch microseconds or whole steps, so that ticks are exact. A run may hold most of all rows, so
+none is ordered as a whole: its axis is cut into buckets, rows are ordered within a bucket, and what a
+bucket must know of those before it comes from a table with a row for each bucket. Rows without a time or
+position take no part in ``resampled``; keys may be null.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import scalar
 
+BUCKET = 1 << 14  # steps or ticks of a bucket
+
+
+def _with(rows: DataFrame, per: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the other columns of ``per``, which has a row for each of ``keys``; nulls are equal."""
+    same = reduce(and_, [F.col(f"r.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys])
+    return rows.alias("r").join(per.alias("p"), same).select("r.*", *[F.col(f"p.{c}") for c in per.columns if c not in keys])
+
 
-def by_time(*order: str) -> Window:
-    return Window.partitionBy("run").orderBy(*order)
+def numbered(rows: DataFrame, keys: list[str], order: list[str], width: float = BUCKET) -> DataFrame:
+    """``rows`` with position, from 0, in ``order`` within ``keys``, and total, the rows of those keys.
 
+    The first of ``order`` is a number, cut into buckets of ``width``.
+    """
+    bucketed = rows.withColumn("_bucket", F.floor(F.col(order[0]) / width))
+    whole = Window.partitionBy(*keys)
+    counts = bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_here"))
+    starts = counts.select(*keys, "_bucket", (F.sum("_here").over(whole.orderBy("_bucket")) - F.col("_here")).alias("_start"), F.sum("_here").over(whole).alias("total"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)) - 1
+    placed = _with(bucketed.withColumn("_at", within), starts, [*keys, "_bucket"])
+    return placed.withColumn("position", F.col("_at") + F.col("_start")).drop("_bucket", "_at", "_start")
 
-def resampled(series: DataFrame, step: int) -> DataFrame:
+
+def resampled(series: DataFrame, step: int, bucket: int = BUCKET) -> DataFrame:
     """run, us, v at every multiple of ``step`` within each run's span, by linear interpolation.
 
     A tick belongs to the interval that ends at or after it; a tick at the run's first sample takes that sample.
     No range join: an interval lists its own ticks.
     """
-    w = by_time("us", "id")
-    pairs = series.select("run", "us", "v", F.lag("us").over(w).alias("us0"), F.lag("v").over(w).alias("v0"))
+    bucketed = series.where("us is not null").withColumn("_bucket", F.floor(F.col("us") / (step * bucket)))
+    ends = bucketed.groupBy("run", "_bucket").agg(F.max(F.struct("us", "id", "v")).alias("_end"))
+    before = ends.select("run", "_bucket", F.lag("_end").over(Window.partitionBy("run").orderBy("_bucket")).alias("_before"))
+    last = F.lag(F.struct("us", "v")).over(Window.partitionBy("run", "_bucket").orderBy("us", "id"))
+    pairs = _with(bucketed.withColumn("_last", last), before, ["run", "_bucket"])
+    last = F.coalesce("_last", F.when(F.col("_before").isNotNull(), F.struct("_before.us", "_before.v")))
+    pairs = pairs.withColumn("_last", last).select("run", "us", "v", F.col("_last.us").alias("us0"), F.col("_last.v").alias("v0"))
     first = F.col("us0").isNull()
     # Ticks t with us0 < t <= us; the first sample has only itself.
     low = F.when(first, F.ceil(F.col("us") / step)).otherwise(F.floor(F.col("us0") / step) + 1)
@@ -42,42 +70,46 @@ def first_tick(series: DataFrame, spinup: int, step: int) -> DataFrame:
 
 def cadence(series: DataFrame, step: int) -> DataFrame:
     """run, us, v: the first sample in each interval of ``step``, for series whose steps are shorter than it."""
-    w = Window.partitionBy("run", "slot").orderBy("us", "id")
-    slotted = series.withColumn("slot", F.floor(F.col("us") / step))
-    return slotted.withColumn("at", F.row_number().over(w)).where("at = 1").select("run", "slot", "us", "v")
+    slots = series.groupBy("run", F.floor(F.col("us") / step).alias("slot")).agg(F.min(F.struct("us", "id", "v")).alias("x"))
+    return slots.select("run", "slot", "x.us", "x.v")
 
 
-def step_size(series: DataFrame) -> DataFrame:
+def step_size(series: DataFrame, bucket: int = 3_600_000_000) -> DataFrame:
     """run and dt, the second time less the first."""
-    placed = series.withColumn("at", F.row_number().over(by_time("us", "id"))).where("at <= 2")
+    placed = numbered(series.select("run", "us", "id"), ["run"], ["us", "id"], bucket).where("position < 2")
     return placed.groupBy("run").agg((F.max("us") - F.min("us")).alias("dt"))
 
 
-def strided(rows: DataFrame, stride: int, *order: str) -> DataFrame:
-    """Every ``stride``-th row of each run, the first included."""
-    return rows.withColumn("position", F.row_number().over(by_time(*order)) - 1).where(F.col("position") % stride == 0)
+def strided(rows: DataFrame, stride: int, *order: str, bucket: float = BUCKET) -> DataFrame:
+    """Every ``stride``-th row of each run, the first included, and its position."""
+    return numbered(rows, ["run"], list(order), bucket).drop("total").where(F.col("position") % stride == 0)
 
 
-def evenly(rows: DataFrame, most: int, *order: str) -> DataFrame:
+def evenly(rows: DataFrame, most: int, *order: str, bucket: float = BUCKET) -> DataFrame:
     """At most ``most`` rows of each run, evenly spaced in order, both ends included, positions rounded down."""
-    w = by_time(*order)
-    numbered = rows.withColumn("position", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("run")))
+    placed = numbered(rows, ["run"], list(order), bucket)
     # Row p is wanted if some m < most has floor(m (n - 1) / (most - 1)) = p; every row is if there are no more than ``most``.
-    m = F.ceil(F.col("position") * (most - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))
-    hit = (F.floor(m * (F.col("_n") - 1) / (most - 1)) == F.col("position")) & (m < most)
-    return numbered.where(hit | (F.col("_n") <= most)).drop("_n")
+    m = F.ceil(F.col("position") * (most - 1) / F.greatest(F.col("total") - 1, F.lit(1)))
+    hit = (F.floor(m * (F.col("total") - 1) / (most - 1)) == F.col("position")) & (m < most)
+    return placed.where(hit | (F.col("total") <= most)).drop("total")
 
 
-def autocorrelation(series: DataFrame, keys: list[str], most_lag: int) -> DataFrame:
+def autocorrelation(series: DataFrame, keys: list[str], most_lag: int, block: int = BUCKET) -> DataFrame:
     """keys, lag, acf: real part of the demeaned complex series' autocorrelation at lags 1 to ``most_lag``, 1 at lag 0.
 
-    ``series`` has keys, re, im and pos (whole, consecutive). Each row meets the rows up to ``most_lag`` behind it by window, not by join.
+    ``series`` has keys, re, im and pos (whole, consecutive). Each row meets the rows up to ``most_lag`` behind it by window, not
+    by join; a block of positions also gets the last ``most_lag`` rows of the block before it.
     """
-    whole = Window.partitionBy(*keys)
-    centred = series.select(*keys, "pos", *[(F.col(c) - F.avg(c).over(whole)).alias(c) for c in ("re", "im")])
-    ordered = whole.orderBy("pos")
+    block = max(block, most_lag)
+    means = series.groupBy(*keys).agg(F.avg("re").alias("_re"), F.avg("im").alias("_im"))
+    centred = _with(series, means, keys).select(*keys, "pos", *[(F.col(c) - F.col(f"_{c}")).alias(c) for c in ("re", "im")])
+    own = F.floor(F.col("pos") / block)
+    near_end = F.col("pos") >= (own + 1) * block - most_lag
+    dealt = centred.withColumn("_own", own).withColumn("_block", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))))
+    ordered = Window.partitionBy(*keys, "_block").orderBy("pos")
     terms = [(F.col("re") * F.lag("re", k).over(ordered) + F.col("im") * F.lag("im", k).over(ordered)).alias(f"l{k}") for k in range(1, most_lag + 1)]
-    sums = centred.select(*keys, scalar.abs2(F.col("re"), F.col("im")).alias("l0"), *terms).groupBy(*keys).agg(F.sum("l0").alias("s0"), F.array(*[F.sum(f"l{k}") for k in range(1, most_lag + 1)]).alias("s"))
+    met = dealt.select(*keys, "_own", "_block", scalar.abs2(F.col("re"), F.col("im")).alias("l0"), *terms).where("_own = _block")
+    sums = met.groupBy(*keys).agg(F.sum("l0").alias("s0"), F.array(*[F.sum(f"l{k}") for k in range(1, most_lag + 1)]).alias("s"))
     return sums.select(*keys, F.posexplode("s").alias("at", "x"), "s0").select(*keys, (F.col("at") + 1).alias("lag"), F.when(F.col("s0") > 0, F.coalesce("x", F.lit(0.0)) / F.col("s0")).alias("acf"))
 
 

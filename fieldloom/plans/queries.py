@@ -132,7 +132,7 @@ SELECT run, mode, CAST(lag AS INTEGER) AS lag, round(s / s0, 6) + 0.0 AS acf FRO
 )
 def mode_autocorrelation(spark: SparkSession, d: str) -> DataFrame:
     modes = spectral.mode_series(tables.fields(spark, d), tables.SIDE)
-    placed = modes.withColumn("pos", F.row_number().over(Window.partitionBy("run", "mode").orderBy("t")))
+    placed = series.numbered(modes, ["run", "mode"], ["t"]).withColumnRenamed("position", "pos")
     return series.autocorrelation(placed, ["run", "mode"], 10).withColumn("acf", fix("acf"))
 
 
@@ -368,17 +368,17 @@ def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
     return selection.sample(tables.fields(spark, d).select("t"), 10, 1, "t")
 
 
-@query(f"SELECT label AS run, vec_id AS t, CAST((row_number() OVER (PARTITION BY label ORDER BY {S.uniform('vec_id', '2', '0')}, vec_id) - 1) // 16 AS INTEGER) AS batch FROM embeddings")
+@query(f"SELECT label AS run, vec_id AS t, CAST((row_number() OVER (PARTITION BY label ORDER BY {S.uniform('vec_id', '2', '0')}, vec_id) - 1) // 16 AS BIGINT) AS batch FROM embeddings")
 def minibatches(spark: SparkSession, d: str) -> DataFrame:
     return selection.minibatches(tables.fields(spark, d).select("run", "t"), 16, 2, 0, ["run"], "t")
 
 
-@query("WITH p AS (SELECT label AS run, vec_id AS t, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS position, count(*) OVER (PARTITION BY label) AS n FROM embeddings)\nSELECT run, t, CAST(position AS INTEGER) AS position FROM p WHERE n <= 20 OR position IN (SELECT floor(m * (n - 1) / 19)::BIGINT FROM range(20) r(m))")
+@query("WITH p AS (SELECT label AS run, vec_id AS t, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS position, count(*) OVER (PARTITION BY label) AS n FROM embeddings)\nSELECT run, t, CAST(position AS BIGINT) AS position FROM p WHERE n <= 20 OR position IN (SELECT floor(m * (n - 1) / 19)::BIGINT FROM range(20) r(m))")
 def evenly_sampled(spark: SparkSession, d: str) -> DataFrame:
     return series.evenly(tables.fields(spark, d).select("run", "t"), 20, "t")
 
 
-@query("SELECT label AS run, vec_id AS t, CAST(position AS INTEGER) AS position FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS position FROM embeddings) WHERE position % 5 = 0")
+@query("SELECT label AS run, vec_id AS t, CAST(position AS BIGINT) AS position FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS position FROM embeddings) WHERE position % 5 = 0")
 def strided_rows(spark: SparkSession, d: str) -> DataFrame:
     return series.strided(tables.fields(spark, d).select("run", "t"), 5, "t")
 
@@ -401,10 +401,10 @@ def runs_without_artifacts(spark: SparkSession, d: str) -> DataFrame:
     return selection.without_artifacts(tables.manifest(spark, d), files).select("run", "tau0")
 
 
-@query("WITH a AS (SELECT label AS run, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS position, vec_id AS t FROM embeddings), b AS (SELECT event_type AS e, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS position, epoch_us(ts) AS us FROM events), r AS (SELECT e, CAST(dense_rank() OVER (ORDER BY e) - 1 AS INTEGER) AS run, position, us FROM b)\nSELECT r.run, CAST(r.position AS INTEGER) AS position, us, t FROM r JOIN a ON r.run = a.run AND r.position = a.position")
+@query("WITH a AS (SELECT label AS run, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS position, vec_id AS t FROM embeddings), b AS (SELECT event_type AS e, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS position, epoch_us(ts) AS us FROM events), r AS (SELECT e, CAST(dense_rank() OVER (ORDER BY e) - 1 AS INTEGER) AS run, position, us FROM b)\nSELECT r.run, CAST(r.position AS BIGINT) AS position, us, t FROM r JOIN a ON r.run = a.run AND r.position = a.position")
 def length_reconcile(spark: SparkSession, d: str) -> DataFrame:
     snapshots = series.strided(tables.fields(spark, d).select("run", "t"), 1, "t")
-    placed = series.strided(tables.series(spark, d), 1, "us", "id")
+    placed = series.strided(tables.series(spark, d), 1, "us", "id", bucket=24 * HOUR)
     names = placed.select("run").distinct().withColumn("number", F.row_number().over(Window.orderBy("run")) - 1)  # a row for each run
     times = placed.join(names, "run").select(F.col("number").alias("run"), "position", "us")
     return selection.matched_lengths(times, snapshots).select("run", "position", "us", "t")
@@ -461,7 +461,7 @@ def step_size(spark: SparkSession, d: str) -> DataFrame:
     + "SELECT a.run, CAST(b.pos - a.pos AS INTEGER) AS lag, round(sum(a.v * b.v) / any_value(s0), 6) + 0.0 AS acf FROM c a JOIN c b ON a.run = b.run AND b.pos - a.pos BETWEEN 1 AND 20 JOIN z ON a.run = z.run GROUP BY a.run, b.pos - a.pos"
 )
 def series_autocorrelation(spark: SparkSession, d: str) -> DataFrame:
-    placed = tables.series(spark, d).select("run", F.col("v").alias("re"), F.lit(0.0).alias("im"), F.row_number().over(series.by_time("us", "id")).alias("pos"))
+    placed = series.numbered(tables.series(spark, d), ["run"], ["us", "id"], 24 * HOUR).select("run", F.col("v").alias("re"), F.lit(0.0).alias("im"), F.col("position").alias("pos"))
     return series.autocorrelation(placed, ["run"], 20).withColumn("acf", fix("acf"))
 
 

@@ -286,3 +286,24 @@ def test_first_existing(spark, tmp_path):
     assert tables.first_existing(spark, [str(tmp_path / "no"), str(tmp_path)]) == str(tmp_path)
     with pytest.raises(FileNotFoundError):
         tables.first_existing(spark, [str(tmp_path / "no")])
+
+
+@pytest.mark.parametrize("bucket", [1, 3, 1000])
+def test_buckets_do_not_matter(spark, bucket):
+    rng = np.random.default_rng(bucket)
+    rows = [(r, int(us), k, float(v)) for r in ("a", None) for k, (us, v) in enumerate(zip(np.sort(rng.integers(0, 400, 60)), rng.standard_normal(60), strict=True))]
+    df = spark.createDataFrame(rows, "run string, us long, id long, v double").repartition(3)
+    got = series.numbered(df, ["run"], ["us", "id"], bucket * 10).collect()
+    assert all(r.position == r.id and r.total == 60 for r in got) and len(got) == 120
+    one = lambda f: sorted(map(str, f.collect()))
+    assert one(series.resampled(df, 10, bucket)) == one(series.resampled(df, 10, 10**6))
+    placed = df.select("run", F.col("id").alias("pos"), F.col("v").alias("re"), F.lit(0.5).alias("im"))
+    a, b = ({(r.run, r.lag): r.acf for r in series.autocorrelation(placed, ["run"], 4, k).collect()} for k in (bucket, 10**6))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+def test_split_border_lies_in_one_bin(spark):
+    rows = spark.range(500).withColumnRenamed("id", "t")
+    parts = [sorted(r.t for r in selection.train_val_split(rows, 0.1, 2, "t", bins=b).where("part = 'val'").collect()) for b in (1, 7, 1 << 16)]
+    assert parts[0] == parts[1] == parts[2] and len(parts[0]) == 50
+    assert selection.train_val_split(rows.where("t < 0"), 0.1, 2, "t").count() == 0
