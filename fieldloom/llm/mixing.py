@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.shared import WORD, cut, unit_hash
+from fieldloom.llm.shared import WORD, cut, small, unit_hash
 
 BINS = 1024
 SMALL = 10_000  # sources; a table of no more rows is broadcast
@@ -110,23 +110,26 @@ def quality_weights(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.when(F.min("quality") > 0, 2.0).otherwise(0.5).alias("weight"))
 
 
-def sized(documents: DataFrame, labels: DataFrame, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, weight and key of every document."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
-    return rows.join(quality_weights(labels), "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))).withColumn("key", key_of(F.col("doc_id"), F.col("weight"), seed))
+def _keyed(rows: DataFrame, weights: DataFrame, seed: int) -> DataFrame:
+    """``rows`` with weight and key, by doc_id; ``weights`` is broadcast if it is small, so that texts need no shuffle."""
+    return rows.join(weights, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))).withColumn("key", key_of(F.col("doc_id"), F.col("weight"), seed))
 
 
-def mix(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def _sized(documents: DataFrame, *more: Column) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), *more)
+
+
+def mix(documents: DataFrame, labels: DataFrame, seed: int = 17, **options) -> DataFrame:
     """doc_id, size, source_size, target and taken (words, repeats counted) of every document."""
-    rows = cut(sized(documents, labels))
+    rows = cut(_keyed(_sized(documents), small(cut(quality_weights(labels))), seed))
     done = apply(rows, plan(rows, **options))
     return done.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed_rows(documents: DataFrame, labels: DataFrame, seed: int = 17, **options) -> DataFrame:
     """The rows of ``documents`` as often as the mix takes them, with their own columns."""
-    planned = plan(cut(sized(documents, labels, seed)), **options)
-    names = documents.columns
-    packed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_mix_row"))
-    weighed = packed.join(quality_weights(labels), "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))).withColumn("key", key_of(F.col("doc_id"), F.col("weight"), seed))
-    return apply(weighed, planned, F.xxhash64("_mix_row")).where("copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_mix_row.*")
+    weights = small(cut(quality_weights(labels)))
+    planned = plan(cut(_keyed(_sized(documents), weights, seed)), **options)
+    packed = _sized(documents, F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_mix_row"))
+    taken = apply(_keyed(packed, weights, seed), planned, F.xxhash64("_mix_row")).where("copies > 0")
+    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_mix_row.*")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm import textkernel as tk
-from fieldloom.llm.shared import cut, returning
+from fieldloom.llm.shared import cut, returning, small
 
 BATCH = 32  # hashes compared at a time
 _rng = np.random.default_rng(99)
@@ -198,7 +198,7 @@ def _confirmed(documents: DataFrame, sized: DataFrame, k: int, percent: int, mis
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", "root", "blocks", "mine")], pa.array(found, pa.binary())], ["doc_id", "root", "blocks", "mine", "shingles"])
 
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    texts = _plain(documents).join(sized.select("node", "root", "blocks", mine.alias("mine")), F.col("doc_id") == F.col("node")).select("doc_id", "root", "blocks", "mine", "text")
+    texts = _plain(documents).join(small(sized.select("node", "root", "blocks", mine.alias("mine"))), F.col("doc_id") == F.col("node")).select("doc_id", "root", "blocks", "mine", "text")
     sets = texts.mapInArrow(returning(sets_of), "doc_id long, root long, blocks int, mine int, shingles binary")
     # Block i meets each block j: once for each unordered pair, and itself.
     dealt = sets.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "doc_id", "mine", "shingles")
@@ -213,6 +213,6 @@ def _confirmed(documents: DataFrame, sized: DataFrame, k: int, percent: int, mis
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:
     """The rows of ``documents`` without those whose id is not their component's smallest."""
-    gone = near_duplicates(documents, **options).where("not kept").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(documents.columns)
+    gone = cut(near_duplicates(documents, **options).where("not kept").select("doc_id").distinct())
+    return documents.join(small(gone), "doc_id", "left_anti").select(documents.columns)
 

@@ -33,6 +33,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(stored: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``stored``, a table of a few numbers a row, to be broadcast if it has at most ``most`` rows (some 50 MB); beyond that its joins shuffle."""
+    return F.broadcast(stored) if stored.count() <= most else stored
+
+
 def unit_hash(*keys: Column) -> Column:
     """A number in (0, 1) that depends on the keys alone: 52 bits of their MD5, a half added.
 
