@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm import textkernel as tk
-from fieldloom.llm.shared import cut, returning, small
+from fieldloom.llm.shared import cut, returning, short_batches, small
 
 BATCH = 32  # hashes compared at a time
 _rng = np.random.default_rng(99)
@@ -87,7 +87,7 @@ def shingle_rows(documents: DataFrame, k: int, rows: int, bands: int) -> DataFra
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32), np.concatenate(keys) if keys else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), lists], ["doc_id", "n_shingles", "fp1", "fp2", "bands"])
 
-    return _plain(documents).mapInArrow(returning(run), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>")
+    return short_batches(_plain(documents)).mapInArrow(returning(run), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>")
 
 
 def _plain(documents: DataFrame) -> DataFrame:

@@ -36,15 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
-from fieldloom.llm.shared import returning
+from fieldloom.llm.shared import returning, short_batches
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE_BYTES = 15_000_000  # of the keys that a worker remembers in a generation, KEY_BYTES being added for each
+CACHE_BYTES = 8_000_000  # of the keys that a worker remembers in a generation, KEY_BYTES being added for each
 KEY_BYTES = 80
 THREADS = 2  # of the tokenizers library in a worker, where the environment names no number; tasks share an executor's cores
-CHUNK = 1 << 20  # bytes of texts or ids that are worked on at a time
+CHUNK = 1 << 19  # bytes of texts or ids that are worked on at a time
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -286,7 +286,7 @@ def encode(documents: DataFrame, path: str, verify: bool = True) -> DataFrame:
         c.seen.forget()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(returning(run), "doc_id long, n_tokens int, ids binary, parity boolean, round_trip boolean")
+    return short_batches(rows).mapInArrow(returning(run), "doc_id long, n_tokens int, ids binary, parity boolean, round_trip boolean")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
