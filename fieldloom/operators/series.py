@@ -135,3 +135,25 @@ def controlled_steps(errors: Column, first_step: float, tolerance: float = 0.1)
         return F.struct(F.when(r > tolerance, state["before"]).otherwise(r).alias("before"), dt.alias("dt"), F.concat(state["out"], F.array(dt)).alias("out"))
 
     return F.aggregate(errors, start, step, lambda s: s["out"])
+
+
+def step_sizes(errors: DataFrame, first_step: float, tolerance: float = 0.1, block: int = BUCKET) -> DataFrame:
+    """run, position and dt: ``controlled_steps`` over whole runs, with no array of a run.
+
+    ``errors`` has run, position (whole, from 0) and r, positive. The last accepted error before a row, and the running sum of the
+    logarithms of the factors, come from its block of positions and from a table with a row for each block.
+    """
+    rows = errors.select("run", "position", "r", F.floor(F.col("position") / block).alias("_block"), F.when(F.col("r") <= tolerance, F.col("r")).alias("_kept"))
+    earlier = Window.partitionBy("run").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("run", "_block").orderBy("position")
+    ends = rows.groupBy("run", "_block").agg(F.max(F.when(F.col("_kept").isNotNull(), F.struct("position", "_kept"))).alias("_end"))
+    ends = ends.select("run", "_block", F.last("_end._kept", ignorenulls=True).over(earlier).alias("_before"))
+    here = F.last("_kept", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1))
+    met = _with(rows.withColumn("_here", here), ends, ["run", "_block"])
+    before = F.coalesce("_here", "_before", F.lit(0.8 * tolerance))
+    grown = 0.3 / 4 * F.log(0.75 * tolerance / F.col("r")) + 0.4 / 4 * F.log(before / F.col("r"))
+    met = met.withColumn("_log", F.when(F.col("r") > tolerance, F.log(F.lit(0.75))).otherwise(grown))
+    sums = met.groupBy("run", "_block").agg(F.sum("_log").alias("_sum"))
+    starts = sums.select("run", "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_start"))
+    summed = met.withColumn("_run_sum", F.sum("_log").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    return _with(summed, starts, ["run", "_block"]).select("run", "position", (first_step * F.exp(F.col("_start") + F.col("_run_sum"))).alias("dt"))

@@ -472,12 +472,25 @@ s AS (SELECT run, 0::BIGINT AS k, 0.08::DOUBLE AS before, 0.00001::DOUBLE AS dt
 SELECT run, CAST(k AS INTEGER) AS step, round(dt * 1000000, 5) AS micro FROM s WHERE k > 0"""
 )
 def step_controller(spark: SparkSession, d: str) -> DataFrame:
+    """The first twelve steps of each run, as the SQL has them; ``step_controller_all`` controls every step."""
     first = series.strided(tables.fields(spark, d), 1, "t").where("position < 12")
     errors = F.transform(F.array_sort(F.collect_list(F.struct("position", F.col("field")[0].alias("x")))), lambda x: 0.02 + 0.1 * F.abs(x["x"]))
     steps = first.groupBy("run").agg(errors.alias("e")).select("run", F.posexplode(series.controlled_steps(F.col("e"), 1e-5)).alias("at", "dt"))
     return steps.select("run", (F.col("at") + 1).alias("step"), fix(F.col("dt") * 1e6, 5).alias("micro"))
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT label AS run, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, 0.02 + 0.1 * abs(CAST(embedding[1] AS DOUBLE)) AS r FROM embeddings),
+s AS (SELECT run, 0::BIGINT AS k, 0.08::DOUBLE AS before, 0.00001::DOUBLE AS dt FROM (SELECT DISTINCT run FROM e)
+  UNION ALL SELECT s.run, e.k, CASE WHEN r > 0.1 THEN before ELSE r END, CASE WHEN r > 0.1 THEN 0.75 * dt ELSE pow(0.075 / r, 0.075) * pow(before / r, 0.1) * dt END FROM s JOIN e ON s.run = e.run AND e.k = s.k + 1)
+SELECT run, k AS step, round(dt * 1000000, 5) AS micro FROM s WHERE k > 0"""
+)
+def step_controller_all(spark: SparkSession, d: str) -> DataFrame:
+    placed = series.numbered(tables.fields(spark, d), ["run"], ["t"])
+    errors = placed.select("run", "position", (0.02 + 0.1 * F.abs(F.col("field")[0])).alias("r"))
+    return series.step_sizes(errors, 1e-5).select("run", (F.col("position") + 1).alias("step"), fix(F.col("dt") * 1e6, 5).alias("micro"))
+
+
 # --- Sensors -----------------------------------------------------------------------
 
 SENSED = S.with_(S.CELLS, S.GRID, S.sensors(SENSORS, JITTER), "y AS (SELECT s.run, s.t, sid, si, sj, v AS y FROM sensors s JOIN cells c ON s.run = c.run AND s.t = c.t AND si = i AND sj = j)")
