@@ -332,11 +332,18 @@ def cumulative_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH l AS (SELECT label AS run, count(*) AS n FROM embeddings GROUP BY label), r AS (SELECT run, sum(n) OVER (ORDER BY run) AS high, sum(n) OVER (ORDER BY run) - n AS low FROM l)\nSELECT p.x AS position, run, CAST(p.x - low AS BIGINT) AS local FROM range(0, (SELECT count(*) FROM embeddings), 7) p(x) JOIN r ON p.x >= low AND p.x < high")
 def run_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh position, as the SQL has them; ``run_lookup_all`` looks up every one."""
     ranges = series.cumulative(tables.fields(spark, d).groupBy("run").agg(F.count("*").alias("length")))
     total = tables.fields(spark, d).count()
     return series.located(spark.range(0, total, 7).withColumnRenamed("id", "position"), ranges)
 
 
+@query("WITH l AS (SELECT label AS run, count(*) AS n FROM embeddings GROUP BY label), r AS (SELECT run, sum(n) OVER (ORDER BY run) AS high, sum(n) OVER (ORDER BY run) - n AS low FROM l)\nSELECT p.x AS position, run, CAST(p.x - low AS BIGINT) AS local FROM range(0, (SELECT count(*) FROM embeddings)) p(x) JOIN r ON p.x >= low AND p.x < high")
+def run_lookup_all(spark: SparkSession, d: str) -> DataFrame:
+    lengths = tables.fields(spark, d).groupBy("run").agg(F.count("*").alias("length"))
+    return series.located(spark.range(tables.fields(spark, d).count()).withColumnRenamed("id", "position"), series.cumulative(lengths))
+
+
 SPLIT = f"WITH u AS (SELECT vec_id AS t, {S.uniform('vec_id', '3')} AS u FROM embeddings), n AS (SELECT greatest(1, CAST(round_even(0.05 * count(*), 0) AS BIGINT)) AS k FROM u), s AS (SELECT t, CASE WHEN row_number() OVER (ORDER BY u) <= k THEN 'val' ELSE 'train' END AS part FROM u, n)\n"
 
 
@@ -391,16 +398,37 @@ def detailed_positions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(S.with_(S.MANIFEST) + "SELECT run, tau0 FROM manifest m WHERE EXISTS (SELECT 1 FROM embeddings e WHERE e.label = m.run AND vec_id % 97 = 0)")
 def runs_with_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """Files are every 97th snapshot, as the SQL has them; ``runs_with_times`` asks for a whole table."""
     files = tables.fields(spark, d).where("t % 97 = 0").select("run")
     return selection.with_artifacts(tables.manifest(spark, d), files).select("run", "tau0")
 
 
 @query(S.with_(S.MANIFEST) + "SELECT run, tau0 FROM manifest m WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.label = m.run AND vec_id % 97 = 0)")
 def runs_without_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """Files are every 97th snapshot, as the SQL has them; ``runs_without_times`` asks for a whole table."""
     files = tables.fields(spark, d).where("t % 97 = 0").select("run")
     return selection.without_artifacts(tables.manifest(spark, d), files).select("run", "tau0")
 
 
+TIMED = S.with_(S.MANIFEST, "timed AS (SELECT DISTINCT dense_rank() OVER (ORDER BY event_type) - 1 AS run FROM events)")
+
+
+def timed_runs(spark: SparkSession, d: str) -> DataFrame:
+    """run of each series of times in ``events``, which are numbered as in ``length_reconcile``."""
+    names = tables.series(spark, d).select("run").distinct()  # a row for each run
+    return names.select((F.row_number().over(Window.orderBy("run")) - 1).alias("run"))
+
+
+@query(TIMED + "SELECT run, tau0 FROM manifest SEMI JOIN timed USING (run)")
+def runs_with_times(spark: SparkSession, d: str) -> DataFrame:
+    return selection.with_artifacts(tables.manifest(spark, d), timed_runs(spark, d)).select("run", "tau0")
+
+
+@query(TIMED + "SELECT run, tau0 FROM manifest ANTI JOIN timed USING (run)")
+def runs_without_times(spark: SparkSession, d: str) -> DataFrame:
+    return selection.without_artifacts(tables.manifest(spark, d), timed_runs(spark, d)).select("run", "tau0")
+
+
 @query("WITH a AS (SELECT label AS run, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS position, vec_id AS t FROM embeddings), b AS (SELECT event_type AS e, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS position, epoch_us(ts) AS us FROM events), r AS (SELECT e, CAST(dense_rank() OVER (ORDER BY e) - 1 AS INTEGER) AS run, position, us FROM b)\nSELECT r.run, CAST(r.position AS BIGINT) AS position, us, t FROM r JOIN a ON r.run = a.run AND r.position = a.position")
 def length_reconcile(spark: SparkSession, d: str) -> DataFrame:
     snapshots = series.strided(tables.fields(spark, d).select("run", "t"), 1, "t")
@@ -410,10 +438,19 @@ def length_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return selection.matched_lengths(times, snapshots).select("run", "position", "us", "t")
 
 
+def snapshot_names(rows: DataFrame) -> DataFrame:
+    return rows.select(F.concat(F.lit("snapshot_"), F.col("t"), F.lit(".parquet")).alias("file_name"))
+
+
 @query("SELECT 'snapshot_' || vec_id || '.parquet' AS file_name, CAST(vec_id AS INTEGER) AS suffix, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS position FROM embeddings WHERE vec_id % 9 = 0")
 def files_by_suffix(spark: SparkSession, d: str) -> DataFrame:
-    names = tables.fields(spark, d).where("t % 9 = 0").select(F.concat(F.lit("snapshot_"), F.col("t"), F.lit(".parquet")).alias("file_name"))
-    return tables.by_suffix(names)
+    """Every ninth name, as the SQL has them; ``files_by_suffix_all`` lists every one."""
+    return tables.by_suffix(snapshot_names(tables.fields(spark, d).where("t % 9 = 0"))).withColumn("position", F.col("position").cast("int"))
+
+
+@query("SELECT 'snapshot_' || vec_id || '.parquet' AS file_name, CAST(vec_id AS INTEGER) AS suffix, row_number() OVER (ORDER BY vec_id) - 1 AS position FROM embeddings")
+def files_by_suffix_all(spark: SparkSession, d: str) -> DataFrame:
+    return tables.by_suffix(snapshot_names(tables.fields(spark, d)))
 
 
 @query(S.with_(S.CELLS, "e AS (SELECT run, t, max(abs(v)) AS m FROM cells GROUP BY ALL)") + "SELECT run, min(t) FILTER (WHERE m > 0.35) AS first FROM e GROUP BY run")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators.series import BUCKET, numbered
+
 SIDE = 8  # an embedding of 64 numbers is a field of 8 by 8
 
 
@@ -22,10 +24,13 @@ def first_existing(spark: SparkSession, paths: list[str]) -> str:
     raise FileNotFoundError(f"none of these exists: {', '.join(paths)}")
 
 
-def by_suffix(files: DataFrame, name: str = "file_name") -> DataFrame:
-    """``files`` with ``position`` (from 0), in order of the integer that ends the name before its extension."""
-    number = F.regexp_extract(F.col(name), r"_(\d+)(?:\.[^.]*)?$", 1).cast("int")
-    return files.withColumn("suffix", number).withColumn("position", F.row_number().over(Window.orderBy("suffix", name)) - 1)
+def by_suffix(files: DataFrame, name: str = "file_name", width: float = BUCKET) -> DataFrame:
+    """``files`` with ``position`` (from 0), in order of the integer that ends the name before its extension; names without one come first.
+
+    Suffixes are cut into buckets of ``width``, so names are ordered within a bucket; those without a suffix are one bucket.
+    """
+    number = F.regexp_extract(F.col(name), r"_(\d+)(?:\.[^.]*)?$", 1)
+    return numbered(files.withColumn("suffix", F.when(number != "", number.cast("int"))), [], ["suffix", name], width).drop("total")
 
 
 def fields(spark: SparkSession, sf_dir: str) -> DataFrame:

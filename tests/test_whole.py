@@ -31,3 +31,23 @@ def test_every_step_is_controlled(spark, block):
 
 def test_no_step_is_missing(spark):
     assert QUERIES["step_controller_all"](spark, SMALL).count() == tables.fields(spark, SMALL).count()
+
+
+@pytest.mark.parametrize("width", [1, 10, 1000])
+def test_every_name_is_numbered(spark, width):
+    names = [f"snapshot_{k}.parquet" for k in np.random.default_rng(width).permutation(60)] + ["other_7.txt", "readme", "notes.md", "x_007"]
+    got = {r.file_name: (r.suffix, r.position) for r in tables.by_suffix(spark.createDataFrame([(x,) for x in names], "file_name string").repartition(3), width=width).collect()}
+    suffix = lambda x: int(t) if (t := x.split(".")[0].split("_")[-1]).isdigit() else None
+    ordered = sorted(names, key=lambda x: (-1 if suffix(x) is None else suffix(x), x))
+    assert got == {x: (suffix(x), k) for k, x in enumerate(ordered)}
+
+
+def test_no_name_or_position_is_missing(spark):
+    t = sorted(r.t for r in tables.fields(spark, SMALL).select("t").collect())
+    assert sorted(r.suffix for r in QUERIES["files_by_suffix_all"](spark, SMALL).collect()) == t
+    assert sorted(r.position for r in QUERIES["run_lookup_all"](spark, SMALL).collect()) == list(range(len(t)))
+
+
+def test_runs_are_with_or_without_times(spark):
+    with_, without = ({r.run for r in QUERIES[f"runs_{k}_times"](spark, SMALL).collect()} for k in ("with", "without"))
+    assert with_ == {0, 1, 2, 3, 4} and without == {5, 6, 7, 8, 9}
