@@ -11,6 +11,8 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,6 +115,48 @@ def autocorrelation(series: DataFrame, keys: list[str], most_lag: int, block: in
     return sums.select(*keys, F.posexplode("s").alias("at", "x"), "s0").select(*keys, (F.col("at") + 1).alias("lag"), F.when(F.col("s0") > 0, F.coalesce("x", F.lit(0.0)) / F.col("s0")).alias("acf"))
 
 
+def full_autocorrelation(series: DataFrame, keys: list[str], block: int = BUCKET, side: int = 16) -> DataFrame:
+    """keys, lag, acf: as ``autocorrelation``, at every lag from 1 to the last position less the first.
+
+    Each run is cut into blocks of positions, and a block is a row with arrays. Block a meets block a + apart in the group
+    (apart, a div side), which so holds at most 2 * side blocks; a group's sums are a spectrum, turned into lags once. The work grows
+    with the square of a run's blocks, as every lag takes every pair of them.
+    """
+    means = series.groupBy(*keys).agg(F.avg("re").alias("_re"), F.avg("im").alias("_im"), F.min("pos").alias("_first"), F.max("pos").alias("_last"))
+    centred = _with(series, means, keys)
+    at = F.col("pos") - F.col("_first")
+    parts = [F.coalesce(F.col(c) - F.col(f"_{c}"), F.lit(0.0)).alias(c) for c in ("re", "im")]
+    placed = centred.select(*keys, (F.col("_last") - F.col("_first")).alias("_most"), F.floor(at / block).alias("_block"), (at % block).cast("int").alias("at"), *parts)
+    packed = placed.groupBy(*keys, "_most", "_block").agg(F.collect_list(F.struct("at", "re", "im")).alias("x"))
+    packed = packed.select(*keys, "_block", F.floor(F.col("_most") / block).alias("_blocks"), *[F.col(f"x.{c}").alias(c) for c in ("at", "re", "im")])
+    low = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - F.col("_block")), lambda k: F.struct(k.alias("apart"), F.floor(F.col("_block") / side).alias("tile"), F.lit(True).alias("low")))
+    high = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_block")), lambda k: F.struct(k.alias("apart"), F.floor((F.col("_block") - k) / side).alias("tile"), F.lit(False).alias("low")))
+    dealt = packed.withColumn("_to", F.explode(F.concat(low, high))).select(*keys, "_to.*", "_block", "at", "re", "im")
+
+    def met(group: pa.Table) -> pa.Table:
+        apart, spectra, total = group["apart"][0].as_py(), {True: {}, False: {}}, np.zeros(2 * block, complex)
+        for row in range(len(group)):
+            z = np.zeros(2 * block, complex)
+            at, re, im = (group[c][row].values.to_numpy() for c in ("at", "re", "im"))
+            z[at] = re + 1j * im
+            spectra[group["low"][row].as_py()][group["_block"][row].as_py()] = np.fft.fft(z)
+        for k, x in spectra[True].items():
+            if k + apart in spectra[False]:
+                total += x.conj() * spectra[False][k + apart]
+        sums = np.fft.ifft(total).real
+        columns = {k: group[k].slice(0, 1).combine_chunks() for k in keys}
+        return pa.table(columns | {"apart": pa.array([apart], pa.int64()), "s": pa.array([sums], pa.list_(pa.float64()))})
+
+    kinds = ", ".join(f"`{k}` {dealt.schema[k].dataType.simpleString()}" for k in keys)
+    sums = dealt.groupBy(*keys, "apart", "tile").applyInArrow(met, f"{kinds}, apart long, s array<double>")
+    # The last block entries of a spectrum's lags are those below apart * block.
+    flat = sums.select(*keys, "apart", F.posexplode("s").alias("_m", "s"))
+    lag = F.col("apart") * block + F.when(F.col("_m") < block, F.col("_m")).otherwise(F.col("_m") - 2 * block)
+    found = flat.select(*keys, lag.alias("lag"), "s").where("lag >= 0").groupBy(*keys, "lag").agg(F.sum("s").alias("s"))
+    whole = placed.groupBy(*keys).agg(F.sum(scalar.abs2(F.col("re"), F.col("im"))).alias("_s0"), F.max("_most").alias("_most"))
+    return _with(found, whole, keys).where("lag between 1 and _most").select(*keys, "lag", F.when(F.col("_s0") > 0, F.col("s") / F.col("_s0")).alias("acf"))
+
+
 def cumulative(lengths: DataFrame) -> DataFrame:
     """run, length, low and high: each run's half-open range of positions in the pool of all. A row for each run."""
     high = F.sum("length").over(Window.orderBy("run"))

@@ -131,11 +131,25 @@ l AS (SELECT a.run, a.mode, b.pos - a.pos AS lag, sum(a.re * b.re + a.im * b.im)
 SELECT run, mode, CAST(lag AS INTEGER) AS lag, round(s / s0, 6) + 0.0 AS acf FROM l JOIN z USING (run, mode)"""
 )
 def mode_autocorrelation(spark: SparkSession, d: str) -> DataFrame:
+    """Lags to 10, as the SQL has them; ``mode_autocorrelation_all`` has every lag."""
     modes = spectral.mode_series(tables.fields(spark, d), tables.SIDE)
     placed = series.numbered(modes, ["run", "mode"], ["t"]).withColumnRenamed("position", "pos")
     return series.autocorrelation(placed, ["run", "mode"], 10).withColumn("acf", fix("acf"))
 
 
+@query(
+    MODES
+    + """,
+c AS (SELECT run, mode, row_number() OVER (PARTITION BY run, mode ORDER BY t) AS pos, re - avg(re) OVER (PARTITION BY run, mode) AS re, im - avg(im) OVER (PARTITION BY run, mode) AS im FROM modes),
+z AS (SELECT run, mode, sum(re * re + im * im) AS s0 FROM c GROUP BY ALL),
+l AS (SELECT a.run, a.mode, b.pos - a.pos AS lag, sum(a.re * b.re + a.im * b.im) AS s FROM c a JOIN c b ON a.run = b.run AND a.mode = b.mode AND b.pos > a.pos GROUP BY ALL)
+SELECT run, mode, lag, round(s / s0, 6) + 0.0 AS acf FROM l JOIN z USING (run, mode)"""
+)
+def mode_autocorrelation_all(spark: SparkSession, d: str) -> DataFrame:
+    placed = series.numbered(spectral.mode_series(tables.fields(spark, d), tables.SIDE), ["run", "mode"], ["t"]).withColumnRenamed("position", "pos")
+    return series.full_autocorrelation(placed, ["run", "mode"]).withColumn("acf", fix("acf"))
+
+
 @query(S.with_(S.CELLS, S.TWIDDLES, S.dft("cells", "hat")) + "SELECT run, ki, kj, round(sum(re), 4) + 0.0 AS s1_re, round(sum(im), 4) + 0.0 AS s1_im, round(sum(re * re + im * im), 4) + 0.0 AS s2, count(*) AS n_records FROM hat GROUP BY ALL")
 def running_moments(spark: SparkSession, d: str) -> DataFrame:
     found = spectral.running_moments(spectral.mode_rows(spectral.fft2(tables.fields(spark, d))))
@@ -498,10 +512,20 @@ def step_size(spark: SparkSession, d: str) -> DataFrame:
     + "SELECT a.run, CAST(b.pos - a.pos AS INTEGER) AS lag, round(sum(a.v * b.v) / any_value(s0), 6) + 0.0 AS acf FROM c a JOIN c b ON a.run = b.run AND b.pos - a.pos BETWEEN 1 AND 20 JOIN z ON a.run = z.run GROUP BY a.run, b.pos - a.pos"
 )
 def series_autocorrelation(spark: SparkSession, d: str) -> DataFrame:
+    """Lags to 20, as the SQL has them; ``series_autocorrelation_all`` has every lag."""
     placed = series.numbered(tables.series(spark, d), ["run"], ["us", "id"], 24 * HOUR).select("run", F.col("v").alias("re"), F.lit(0.0).alias("im"), F.col("position").alias("pos"))
     return series.autocorrelation(placed, ["run"], 20).withColumn("acf", fix("acf"))
 
 
+@query(
+    S.with_(S.SERIES, "c AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY us, id) AS pos, v - avg(v) OVER (PARTITION BY run) AS v FROM series)", "z AS (SELECT run, sum(v * v) AS s0 FROM c GROUP BY run)")
+    + "SELECT a.run, b.pos - a.pos AS lag, round(sum(a.v * b.v) / any_value(s0), 6) + 0.0 AS acf FROM c a JOIN c b ON a.run = b.run AND b.pos > a.pos JOIN z ON a.run = z.run GROUP BY a.run, b.pos - a.pos"
+)
+def series_autocorrelation_all(spark: SparkSession, d: str) -> DataFrame:
+    placed = series.numbered(tables.series(spark, d), ["run"], ["us", "id"], 24 * HOUR).select("run", F.col("v").alias("re"), F.lit(0.0).alias("im"), F.col("position").alias("pos"))
+    return series.full_autocorrelation(placed, ["run"]).withColumn("acf", fix("acf"))
+
+
 @query(
     """WITH RECURSIVE e AS (SELECT label AS run, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, 0.02 + 0.1 * abs(CAST(embedding[1] AS DOUBLE)) AS r FROM embeddings),
 s AS (SELECT run, 0::BIGINT AS k, 0.08::DOUBLE AS before, 0.00001::DOUBLE AS dt FROM (SELECT DISTINCT run FROM e)
