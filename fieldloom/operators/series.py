@@ -54,15 +54,20 @@ def resampled(series: DataFrame, step: int, bucket: int = BUCKET) -> DataFrame:
     pairs = _with(bucketed.withColumn("_last", last), before, ["run", "_bucket"])
     last = F.coalesce("_last", F.when(F.col("_before").isNotNull(), F.struct("_before.us", "_before.v")))
     pairs = pairs.withColumn("_last", last).select("run", "us", "v", F.col("_last.us").alias("us0"), F.col("_last.v").alias("v0"))
+    return ticks(pairs, step)
+
+
+def ticks(pairs: DataFrame, step: int) -> DataFrame:
+    """run, us, v at the multiples of ``step`` after us0 up to us; us0 is null at a run's first sample."""
     first = F.col("us0").isNull()
     # Ticks t with us0 < t <= us; the first sample has only itself.
     low = F.when(first, F.ceil(F.col("us") / step)).otherwise(F.floor(F.col("us0") / step) + 1)
     high = F.floor(F.col("us") / step)
-    ticks = pairs.withColumn("low", low).withColumn("high", high).where("low <= high").withColumn("tick", F.explode(F.sequence("low", "high")))
+    found = pairs.withColumn("low", low).withColumn("high", high).where("low <= high").withColumn("tick", F.explode(F.sequence("low", "high")))
     at = F.col("tick") * step
     alpha = (at - F.col("us0")) / (F.col("us") - F.col("us0"))
     value = F.when(first | (F.col("us") == F.col("us0")), F.col("v")).otherwise((1 - alpha) * F.col("v0") + alpha * F.col("v"))
-    return ticks.select("run", at.alias("us"), value.alias("v"))
+    return found.select("run", at.alias("us"), value.alias("v"))
 
 
 def first_tick(series: DataFrame, spinup: int, step: int) -> DataFrame:

@@ -810,6 +810,7 @@ def simulate_ensemble(spark: SparkSession, d: str) -> DataFrame:
 
 def streamed(spark: SparkSession, d: str, result: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """``result`` of ``events`` as a stream, run to the end of what is there; the sink is a folder of the session's checkpoints."""
+    import datetime
     import os
     import tempfile
     import uuid
@@ -821,20 +822,31 @@ def streamed(spark: SparkSession, d: str, result: Callable[[DataFrame], DataFram
     schema = tables.table(spark, d, "events").schema
     source = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     ts = F.col("ts").cast("timestamp")
-    rows = source.select(F.col("event_type").alias("run"), ts.alias("ts"), F.unix_micros(ts).alias("us"), F.col("value").alias("v"))
+    rows = source.select(F.col("event_type").alias("run"), ts.alias("ts"), F.unix_micros(ts).alias("us"), F.col("event_id").alias("id"), F.col("value").alias("v"))
+    # A row of a far time, given when all else is read, lets the watermark pass what is still held back.
+    end = spark.createDataFrame([(None, datetime.datetime(9999, 1, 1), None, None, None)], rows.schema)
+    if mode == "append":
+        end.where("false").write.parquet(f"{place}/end")
+        rows = rows.unionByName(spark.readStream.schema(rows.schema).parquet(f"{place}/end"))
     out = result(rows)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/out" if mode == "complete" else f"{place}/out/batch={number}")
 
-    out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    def read() -> None:
+        out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+
+    read()
+    if mode == "append":
+        end.withColumn("us", F.unix_micros("ts")).write.mode("append").parquet(f"{place}/end")
+        read()
     return spark.read.schema(out.schema).parquet(f"{place}/out").select(out.columns)
 
 
 @query(RESAMPLED)
 def stream_resample(spark: SparkSession, d: str) -> DataFrame:
-    found = streamed(spark, d, lambda rows: stream_series.resampled(rows.select("run", "us", "v"), HOUR), "append")
-    return found.withColumn("v", fix("v", 5))
+    buckets = streamed(spark, d, lambda rows: stream_series.closed(rows.select("run", "us", "id", "v"), HOUR), "append")
+    return stream_series.resampled(buckets, HOUR).withColumn("v", fix("v", 5))
 
 
 @query(S.with_(S.SERIES) + "SELECT run, count(*) AS n_records, round(sum(v), 4) AS s1, round(sum(v * v), 3) AS s2 FROM series GROUP BY run")

@@ -1,43 +1,36 @@
-"""The series operators on streams: online resampling, cadence, running moments, late data.
+"""The series operators on streams: resampling, cadence, running moments, late data.
 
-``resampled`` keeps each run's last sample; the others are watermarked aggregates.
+All are watermarked aggregates. ``closed`` fills a sink with whole buckets of samples, and ``resampled`` reads it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from fieldloom.operators.series import ticks
 
 
-def resampled(stream: DataFrame, step: int) -> DataFrame:
-    """run, us, v at multiples of ``step``, as ``operators.series.resampled`` gives for the whole; (run, us, v) in, time in order across batches.
+def closed(stream: DataFrame, step: int, lateness: str = "10 minutes", bucket: int = 24) -> DataFrame:
+    """run and x, the samples in order, of each bucket of ``bucket`` steps that the watermark has passed; (run, us, id, v) in.
 
-    Within a batch rows are put in order; a row older than its run's last sample is dropped, as its ticks
-    have been given.
+    Until then rows wait in their run's bucket, so they may come in any order within ``lateness``; later ones the watermark drops.
     """
+    timed = stream.withColumn("_ts", F.timestamp_micros("us")).withWatermark("_ts", lateness)
+    buckets = timed.groupBy("run", F.window("_ts", f"{step * bucket} microseconds").alias("w"))
+    return buckets.agg(F.array_sort(F.collect_list(F.struct("us", "id", "v"))).alias("x")).select("run", "x")
+
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        for pdf in [pd.concat(list(batches), ignore_index=True).sort_values("us", kind="stable")]:
-            out = []
-            for us, v in zip(pdf.us.tolist(), pdf.v.tolist(), strict=True):
-                if last is None:
-                    out += [(key[0], us, v)] if us % step == 0 else []
-                elif us < last[0]:
-                    continue
-                else:
-                    for tick in range(last[0] // step + 1, us // step + 1):
-                        alpha = (tick * step - last[0]) / (us - last[0])
-                        out.append((key[0], tick * step, (1 - alpha) * last[1] + alpha * v))
-                last = (us, v)
-            state.update(last)
-            yield pd.DataFrame(out, columns=["run", "us", "v"]).astype({"run": "object", "us": "int64", "v": "float64"})
-
-    return stream.groupBy("run").applyInPandasWithState(fold, "run string, us long, v double", "us long, v double", "append", GroupStateTimeout.NoTimeout)
+def resampled(buckets: DataFrame, step: int) -> DataFrame:
+    """run, us, v at multiples of ``step``, as ``operators.series.resampled`` gives for the whole, of what ``closed`` has put in its sink so far.
+
+    Only the first and the last sample of a bucket meet those of its run's other buckets.
+    """
+    near = F.expr("zip_with(slice(x, 1, size(x) - 1), slice(x, 2, size(x) - 1), (a, b) -> struct(b.us, b.v, a.us as us0, a.v as v0))")
+    ends = buckets.select("run", F.col("x")[0].alias("a"), F.element_at("x", -1).alias("b"))
+    ends = ends.withColumn("b", F.lag("b").over(Window.partitionBy("run").orderBy("a.us")))  # a row for each bucket
+    pairs = buckets.select("run", F.explode(near).alias("p")).select("run", "p.*")
+    return ticks(pairs.unionByName(ends.select("run", "a.us", "a.v", F.col("b.us").alias("us0"), F.col("b.v").alias("v0"))), step)
 
 
 def cadence(stream: DataFrame, step: str, lateness: str = "10 minutes") -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 
 from fieldloom.operators import series
 from fieldloom.plans.queries import QUERIES
 from fieldloom.sources import tables
+from fieldloom.streaming import series as stream_series
 from tests.compare import SMALL
 
 
@@ -65,3 +68,22 @@ def test_every_lag_against_numpy(spark, block, side):
         c = x - x.mean()
         want |= {(run, k): float((c[k:] @ c[:-k].conj()).real / (c @ c.conj()).real) for k in range(1, len(x))}
     assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_stream_takes_rows_out_of_order(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    second = 1_000_000
+    rows = [(run, int(us) * second, k, float(rng.standard_normal())) for run in ("a", None) for k, us in enumerate(rng.permutation(np.append(rng.integers(0, 900, 80), [500] * 4)))]
+    kind = "run string, us long, id long, v double"
+    parts = [rows[k::4] for k in range(4)] + [[("end", 10**12 * second, 0, 0.0)]]
+    for k, part in enumerate(parts):  # a file for each batch; the last lets the watermark pass all others
+        spark.createDataFrame(part, kind).coalesce(1).write.parquet(str(tmp_path / f"in/part={k}"))
+        for f in (tmp_path / f"in/part={k}").iterdir():
+            os.utime(f, (10**9 + k, 10**9 + k))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/part=*"))
+    closed = stream_series.closed(stream, 10 * second, "1 hour", 3)
+    started = closed.writeStream.format("memory").queryName("closed_buckets").outputMode("append").option("checkpointLocation", str(tmp_path / "state"))
+    started.trigger(availableNow=True).start().awaitTermination()
+    one = lambda df: sorted(map(str, df.collect()))
+    want = one(series.resampled(spark.createDataFrame(rows, kind), 10 * second))
+    assert len(want) > 150 and one(stream_series.resampled(spark.table("closed_buckets"), 10 * second)) == want
