@@ -1,10 +1,10 @@
-"""Suffix-array dedup by a depth-limited radix sort: every byte of a string of ``width`` bytes that starts twice or more is removed.
+"""Dedup of repeated strings by grouping suffixes: every byte of a string of ``width`` bytes that starts twice or more is removed.
 
-Suffixes are ordered only as far as equality of their first ``width`` bytes needs, by
-passes from the most significant digit on; a suffix that is alone after a pass drops out. Digits are
-hashed, as only equality counts, and the first is sampled: a suffix enters under its
-anchor, the k-gram of the least hash within its first ``width`` bytes. Equal strings have equal
-anchors at equal offsets, so no repeat is lost, and neighbouring suffixes share theirs.
+Not the sort by digits itself: no pass takes successive digits and nothing is ordered by prefix. Only equality of the
+first ``width`` bytes counts, so suffixes are grouped by 64-bit hashes, and a suffix that is alone after a pass drops
+out. First it enters under its anchor, the k-gram of the least hash within its first ``width`` bytes. Equal strings
+have equal anchors at equal offsets, so no repeat is lost, and neighbouring suffixes share theirs; that no unequal
+strings are taken for equal rests on the hashes having no collisions.
 
 1. Anchor: suffixes under one anchor are a row. Rows whose anchor occurs once drop out.
 2. Extent: all bytes that the suffixes of a row read. Equal extents at equal offsets are repeats as a whole,
