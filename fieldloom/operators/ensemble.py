@@ -8,7 +8,7 @@ snapshot of a stack by one step instead.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from fractions import Fraction as R
 
 import numpy as np
@@ -94,8 +94,8 @@ def stepped(fields: DataFrame, dt: float, beta: float = 1.0, drag: float = 0.1,
     return map_fields(fields, ["field"], {"next": "array", "error": "double"}, compute)
 
 
-def snapshots(dynamics: Dynamics, seed: int, spinup: float, interval: float, count: int, most_steps: int) -> Iterator[tuple[float, np.ndarray]]:
-    """(time, field) of ``count`` uniform times after the spin-up; fewer if the run diverges or ``most_steps`` pass."""
+def snapshots(dynamics: Dynamics, seed: int, spinup: float, interval: float, count: int, most_steps: int) -> Generator[tuple[float, np.ndarray], None, str]:
+    """(time, field) of ``count`` uniform times after the spin-up; fewer if the run diverges or ``most_steps`` pass. Returns how it ended: complete, diverged or steps."""
     n = dynamics.n
     field = 0.01 * np.random.default_rng(seed).standard_normal((n, n))
     q, t, dt, before = np.fft.fft2(field - field.mean()), 0.0, FIRST_STEP, 0.8 * TOLERANCE
@@ -104,7 +104,7 @@ def snapshots(dynamics: Dynamics, seed: int, spinup: float, interval: float, cou
         new, r = dynamics.step(q, dt)
         r = float(r)
         if not np.isfinite(r):
-            return
+            return "diverged"
         if r > TOLERANCE:
             dt *= 0.75
             continue
@@ -119,21 +119,37 @@ def snapshots(dynamics: Dynamics, seed: int, spinup: float, interval: float, cou
             tick += 1
         dt *= (0.75 * TOLERANCE / max(r, 1e-300)) ** (0.3 / 4) * (before / max(r, 1e-300)) ** (0.4 / 4)
         q, t, before = new, then, max(r, 1e-300)
-        if given >= count or np.abs(np.fft.ifft2(q).real).max() > LIMIT:
-            return
+        if given >= count:
+            return "complete"
+        if np.abs(np.fft.ifft2(q).real).max() > LIMIT:
+            return "diverged"
+    return "steps"
 
 
 def simulated(manifest: DataFrame, spinup: float, interval: float, count: int, beta: float = 1.0, drag: float = 0.1, nu: float | None = None, seed: int = 0, most_steps: int = 2_000_000) -> DataFrame:
-    """run, t, time, n, field: the snapshots of each row (run, n, tau0) of a manifest."""
-    kinds = [manifest.schema["run"].dataType.simpleString(), "int", "double", "int", "array<double>"]
+    """run, t, time, n, field, status: the snapshots of each row (run, n, tau0) of a manifest.
+
+    A run that gives fewer than ``count`` ends with a row without time and field whose status says why, diverged or steps; in all other rows it is null.
+    """
+    kinds = [manifest.schema["run"].dataType.simpleString(), "int", "double", "int", "array<double>", "string"]
+    names = ["run", "t", "time", "n", "field", "status"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, (n, tau0) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 own, dynamics = b.column(0).slice(k, 1), Dynamics(n, beta, drag, tau0, nu)
-                for t, (time, field) in enumerate(snapshots(dynamics, seed, spinup, interval, count, most_steps)):
-                    yield pa.RecordBatch.from_arrays([own, pa.array([t], pa.int32()), pa.array([time]), pa.array([n], pa.int32()), pa.array([field.ravel()], pa.list_(pa.float64()))], ["run", "t", "time", "n", "field"])
+                row = lambda t, time, field, status: pa.RecordBatch.from_arrays([own, pa.array([t], pa.int32()), pa.array([time], pa.float64()), pa.array([n], pa.int32()), pa.array([field], pa.list_(pa.float64())), pa.array([status], pa.string())], names)
+                found, t = snapshots(dynamics, seed, spinup, interval, count, most_steps), 0
+                while True:
+                    try:
+                        time, field = next(found)
+                    except StopIteration as end:
+                        if end.value != "complete":
+                            yield row(t, None, None, end.value)
+                        break
+                    yield row(t, time, field.ravel(), None)
+                    t += 1
 
     rows = manifest.select("run", "n", "tau0")
     runs = rows.repartition(max(1, manifest.count()), "run")
-    return runs.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in zip(("run", "t", "time", "n", "field"), kinds, strict=True)))
+    return runs.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in zip(names, kinds, strict=True)))

@@ -7,7 +7,7 @@ import os
 import numpy as np
 import pytest
 
-from fieldloom.operators import series
+from fieldloom.operators import ensemble, series
 from fieldloom.plans.queries import QUERIES
 from fieldloom.sources import tables
 from fieldloom.streaming import series as stream_series
@@ -87,3 +87,10 @@ def test_stream_takes_rows_out_of_order(spark, tmp_path):
     one = lambda df: sorted(map(str, df.collect()))
     want = one(series.resampled(spark.createDataFrame(rows, kind), 10 * second))
     assert len(want) > 150 and one(stream_series.resampled(spark.table("closed_buckets"), 10 * second)) == want
+
+
+def test_a_run_cut_by_its_steps_says_so(spark):
+    m = spark.createDataFrame([("a", 8, 0.1)], "run string, n int, tau0 double")
+    whole, cut = (ensemble.simulated(m, 0.2, 0.05, 4, nu=1e-12, most_steps=k).collect() for k in (5000, 3))
+    assert [r.status for r in whole] == [None] * 4
+    assert [(r.run, r.t, r.time, r.field, r.status) for r in cut] == [("a", 0, None, None, "steps")]
