@@ -9,7 +9,8 @@ piece of which document each segment is.
 
 Work is dealt by input partition: a task packs at most ``chunk`` ids at a time, so that its memory is
 bounded and nothing is shuffled; sequences left open at the end of a chunk are
-written as they are.
+written as they are. Which pieces meet in a sequence so depends on how the input is dealt into partitions, and a
+sequence's id on its partition; a partition of few ids leaves more padding.
 
 Defined results: null and empty texts have no ids and no segment; null ids are carried as null;
 repeated rows are packed each; texts of any length are split, never cut off; an empty table gives no
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.shared import returning
-from fieldloom.llm.tokens import rank_encoding
+from fieldloom.llm.tokens import rank_encoding, token_ids
 
 SCHEMA = "sequence_id long, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, n_tokens int, token_ids binary, position_ids binary"
 
@@ -124,7 +125,7 @@ def pack(documents: DataFrame, tokenizer: str, length: int = 2048, chunk: int =
                 text = text.as_py()
                 if not text:
                     continue
-                ids = np.append(np.frombuffer(encoding.encode_to_numpy(text, disallowed_special=()), dtype=np.uint32), np.uint32(end)).astype(kind)
+                ids = np.append(token_ids(encoding, text), np.uint32(end)).astype(kind)
                 name = name.as_py()
                 for piece, a in enumerate(range(0, len(ids), length)):
                     held.append((name, piece, ids[a : a + length]))

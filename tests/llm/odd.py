@@ -31,6 +31,8 @@ TEXTS: list[tuple[int | None, str | None, str | None, str | None]] = [
     (13, "one", "de", "a"),
     (13, PHRASE + " and more", "de", "a"),
     (14, "\n\n\nx\n", "de", ""),
+    (15, " " * 1_000_000, "en", "a"),
+    (16, "x" + "\n" * 1_000_000 + " y", "en", "b"),
 ]
 
 #: Names that operators use inside.

@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import random
+import re
+
 import numpy as np
 import pytest
 
 from fieldloom.llm import packing
 from fieldloom.llm.queries import TOKENIZERS
-from fieldloom.llm.tokens import rank_encoding
+from fieldloom.llm.tokens import BLANK, rank_encoding, token_ids
 from tests.llm import odd
 
 RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
@@ -32,7 +35,7 @@ def test_every_token_of_every_text_comes_back(spark):
     want: dict = {}
     for doc, text, *_ in odd.TEXTS:
         if text:
-            want.setdefault(doc, []).append([*encoding.encode_ordinary(text), encoding.n_vocab])
+            want.setdefault(doc, []).append([*token_ids(encoding, text).tolist(), encoding.n_vocab])
     assert set(found) == set(want)
     for doc, texts in want.items():
         assert sum(len(ids) for _, ids in found[doc]) == sum(map(len, texts))
@@ -67,3 +70,20 @@ def test_best_fit_against_a_linear_search(seed):
 def test_little_is_padding(spark):
     rows = packing.pack(odd.documents(spark, [(i, "some words here " * (i % 90 + 1), "en", "a") for i in range(400)]), RANKS, 512).collect()
     assert sum(r.n_tokens for r in rows) / (512 * len(rows)) > 0.9
+
+
+def test_runs_of_blanks_are_cut_as_the_library_cuts_them():
+    """Every run is cut out here, as long ones are, and the ids are the library's own of the whole text."""
+    encoding, rng = rank_encoding(RANKS), random.Random(5)
+    bits = [" ", "  ", "\n", "\r\n", "\t", "\u3000", "\xa0", "\x85", "\x1c", "\u2028", "a", "Ab", "7", "42", "!", "'s", "'", "é", "🙂", "."]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(12)))
+        assert token_ids(encoding, text, re.compile(f"{BLANK}+")).tolist() == encoding.encode_ordinary(text)
+    for text in (" " * 300_000, "a" + "\n" * 300_000 + " b", "\u3000" * 200_000 + "\nx  y"):
+        assert token_ids(encoding, text).tolist() == encoding.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_500_000, "a" + " \n" * 700_000 + "b"])
+def test_a_million_blanks(text):
+    encoding = rank_encoding(RANKS)
+    assert encoding.decode(token_ids(encoding, text).tolist()) == text
