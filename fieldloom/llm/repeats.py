@@ -6,18 +6,20 @@ out. First it enters under its anchor, the k-gram of the least hash within its f
 have equal anchors at equal offsets, so no repeat is lost, and neighbouring suffixes share theirs; that no unequal
 strings are taken for equal rests on the hashes having no collisions.
 
-1. Anchor: suffixes under one anchor are a row. Rows whose anchor occurs once drop out.
+1. Anchor: suffixes under one anchor are a row. Rows whose anchor occurs once drop out. Texts are read once
+   for this; what is stored of each is its rows, as arrays.
 2. Extent: all bytes that the suffixes of a row read. Equal extents at equal offsets are repeats as a whole,
    and of these one row goes on, and only if its anchor has other extents.
 3. Full depth: the suffixes of the extents that go on are compared by all ``width`` bytes among those
-   of one anchor. Extents of an anchor meet in one task, as sorted runs, where there are at most
-   ``most_extents``; beyond that each suffix is a row, grouped and joined by its hash.
+   of one anchor. The rows of an anchor meet in one task, as sorted runs, where there are at most
+   ``most_rows``; beyond that each suffix is a row, grouped and joined by its hash.
 
 Strings never cross documents, and are judged on the input. Hashes are of 128 bits, half of them the anchor's.
 
 Defined results: null and empty texts have 0 bytes and the digest of nothing; texts shorter than
 ``width`` keep all; repeated rows (even of one id) remove each other; null ids keep their rows;
-runs that touch or overlap count as one; other columns are not read.
+runs that touch or overlap count as one; other columns are not read. Texts of any length are read whole, and a
+task holds a few megabytes of texts at a time, or one text.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from fieldloom.llm import textkernel as tk
 from fieldloom.llm.shared import cut, returning, shuffle_tasks
 
 GRAM = 200  # bytes of an anchor; half of the default width
+PACKED = 4096  # anchors in an array
+HELD_BYTES = 8 << 20  # of texts or extents that a task gathers before it gives them out
 _NO_ID = -(1 << 63)
 
 
@@ -72,16 +76,25 @@ def anchors_of(data: np.ndarray, off: np.ndarray, width: int, gram: int) -> tupl
 
 
 def _anchor_rows(keyed: DataFrame, width: int, gram: int) -> DataFrame:
-    """did, th, at (first suffix << 24 | suffixes after it << 12 | anchor's offset), anchor and extent hashes."""
+    """did, th, at (first suffix << 24 | suffixes after it << 12 | anchor's offset), anchor and extent hashes; read from a stored table.
+
+    That table has arrays of at most ``PACKED`` rows, so that it holds little but the numbers themselves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             did, th = b.column(0).to_numpy(), b.column(1).to_numpy()
             for row, data, off in tk.slices(b.column(2), 1 << 21):
                 d, first, more, p, anchor, extent = anchors_of(data, off, width, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[row + d], th[row + d], first << 24 | more << 12 | p, anchor.view(np.int64), extent.view(np.int64))], ["did", "th", "at", "anchor", "extent"])
+                if not len(d):
+                    continue
+                starts = np.union1d(np.flatnonzero(np.append(True, d[1:] != d[:-1])), np.arange(0, len(d), PACKED))
+                bounds = pa.array(np.append(starts, len(d)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (first << 24 | more << 12 | p, anchor.view(np.int64), extent.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(did[row + d[starts]]), pa.array(th[row + d[starts]]), *lists], ["did", "th", "at", "anchor", "extent"])
 
-    return keyed.select("did", "th", "text").mapInArrow(returning(run), "did long, th long, at long, anchor long, extent long")
+    packed = keyed.select("did", "th", "text").mapInArrow(returning(run), "did long, th long, at array<long>, anchor array<long>, extent array<long>")
+    return cut(packed).select("did", "th", F.inline(F.arrays_zip("at", "anchor", "extent")))
 
 
 def _stored(keyed: DataFrame) -> DataFrame:
@@ -105,23 +118,37 @@ def _text(z: bytes) -> bytes:
 
 
 def _extent_rows(stored: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The extents that go on, with their bytes. ``wanted`` has did, th and an array of (anchor, extent, at, open, kinds)."""
+    """The extents that go on, with their bytes. ``wanted`` has did, th and an array of (anchor, extent, at, open, crowded)."""
+    names = ["anchor", "extent", "did", "th", "at", "open", "crowded", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            for did, th, z, extents in zip(*[b.column(c).to_pylist() for c in ("did", "th", "z", "extents")], strict=True):
-                raw = _text(z)
-                for x in extents:
-                    first, more = x["at"] >> 24, x["at"] >> 12 & 4095
-                    rows.append((x["anchor"], x["extent"], did, th, x["at"], x["open"], x["kinds"], raw[first : first + more + width]))
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.binary()]
-            names = ["anchor", "extent", "did", "th", "at", "open", "kinds", "bytes"]
-            for a in range(0, len(rows), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + 4096], strict=True), kinds, strict=True)], names)
+            did, th, z = (b.column(c) for c in ("did", "th", "z"))
+            for i in range(b.num_rows):
+                own, raw = b.column("extents")[i].values, memoryview(_text(z[i].as_py()))
+                at = own.field("at").to_numpy()
+                first, end = at >> 24, (at >> 24) + (at >> 12 & 4095) + width
+                step = max(1, HELD_BYTES // (2 * width))
+                for a in range(0, len(own), step):
+                    part = own.slice(a, step)
+                    found = pa.array([raw[x:y] for x, y in zip(first[a : a + step].tolist(), end[a : a + step].tolist(), strict=True)], pa.binary())
+                    key = [pa.array(np.full(len(part), x.as_py())) for x in (did[i], th[i])]
+                    yield pa.RecordBatch.from_arrays([part.field("anchor"), part.field("extent"), *key, part.field("at"), part.field("open"), part.field("crowded"), found], names)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Small batches put together."""
+        held, size = [], 0
+        for b in run(batches):
+            held.append(b)
+            size += b.nbytes
+            if size >= HELD_BYTES:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+        if held:
+            yield pa.concat_batches(held)
 
-    schema = "anchor long, extent long, did long, th long, at long, open boolean, kinds long, bytes binary"
-    return stored.select("did", "th", "z").join(wanted, ["did", "th"]).mapInArrow(returning(run), schema)
+    schema = "anchor long, extent long, did long, th long, at long, open boolean, crowded boolean, bytes binary"
+    return stored.select("did", "th", "z").join(wanted, ["did", "th"]).mapInArrow(returning(joined), schema)
 
 
 def _suffixes(blobs: pa.Array, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,9 +217,7 @@ def _by_suffix(extents: DataFrame, width: int) -> DataFrame:
     """The same for anchors of any number of extents: a row for each suffix, grouped by hash and joined back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (whole.slice(a, 512) for whole in batches for a in range(0, whole.num_rows, 512)):
             at = b.column("at").to_numpy()
             row, place, hashes = _suffixes(b.column("bytes"), at, width)
             columns = [b.column(c).to_numpy(zero_copy_only=False)[row] for c in ("anchor", "extent", "did", "th", "open")]
@@ -203,24 +228,26 @@ def _by_suffix(extents: DataFrame, width: int) -> DataFrame:
     return rows.where("open").join(twice, ["anchor", "suffix"]).select("did", "th", "first", F.col("first").alias("last"))
 
 
-def repeated_ranges(documents: DataFrame, width: int = 400, gram: int = GRAM, most_extents: int = 8192) -> DataFrame:
+def repeated_ranges(documents: DataFrame, width: int = 400, gram: int = GRAM, most_rows: int = 8192) -> DataFrame:
     """did, th and ranges, an array of (first, last) repeated suffixes, of each document that has any."""
     keyed = _keyed(documents)
     rows = _anchor_rows(keyed, width, gram)
+    repeated = rows.groupBy("anchor").agg(F.count("*").alias("total"), F.min("extent").alias("a"), F.max("extent").alias("b")).where("total > 1")
+    repeated = cut(repeated.select("anchor", (F.col("a") != F.col("b")).alias("varied"), (F.col("total") > most_rows).alias("crowded")))
+    # Stored, or what groups them by anchor and extent would keep the join's partitions, and so all rows of a frequent anchor in one task.
+    live = cut(rows.join(repeated, "anchor"))
+    del rows  # what is stored of it can go
     own = F.xxhash64("did", "th", "at")
-    extents = rows.groupBy("anchor", "extent").agg(F.count("*").alias("n"), F.min(own).alias("pick"))
-    per_anchor = extents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1").select("anchor", "kinds")
-    live = cut(extents.join(per_anchor, "anchor").where("n > 1 or kinds > 1").select("anchor", "extent", "n", "pick", "kinds"))
+    extents = live.groupBy("anchor", "extent").agg(F.count("*").alias("n"), F.min(own).alias("pick"))
     first, more = F.shiftright("at", 24), F.shiftright("at", 12).bitwiseAND(F.lit(4095))
-    found = rows.join(live, ["anchor", "extent"])
+    found = live.join(extents, ["anchor", "extent"]).where("n > 1 or varied")
     per_document = found.groupBy("did", "th").agg(
         F.collect_list(F.when(F.col("n") > 1, F.struct(first.alias("first"), (first + more).alias("last")))).alias("whole"),
-        F.collect_list(F.when((F.col("kinds") > 1) & (F.col("pick") == own), F.struct("anchor", "extent", "at", (F.col("n") == 1).alias("open"), "kinds"))).alias("extents"),
+        F.collect_list(F.when(F.col("varied") & (F.col("pick") == own), F.struct("anchor", "extent", "at", (F.col("n") == 1).alias("open"), "crowded"))).alias("extents"),
     )
     per_document = cut(per_document)
-    going_on = _extent_rows(_stored(keyed), per_document.where("size(extents) > 0").select("did", "th", "extents"), width)
-    going_on = cut(going_on)
-    deep = _in_runs(going_on.where(F.col("kinds") <= most_extents), width).unionByName(_by_suffix(going_on.where(F.col("kinds") > most_extents), width))
+    going_on = cut(_extent_rows(_stored(keyed), per_document.where("size(extents) > 0").select("did", "th", "extents"), width))
+    deep = _in_runs(going_on.where("not crowded"), width).unionByName(_by_suffix(going_on.where("crowded"), width))
     deep = deep.groupBy("did", "th").agg(F.collect_list(F.struct("first", "last")).alias("more"))
     none: Column = F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)")
     both = per_document.select("did", "th", "whole").join(deep, ["did", "th"], "full")
@@ -242,23 +269,33 @@ def without_repeats(documents: DataFrame, width: int = 400, **options) -> DataFr
     """doc_id, n_bytes, removed (array of byte ranges, end exclusive) and kept (binary, what is left) of every document."""
     ranges = cut(repeated_ranges(documents, width, **options))
 
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
-        for whole in batches:
-            for a in range(0, whole.num_rows, 512):
-                b = whole.slice(a, 512)
-                rows: list[tuple] = []
-                for doc_id, z, found in zip(*[b.column(c).to_pylist() for c in ("doc_id", "z", "ranges")], strict=True):
-                    raw, runs = _text(z), _runs(found or [], width)
-                    edges = [0, *[x for run in runs for x in run], len(raw)]
-                    rows.append((doc_id, len(raw), [{"start": s, "end": e} for s, e in runs], b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "removed", "kept"])
+        rows: list[tuple] = []
+        size = 0
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "removed", "kept"])
+
+        for b in batches:
+            for doc_id, z, ranges in zip(*[b.column(c) for c in ("doc_id", "z", "ranges")], strict=True):
+                raw, runs = _text(z.as_py()), _runs(ranges.as_py() or [], width)
+                edges = [0, *[x for run in runs for x in run], len(raw)]
+                rows.append((doc_id.as_py(), len(raw), [{"start": s, "end": e} for s, e in runs], b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))))
+                size += len(raw) + 64
+                if size >= HELD_BYTES:
+                    yield given()
+                    rows, size = [], 0
+        if rows:
+            yield given()
 
     joined = _stored(_keyed(documents)).join(ranges, ["did", "th"], "left").select("doc_id", "z", "ranges")
     return joined.mapInArrow(returning(run), "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of the result of ``without_repeats``."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text (the bytes kept, those that are no whole code points as U+FFFD) of the result of ``without_repeats``."""
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
-    return cleaned.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return cleaned.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), text.alias("text"))

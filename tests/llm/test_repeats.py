@@ -13,13 +13,14 @@ from tests.llm import odd
 
 
 def by_hand(rows: list[tuple[int | None, str | None]], width: int) -> list[str]:
+    """Every string of ``width`` bytes of every whole text, counted by its hash."""
     raw = [(i, (t or "").encode()) for i, t in rows]
-    seen = Counter(b[k : k + width] for _, b in raw for k in range(len(b) - width + 1))
+    seen = Counter(hash(b[k : k + width]) for _, b in raw for k in range(len(b) - width + 1))
     out = []
     for i, b in raw:
         gone = bytearray(len(b))
         for k in range(len(b) - width + 1):
-            if seen[b[k : k + width]] > 1:
+            if seen[hash(b[k : k + width])] > 1:
                 gone[k : k + width] = b"\1" * width
         spans = sum(gone[k] and not (k and gone[k - 1]) for k in range(len(b)))
         left = bytes(x for x, g in zip(b, gone, strict=True) if not g)
@@ -52,13 +53,12 @@ def planted(seed: int, docs: int = 60) -> list[tuple[int, str]]:
 def test_planted_passages_by_hand(spark, seed, most):
     rows = planted(seed)
     docs = odd.documents(spark, [(i, t, None, None) for i, t in rows])
-    assert shown(repeats.without_repeats(docs, 40, gram=20, most_extents=most)) == by_hand(rows, 40)
+    assert shown(repeats.without_repeats(docs, 40, gram=20, most_rows=most)) == by_hand(rows, 40)
 
 
 def test_odd_rows_by_hand(spark):
-    short = [(r[0], r[1] if r[1] is None or len(r[1]) < 5000 else r[1][:5000]) for r in odd.TEXTS]
-    docs = odd.documents(spark, [(i, t, None, None) for i, t in short])
-    want = by_hand(short, 400)
+    docs = odd.documents(spark)
+    want = by_hand([(r[0], r[1]) for r in odd.TEXTS], 400)
     assert shown(repeats.without_repeats(docs)) == want
     assert shown(repeats.without_repeats(odd.crowded(docs))) == want
 
@@ -72,6 +72,14 @@ def test_empty_table(spark):
     assert repeats.digest(repeats.without_repeats(odd.empty(spark))).count() == 0
 
 
-def test_the_table_by_hand(spark):
-    docs = table(spark, SMALL, "documents").where("n_chars < 6000")
+@pytest.mark.parametrize("folder", [SMALL, "/root/testdata/sf0.01"])
+def test_the_table_by_hand(spark, folder):
+    docs = table(spark, folder, "documents")
     assert shown(repeats.without_repeats(docs)) == by_hand([(r.doc_id, r.text) for r in docs.collect()], 400)
+
+
+def test_the_text_given_out_is_what_is_kept(spark):
+    docs = odd.documents(spark)
+    cleaned = repeats.without_repeats(docs)
+    kept = {(r.doc_id, bytes(r.kept).decode("utf-8", "replace")) for r in cleaned.collect()}
+    assert {(r.doc_id, r.text) for r in repeats.digest(cleaned).collect()} == kept
