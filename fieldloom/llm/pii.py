@@ -1,14 +1,17 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust their score. DataFrame functions only.
 
 Kinds ``email``, ``ip``, ``card`` and ``phone`` are kept once their own check holds (parts at
-most 255; 12 to 19 digits that pass Luhn; 9 to 15 digits). ``iban`` must pass mod-97.
-``idnumber`` (3-2-4 digits) has no checksum: it is kept only if words around it raise its score
-to ``LEAST_SCORE``. Matches of a kind are the leftmost ones that don't overlap; one that fails
+most 255; 12 to 19 digits that pass Luhn; 9 to 15 digits). ``iban``, compact or in groups of four, must pass
+mod-97. ``idnumber`` (3-2-4 digits) and ``secret`` (a run of 32 or more letters, digits, + / _ -, with
+letters and digits among them) have no checksum. Every confirmed span has a score in hundredths: that of its kind, and ``BOOST`` more
+if words around it speak for the kind. Spans of the base kinds stay whatever their score; others go below ``LEAST_SCORE``,
+so that an ``idnumber`` or a ``secret`` needs such words. Matches of a kind are the leftmost ones that don't overlap; one that fails
 its check is dropped and not tried again.
 
-Patterns are written so that the scan stays linear in the text: repeats that can't be
-given back are possessive, and a run of mail name characters is tried at its beginning
-only (or where the last match ended), not at each of its characters.
+Work is linear in the text and in its spans, whose number is not bounded: patterns are written so that the scan is
+(repeats that can't be given back are possessive, and a run of mail name characters is tried at its beginning
+only, or where the last match ended, not at each of its characters), and context and what is left of a redacted text are cut
+from chunks of ``CHUNK`` code points, never from the whole text.
 
 Defined results: a null text counts as empty and has no span; spans of different kinds may overlap
 and all are reported; rows with null or repeated ids keep their rows; extra columns are
@@ -23,21 +26,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "idnumber")
-LEAST_SCORE = 0.5
+KINDS = (*BASE, "iban", "idnumber", "secret")
+LEAST_SCORE = 50
 BEFORE, AFTER = 48, 24  # code points of context
+CHUNK = 512  # code points; more than BEFORE and AFTER
+STEP = 64  # elements of an array that are worked on at a time
 
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
+    "iban": r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9_])",
     "idnumber": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+",
 }
 #: A cheap test that a text without it has no match.
 NEEDS = {"email": "@", "ip": ".", "phone": "+", "idnumber": "-"}
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "idnumber": 0.3}
+SCORES = {"email": 90, "ip": 60, "card": 70, "phone": 60, "iban": 80, "idnumber": 30, "secret": 30}
 CONTEXT = {
     "email": "mail|contact",
     "ip": "address|host|server",
@@ -45,8 +51,9 @@ CONTEXT = {
     "phone": "phone|call|tel|mobile",
     "iban": "iban|account|bank",
     "idnumber": "ssn|social security|identity",
+    "secret": "token|secret|password|api.?key|access.?key|bearer",
 }
-BOOST = 0.3
+BOOST = 30
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -58,14 +65,37 @@ def _total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def _running(steps: Column) -> Column:
-    """Running totals of an array of long, by chunks of 64, so that long arrays cost little more than short ones."""
+def _scan(values: Column, start: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """Running results of ``add`` over an array, by chunks, so that long arrays cost little more than short ones."""
+    upto = lambda xs: F.aggregate(xs, start, add)
 
     def heads(s: Column) -> Column:
-        chunks = F.sequence(F.lit(0), F.floor((F.size(s) - 1) / 64).cast("int"))
-        return F.aggregate(chunks, F.array(F.lit(0).cast("long")), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + _total(F.slice(s, c * 64 + 1, 64)))))
+        chunks = F.sequence(F.lit(0), F.floor((F.size(s) - 1) / STEP).cast("int"))
+        return F.aggregate(chunks, F.array(start), lambda acc, c: F.concat(acc, F.array(add(F.element_at(acc, -1), upto(F.slice(s, c * STEP + 1, STEP))))))
+
+    return let(values, lambda s: let(heads(s), lambda h: F.transform(s, lambda _, i: add(F.get(h, F.floor(i / STEP).cast("int")), upto(F.slice(s, F.floor(i / STEP).cast("int") * STEP + 1, i % STEP + 1))))))
+
+
+def _running(steps: Column) -> Column:
+    """Running totals of an array of long."""
+    return _scan(steps, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _furthest(ends: Column) -> Column:
+    """Running maxima of an array of long."""
+    return _scan(ends, F.lit(0).cast("long"), lambda a, x: F.greatest(a, x))
 
-    return let(steps, lambda s: let(heads(s), lambda h: F.transform(s, lambda _, i: F.get(h, F.floor(i / 64).cast("int")) + _total(F.slice(s, F.floor(i / 64).cast("int") * 64 + 1, i % 64 + 1)))))
+
+def _chunks(text: Column) -> Column:
+    """``text`` in pieces of ``CHUNK`` code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _between(chunks: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to ``end`` (exclusive) of a text in chunks, at the cost of what is asked for."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor((end - 1) / CHUNK).cast("int")
+    near = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+    return F.when(start < end, F.substring(near, (start - first * CHUNK + 1).cast("int"), (end - start).cast("int"))).otherwise(F.lit(""))
 
 
 def proposed(text: Column, kind: str) -> Column:
@@ -112,26 +142,40 @@ def confirmed(kind: str, value: Column) -> Column:
         return let(F.regexp_replace(value, r"[\x20-]", ""), lambda d: F.when(F.length(d).between(12, 19), luhn(d)).otherwise(F.lit(False)))
     if kind == "phone":
         return F.length(F.regexp_replace(value, r"[^0-9]", "")).between(9, 15)
-    return mod97(value) if kind == "iban" else F.lit(True)
+    if kind == "secret":
+        return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    return mod97(F.regexp_replace(value, " ", "")) if kind == "iban" else F.lit(True)
+
 
+def _chosen(kind_order: Column, of: Callable[[str], Column]) -> Column:
+    out = F.when(kind_order == 0, of(KINDS[0]))
+    for order, kind in enumerate(KINDS[1:], 1):
+        out = out.when(kind_order == order, of(kind))
+    return out
 
-def _score(text: Column, kind: str, start: Column, end: Column) -> Column:
-    first = F.greatest(start - BEFORE, F.lit(0).cast("long"))
-    around = F.concat_ws(" ", F.substring(text, (first + 1).cast("int"), (start - first).cast("int")), F.substring(text, (end + 1).cast("int"), F.lit(AFTER)))
-    return F.lit(SCORES[kind]) + F.when(F.lower(around).rlike(CONTEXT[kind]), BOOST).otherwise(0.0)
+
+def _score(chunks: Column, length: Column, x: Column) -> Column:
+    around = F.concat_ws(" ", _between(chunks, F.greatest(x["start"] - BEFORE, F.lit(0).cast("long")), x["start"]), _between(chunks, x["end"], F.least(x["end"] + AFTER, length)))
+    return let(F.lower(around), lambda words: _chosen(x["kind_order"], lambda kind: F.lit(SCORES[kind]) + F.when(words.rlike(CONTEXT[kind]), BOOST).otherwise(0)))
 
 
 def spans_of(text: Column, kind: str) -> Column:
-    """The confirmed spans of one kind: array of (start, kind_order, end, kind, score)."""
+    """The confirmed spans of one kind: array of (start, kind_order, end, kind)."""
     held = F.filter(proposed(text, kind), lambda x: confirmed(kind, x["value"]))
-    scored = F.transform(held, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind_order"), x["end"].alias("end"), F.lit(kind).alias("kind"), _score(text, kind, x["start"], x["end"]).alias("score")))
-    return scored if kind in BASE else F.filter(scored, lambda x: x["score"] >= LEAST_SCORE)
+    return F.transform(held, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind_order"), x["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
 def spans(text: Column) -> Column:
-    """All spans of a text, sorted by start, then kind."""
+    """All spans of a text, sorted by start, then kind: array of (start, kind_order, end, kind, score)."""
     text = F.coalesce(text, F.lit(""))
-    return F.array_sort(F.concat(*[spans_of(text, kind) for kind in KINDS]))
+
+    def scored(found: Column) -> Column:
+        with_score = lambda chunks, length: F.transform(found, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "kind_order", "end", "kind")], _score(chunks, length, x).alias("score")))
+        kept = F.filter(let(_chunks(text), lambda chunks: let(F.char_length(text), lambda length: with_score(chunks, length))), lambda x: (x["kind_order"] < len(BASE)) | (x["score"] >= LEAST_SCORE))
+        none = F.expr("cast(array() as array<struct<start:bigint,kind_order:int,end:bigint,kind:string,score:int>>)")
+        return F.when(F.size(found) > 0, F.array_sort(kept)).otherwise(none)
+
+    return let(F.concat(*[spans_of(text, kind) for kind in KINDS]), scored)
 
 
 def count_of(kind: str) -> Column:
@@ -144,30 +188,31 @@ def listed(found: Column) -> Column:
 
 
 def find(documents: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, digest of the base spans, and all spans as text."""
+    """doc_id, counts of the base kinds, digest of the base spans, all spans and their scores as text, and counts of the other kinds."""
     found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), spans(F.col("text").cast("string")).alias("found"))
     counts = [count_of(kind) for kind in KINDS]
     base = F.filter("found", lambda x: x["kind_order"] < len(BASE))
-    return found.select("doc_id", *counts[: len(BASE)], F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), *counts[len(BASE) :])
+    scores = F.array_join(F.transform("found", lambda x: x["score"].cast("string")), ",")
+    return found.select("doc_id", *counts[: len(BASE)], F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), scores.alias("scores"), *counts[len(BASE) :])
 
 
 def redacted(text: Column, found: Column) -> Column:
     """``text`` with each span, overlapping ones as one, replaced by its first kind in brackets."""
-    empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint,kind:string>>)")
+    length = F.char_length(text)
 
-    def add(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        own = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when(F.size(acc) == 0, F.array(own)).when(x["start"] < last["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(own)))
+    def heads(ends: Column) -> Column:
+        """(start, kind, at) of each span that doesn't overlap what is before it."""
+        marked = F.transform(found, lambda x, i: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), i.alias("at"), ((i == 0) | (x["start"] >= F.get(ends, i - 1))).alias("new")))
+        return F.filter(marked, lambda x: x["new"])
 
-    def rebuilt(merged: Column) -> Column:
-        since = lambda i: F.when(i > 0, F.get(merged, i - 1)["end"]).otherwise(F.lit(0).cast("long"))
-        parts = F.transform(merged, lambda m, i: F.concat(F.substring(text, (since(i) + 1).cast("int"), (m["start"] - since(i)).cast("int")), F.lit("["), F.upper(m["kind"]), F.lit("]")))
-        tail = F.substring(text, (F.element_at(merged, -1)["end"] + 1).cast("int"), F.char_length(text))
-        return F.concat(F.array_join(parts, ""), tail)
+    def rebuilt(ends: Column, first: Column, chunks: Column) -> Column:
+        # Before head k: what lies between the end of all spans before it and its start.
+        since = lambda k: F.when(k > 0, F.get(ends, F.get(first, k)["at"] - 1)).otherwise(F.lit(0).cast("long"))
+        parts = F.transform(first, lambda m, k: F.concat(_between(chunks, since(k), m["start"]), F.lit("["), F.upper(m["kind"]), F.lit("]")))
+        return F.concat(F.array_join(parts, ""), _between(chunks, F.element_at(ends, -1), length))
 
-    return F.when(F.size(found) == 0, text).otherwise(let(F.aggregate(found, empty, add), rebuilt))
+    whole = let(_furthest(F.transform(found, lambda x: x["end"])), lambda ends: let(heads(ends), lambda first: let(_chunks(text), lambda chunks: rebuilt(ends, first, chunks))))
+    return F.when(F.size(found) == 0, text).otherwise(whole)
 
 
 def redact(documents: DataFrame) -> DataFrame:

@@ -123,24 +123,27 @@ def _op7_sql() -> str:
         "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
         "card": r"[0-9](?:[\x20-]?[0-9])+",
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-        "iban": pii.PATTERNS["iban"],
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)\b",
         "idnumber": pii.PATTERNS["idnumber"],
+        "secret": r"[A-Za-z0-9+/_-]{32,}",
     }
     digits = "regexp_replace(v, '[^0-9]', '', 'g')"
     luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: (CAST(substr(reverse({digits}), i, 1) AS INTEGER) * (CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END)) // 10 + (CAST(substr(reverse({digits}), i, 1) AS INTEGER) * (CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END)) % 10)) % 10 = 0"
-    turned = "concat(substr(v, 5), substr(v, 1, 4))"
+    turned = "replace(concat(substr(v, 5), substr(v, 1, 4)), ' ', '')"
     value = f"(instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr({turned}, i, 1)) - 1)"
     checks = {
         "email": "true",
         "ip": "len(list_filter(string_split(v, '.'), lambda p: NOT regexp_full_match(p, '0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})'))) = 0",
         "card": f"length({digits}) BETWEEN 12 AND 19 AND {luhn}",
         "phone": f"length({digits}) BETWEEN 9 AND 15",
-        "iban": f"list_reduce(list_transform(range(1, length(v) + 1), lambda i: {value}), lambda a, x: (a * (CASE WHEN x > 9 THEN 100 ELSE 10 END) + x) % 97, 0) = 1",
-        "idnumber": "regexp_matches(lower(around), 'ssn|social security|identity')",
+        "iban": f"list_reduce(list_transform(range(1, length({turned}) + 1), lambda i: {value}), lambda a, x: (a * (CASE WHEN x > 9 THEN 100 ELSE 10 END) + x) % 97, 0) = 1",
+        "idnumber": "true",
+        "secret": "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')",
     }
     parts = []
     for order, (kind, pattern) in enumerate(patterns.items()):
-        parts.append(f"""SELECT doc, {order} AS kind_order, '{kind}' AS kind, s, s + length(v) AS e FROM (
+        score = f"{pii.SCORES[kind]} + CASE WHEN regexp_matches(lower(around), '{pii.CONTEXT[kind]}') THEN {pii.BOOST} ELSE 0 END"
+        parts.append(f"""SELECT doc, {order} AS kind_order, '{kind}' AS kind, s, s + length(v) AS e, {score} AS score FROM (
   SELECT doc, v, s, concat_ws(' ', substr(text, greatest(s - {pii.BEFORE}, 0) + 1, s - greatest(s - {pii.BEFORE}, 0)), substr(text, s + length(v) + 1, {pii.AFTER})) AS around FROM (
   SELECT doc, text, found[i] AS v, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda g: length(g))), 0) AS BIGINT) AS s FROM (
     SELECT doc, text, found, gaps, unnest(range(1, len(found) + 1)) AS i FROM (
@@ -149,10 +152,11 @@ def _op7_sql() -> str:
     counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in pii.KINDS)
     return f"""
 WITH t AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
-spans AS ({union}),
-per AS (SELECT doc, {counts}, string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, kind_order) AS spans,
+every AS ({union}),
+spans AS (SELECT * FROM every WHERE kind_order < {len(pii.BASE)} OR score >= {pii.LEAST_SCORE}),
+per AS (SELECT doc, {counts}, string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, kind_order) AS spans, string_agg(CAST(score AS VARCHAR), ',' ORDER BY s, kind_order) AS scores,
   string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, kind_order) FILTER (WHERE kind_order < 4) AS base FROM spans GROUP BY doc)
-SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM t LEFT JOIN per USING (doc)
 """
 
