@@ -238,7 +238,8 @@ def repeated_ranges(documents: DataFrame, width: int = 400, gram: int = GRAM, mo
     live = cut(rows.join(repeated, "anchor"))
     del rows  # what is stored of it can go
     own = F.xxhash64("did", "th", "at")
-    extents = live.groupBy("anchor", "extent").agg(F.count("*").alias("n"), F.min(own).alias("pick"))
+    # Stored as well, so that a join on a frequent extent can be split: both its sides are plain shuffles.
+    extents = cut(live.groupBy("anchor", "extent").agg(F.count("*").alias("n"), F.min(own).alias("pick")))
     first, more = F.shiftright("at", 24), F.shiftright("at", 12).bitwiseAND(F.lit(4095))
     found = live.join(extents, ["anchor", "extent"]).where("n > 1 or varied")
     per_document = found.groupBy("did", "th").agg(
