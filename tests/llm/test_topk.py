@@ -59,3 +59,21 @@ def test_blocks_are_pruned_and_ties_at_the_bound_are_not():
     assert names.tolist() == [1, 5] and scores.tolist() == [3, 3] and seen < 4
     _, _, seen = topk.best_in_blocks(np.array([1.0]), -1, np.array([9.0] + [0.0] * 50), [np.array([i]) for i in range(51)], [np.array([[9.0 * (i == 0)]]) for i in range(51)], 1)
     assert seen == 1
+
+
+def test_blocks_of_similar_vectors_are_pruned(spark):
+    """Vectors around 40 directions, in no order of their ids: most blocks stay unscored, and the result is that of all pairs."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 1, (40, 16))
+    vectors = np.round(centres[rng.integers(0, 40, 6000)] + rng.normal(0, 0.02, (6000, 16)), 3)
+    rows = [(int(i), [float(x) for x in v], None) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = topk.usable(df).withColumn("weights", topk.quantized(256.0))
+    r = topk.cells(found.where("vec_id % 50 = 0"), found, 5).groupBy("query_row").agg(F.first("blocks").alias("all"), F.first("scored").alias("scored")).agg(F.sum("scored") / F.sum("all")).first()[0]
+    assert r < 0.25
+    assert run(df, 50, 5) == by_hand([r[:2] for r in rows], 50, 5)
+
+
+def test_huge_weights_are_no_failure(spark):
+    df = spark.createDataFrame([(0, [3e38, 1.0], 1), (1, [3e38, 0.0], 1), (2, [-3e38, 0.0], 1)], SCHEMA)
+    assert run(df, 50, 5) == [str((0, 1, 1, 2**63 - 1)), str((0, 2, 2, -(2**63)))]
