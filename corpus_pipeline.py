@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldloom.llm import mixing, near_dedup, pieces, pii, quality_rules
 from fieldloom.llm.queries import TOKENIZERS
-from fieldloom.llm.shared import shared_folder, table
+from fieldloom.llm.shared import remove, shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +58,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what each stage kept is written to the shared checkpoint folder in between."""
+    """The last stage's rows, read from the shared checkpoint folder. What a stage kept is written there for the next one, and removed after it."""
     docs, place = table(spark, sf_dir, "documents"), os.path.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
         docs = spark.read.parquet(f"{place}/{k}")
+        if k:
+            remove(spark, f"{place}/{k - 1}")
     return docs
