@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators.batch import map_fields
+from fieldloom.operators.series import BUCKET, beside, numbered
 from fieldloom.sources.tables import total
 
 
@@ -60,13 +61,31 @@ def summary(scores: DataFrame, keys: list[str], value: str) -> DataFrame:
     return scores.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
 
 
+def quartiles(scores: DataFrame, keys: list[str], value: str, bins: int = 4096) -> DataFrame:
+    """keys, q1, median and q3, exact, between neighbours by linear interpolation.
+
+    Values are counted in bins of equal width and numbered within a bin, so that no key's values meet in one task.
+    """
+    there = scores.where(F.col(value).isNotNull())
+    low, high = there.agg(F.min(value), F.max(value)).first()
+    width = (high - low) / bins if low is not None and high > low else 1.0
+    placed = numbered(there.select(*keys, value), keys, [value], width)
+
+    def at(share: float) -> Column:
+        place = (F.col("total") - 1) * share
+        below, rest = F.floor(place), place - F.floor(place)
+        part = F.when(F.col("position") == below, F.col(value) * (1 - rest)).when((F.col("position") == below + 1) & (rest > 0), F.col(value) * rest)
+        return F.sum(part)
+
+    return placed.groupBy(*keys).agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
+
+
 def box(scores: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Quartiles, and the least and greatest value within 1.5 interquartile ranges of them."""
-    q = scores.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = quartiles(scores, keys, value)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
-    return scores.join(F.broadcast(q), keys).groupBy(*keys, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"))
+    return scores.join(q, keys).groupBy(*keys, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"))
 
 
 def win_rate(wide: DataFrame, a: str, b: str) -> DataFrame:
@@ -87,8 +106,13 @@ def weighted_loss(batches: DataFrame, keys: list[str]) -> DataFrame:
     return batches.groupBy(*keys).agg((F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("loss"))
 
 
-def running_best(losses: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The least loss so far and whether the row improves on all before it."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    before = F.min("loss").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return losses.withColumn("best", F.min("loss").over(w)).withColumn("improved", F.coalesce(F.col("loss") < before, F.lit(True)))
+def running_best(losses: DataFrame, keys: list[str], order: str, width: float = BUCKET) -> DataFrame:
+    """The least loss so far and whether the row improves on all before it; ``order`` is a number, cut into buckets of ``width``."""
+    bucketed = losses.withColumn("_bucket", F.floor(F.col(order) / width))
+    least = bucketed.groupBy(*keys, "_bucket").agg(F.min("loss").alias("_least"))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    least = least.select(*keys, "_bucket", F.min("_least").over(earlier).alias("_earlier"))
+    here = F.min("loss").over(Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    met = beside(bucketed.withColumn("_here", here), least, [*keys, "_bucket"])
+    before = F.least("_here", "_earlier")  # passes over nulls
+    return met.withColumn("best", F.least("loss", before)).withColumn("improved", F.coalesce(F.col("loss") < before, F.lit(True))).drop("_bucket", "_here", "_earlier")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.scalar import uniform
@@ -18,7 +18,8 @@ def train_val_split(rows: DataFrame, share: float, seed: int, *ids: str, bins: i
     """``rows`` with part, 'val' for exactly max(1, share of the count, halves to even) of them.
 
     The border is the hash of the last row that belongs to the validation part: hashes are counted in ``bins``, and only
-    those of the bin with the border are sorted. Every row is then compared with it; no row is numbered.
+    those of the bin with the border are sorted. Every row is then compared with it; only rows at the border itself, more than one
+    where rows are repeated, are numbered.
     """
     hashed = rows.withColumn("_u", uniform(*[F.col(c) for c in ids], F.lit(seed)))
     placed = hashed.select("_u", F.floor(F.col("_u") * bins).alias("_bin"))
@@ -28,8 +29,12 @@ def train_val_split(rows: DataFrame, share: float, seed: int, *ids: str, bins: i
         if left <= counts[at]:
             break
         left -= counts[at]
-    border = placed.where(F.col("_bin") == at).select("_u").orderBy("_u").limit(left).agg(F.max("_u").alias("_border"))
-    return hashed.crossJoin(F.broadcast(border)).withColumn("part", F.when(F.col("_u") <= F.col("_border"), "val").otherwise("train")).drop("_u", "_border")
+    border = placed.where(F.col("_bin") == at).select("_u").orderBy("_u").limit(left).groupBy(F.col("_u").alias("_border")).agg(F.count("*").alias("_some")).orderBy(F.desc("_border")).limit(1)
+    met = hashed.crossJoin(F.broadcast(border))  # one row
+    nth = F.row_number().over(Window.partitionBy("_u").orderBy(*ids))
+    there = met.where("_u = _border").withColumn("part", F.when(nth <= F.col("_some"), "val").otherwise("train"))
+    rest = met.where("_u <> _border").withColumn("part", F.when(F.col("_u") < F.col("_border"), "val").otherwise("train"))
+    return rest.unionByName(there).drop("_u", "_border", "_some")
 
 
 def minibatches(rows: DataFrame, size: int, seed: int, epoch: int, keys: list[str], *ids: str, bins: int = 1024) -> DataFrame:

@@ -21,7 +21,7 @@ from fieldloom.functions import scalar
 BUCKET = 1 << 14  # steps or ticks of a bucket
 
 
-def _with(rows: DataFrame, per: DataFrame, keys: list[str]) -> DataFrame:
+def beside(rows: DataFrame, per: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` with the other columns of ``per``, which has a row for each of ``keys``; nulls are equal."""
     same = reduce(and_, [F.col(f"r.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys])
     return rows.alias("r").join(per.alias("p"), same).select("r.*", *[F.col(f"p.{c}") for c in per.columns if c not in keys])
@@ -37,10 +37,19 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], width: float =
     counts = bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_here"))
     starts = counts.select(*keys, "_bucket", (F.sum("_here").over(whole.orderBy("_bucket")) - F.col("_here")).alias("_start"), F.sum("_here").over(whole).alias("total"))
     within = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)) - 1
-    placed = _with(bucketed.withColumn("_at", within), starts, [*keys, "_bucket"])
+    placed = beside(bucketed.withColumn("_at", within), starts, [*keys, "_bucket"])
     return placed.withColumn("position", F.col("_at") + F.col("_start")).drop("_bucket", "_at", "_start")
 
 
+def preceded(rows: DataFrame, keys: list[str], order: str, column: str, name: str, width: float = BUCKET) -> DataFrame:
+    """``rows`` with ``name``, the value of ``column`` in the row before within ``keys``; ``order`` is a number, cut into buckets of ``width``."""
+    bucketed = rows.withColumn("_bucket", F.floor(F.col(order) / width))
+    ends = bucketed.groupBy(*keys, "_bucket").agg(F.max_by(column, order).alias("_end"))
+    ends = ends.select(*keys, "_bucket", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_before"))
+    here = F.lag(column).over(Window.partitionBy(*keys, "_bucket").orderBy(order))
+    return beside(bucketed.withColumn("_here", here), ends, [*keys, "_bucket"]).withColumn(name, F.coalesce("_here", "_before")).drop("_bucket", "_here", "_before")
+
+
 def resampled(series: DataFrame, step: int, bucket: int = BUCKET) -> DataFrame:
     """run, us, v at every multiple of ``step`` within each run's span, by linear interpolation.
 
@@ -51,7 +60,7 @@ def resampled(series: DataFrame, step: int, bucket: int = BUCKET) -> DataFrame:
     ends = bucketed.groupBy("run", "_bucket").agg(F.max(F.struct("us", "id", "v")).alias("_end"))
     before = ends.select("run", "_bucket", F.lag("_end").over(Window.partitionBy("run").orderBy("_bucket")).alias("_before"))
     last = F.lag(F.struct("us", "v")).over(Window.partitionBy("run", "_bucket").orderBy("us", "id"))
-    pairs = _with(bucketed.withColumn("_last", last), before, ["run", "_bucket"])
+    pairs = beside(bucketed.withColumn("_last", last), before, ["run", "_bucket"])
     last = F.coalesce("_last", F.when(F.col("_before").isNotNull(), F.struct("_before.us", "_before.v")))
     pairs = pairs.withColumn("_last", last).select("run", "us", "v", F.col("_last.us").alias("us0"), F.col("_last.v").alias("v0"))
     return ticks(pairs, step)
@@ -109,7 +118,7 @@ def autocorrelation(series: DataFrame, keys: list[str], most_lag: int, block: in
     """
     block = max(block, most_lag)
     means = series.groupBy(*keys).agg(F.avg("re").alias("_re"), F.avg("im").alias("_im"))
-    centred = _with(series, means, keys).select(*keys, "pos", *[(F.col(c) - F.col(f"_{c}")).alias(c) for c in ("re", "im")])
+    centred = beside(series, means, keys).select(*keys, "pos", *[(F.col(c) - F.col(f"_{c}")).alias(c) for c in ("re", "im")])
     own = F.floor(F.col("pos") / block)
     near_end = F.col("pos") >= (own + 1) * block - most_lag
     dealt = centred.withColumn("_own", own).withColumn("_block", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))))
@@ -128,7 +137,7 @@ def full_autocorrelation(series: DataFrame, keys: list[str], block: int = BUCKET
     with the square of a run's blocks, as every lag takes every pair of them.
     """
     means = series.groupBy(*keys).agg(F.avg("re").alias("_re"), F.avg("im").alias("_im"), F.min("pos").alias("_first"), F.max("pos").alias("_last"))
-    centred = _with(series, means, keys)
+    centred = beside(series, means, keys)
     at = F.col("pos") - F.col("_first")
     parts = [F.coalesce(F.col(c) - F.col(f"_{c}"), F.lit(0.0)).alias(c) for c in ("re", "im")]
     placed = centred.select(*keys, (F.col("_last") - F.col("_first")).alias("_most"), F.floor(at / block).alias("_block"), (at % block).cast("int").alias("at"), *parts)
@@ -159,7 +168,7 @@ def full_autocorrelation(series: DataFrame, keys: list[str], block: int = BUCKET
     lag = F.col("apart") * block + F.when(F.col("_m") < block, F.col("_m")).otherwise(F.col("_m") - 2 * block)
     found = flat.select(*keys, lag.alias("lag"), "s").where("lag >= 0").groupBy(*keys, "lag").agg(F.sum("s").alias("s"))
     whole = placed.groupBy(*keys).agg(F.sum(scalar.abs2(F.col("re"), F.col("im"))).alias("_s0"), F.max("_most").alias("_most"))
-    return _with(found, whole, keys).where("lag between 1 and _most").select(*keys, "lag", F.when(F.col("_s0") > 0, F.col("s") / F.col("_s0")).alias("acf"))
+    return beside(found, whole, keys).where("lag between 1 and _most").select(*keys, "lag", F.when(F.col("_s0") > 0, F.col("s") / F.col("_s0")).alias("acf"))
 
 
 def cumulative(lengths: DataFrame) -> DataFrame:
@@ -168,12 +177,28 @@ def cumulative(lengths: DataFrame) -> DataFrame:
     return lengths.withColumn("high", high).withColumn("low", F.col("high") - F.col("length"))
 
 
-def located(positions: DataFrame, ranges: DataFrame) -> DataFrame:
-    """position, run and local: where in which run each position of the pool lies."""
-    joined = positions.join(F.broadcast(ranges), (F.col("position") >= F.col("low")) & (F.col("position") < F.col("high")))
+def located(positions: DataFrame, ranges: DataFrame, block: int = BUCKET) -> DataFrame:
+    """position, run and local: where in which run each position of the pool lies. Both sides meet by block of positions; a range lists the blocks it reaches into."""
+    reach = F.sequence(F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block))
+    listed = ranges.where("low < high").withColumn("_block", F.explode(reach))
+    joined = positions.withColumn("_block", F.floor(F.col("position") / block)).join(listed, "_block").where("position >= low and position < high")
     return joined.select("position", "run", (F.col("position") - F.col("low")).alias("local"))
 
 
+def coarsened(series: DataFrame, interval: int, bucket: int = 3_600_000_000) -> DataFrame:
+    """run, position, us and v of every k-th sample of each run, k being the interval over the run's first step, rounded, and at least 1."""
+    steps = step_size(series, bucket).withColumn("_stride", F.greatest(F.lit(1), F.round(interval / F.col("dt")).cast("long")))
+    placed = numbered(series.select("run", "us", "id", "v"), ["run"], ["us", "id"], bucket)
+    kept = beside(placed, steps.select("run", "_stride"), ["run"])
+    return kept.where(F.col("position") % F.coalesce("_stride", F.lit(1)) == 0).select("run", "position", "us", "v")
+
+
+def intersected(a: DataFrame, b: DataFrame, value: str, width: float = BUCKET) -> DataFrame:
+    """value, at_a and at_b: values that both tables have, and where each has its first one, counted from 1 in order of value."""
+    place = lambda rows, name: numbered(rows.select(value), [], [value], width).groupBy(value).agg((F.min("position") + 1).alias(name))
+    return place(a, "at_a").join(place(b, "at_b"), value)
+
+
 def controlled_steps(errors: Column, first_step: float, tolerance: float = 0.1) -> Column:
     """Step sizes after each of an array of error estimates: PI control, and three quarters after a rejection."""
     start = F.struct(F.lit(0.8 * tolerance).alias("before"), F.lit(first_step).alias("dt"), F.expr("cast(array() as array<double>)").alias("out"))
@@ -198,11 +223,11 @@ def step_sizes(errors: DataFrame, first_step: float, tolerance: float = 0.1, blo
     ends = rows.groupBy("run", "_block").agg(F.max(F.when(F.col("_kept").isNotNull(), F.struct("position", "_kept"))).alias("_end"))
     ends = ends.select("run", "_block", F.last("_end._kept", ignorenulls=True).over(earlier).alias("_before"))
     here = F.last("_kept", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1))
-    met = _with(rows.withColumn("_here", here), ends, ["run", "_block"])
+    met = beside(rows.withColumn("_here", here), ends, ["run", "_block"])
     before = F.coalesce("_here", "_before", F.lit(0.8 * tolerance))
     grown = 0.3 / 4 * F.log(0.75 * tolerance / F.col("r")) + 0.4 / 4 * F.log(before / F.col("r"))
     met = met.withColumn("_log", F.when(F.col("r") > tolerance, F.log(F.lit(0.75))).otherwise(grown))
     sums = met.groupBy("run", "_block").agg(F.sum("_log").alias("_sum"))
     starts = sums.select("run", "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_start"))
     summed = met.withColumn("_run_sum", F.sum("_log").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    return _with(summed, starts, ["run", "_block"]).select("run", "position", (first_step * F.exp(F.col("_start") + F.col("_run_sum"))).alias("dt"))
+    return beside(summed, starts, ["run", "_block"]).select("run", "position", (first_step * F.exp(F.col("_start") + F.col("_run_sum"))).alias("dt"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import grids, scalar
 from fieldloom.operators import assimilation, covariance, ensemble, learning, metrics, selection, sensors, series, spectral
 from fieldloom.plans import sql as S
+from fieldloom.session import new_folder
 from fieldloom.sources import stores, tables
 from fieldloom.streaming import series as stream_series
 
@@ -122,21 +123,6 @@ def mode_series(spark: SparkSession, d: str) -> DataFrame:
     return spectral.mode_series(tables.fields(spark, d), tables.SIDE).select("run", "t", "mode", fix("re", 8).alias("re"), fix("im", 8).alias("im"))
 
 
-@query(
-    MODES
-    + """,
-c AS (SELECT run, mode, row_number() OVER (PARTITION BY run, mode ORDER BY t) AS pos, re - avg(re) OVER (PARTITION BY run, mode) AS re, im - avg(im) OVER (PARTITION BY run, mode) AS im FROM modes),
-z AS (SELECT run, mode, sum(re * re + im * im) AS s0 FROM c GROUP BY ALL),
-l AS (SELECT a.run, a.mode, b.pos - a.pos AS lag, sum(a.re * b.re + a.im * b.im) AS s FROM c a JOIN c b ON a.run = b.run AND a.mode = b.mode AND b.pos - a.pos BETWEEN 1 AND 10 GROUP BY ALL)
-SELECT run, mode, CAST(lag AS INTEGER) AS lag, round(s / s0, 6) + 0.0 AS acf FROM l JOIN z USING (run, mode)"""
-)
-def mode_autocorrelation(spark: SparkSession, d: str) -> DataFrame:
-    """Lags to 10, as the SQL has them; ``mode_autocorrelation_all`` has every lag."""
-    modes = spectral.mode_series(tables.fields(spark, d), tables.SIDE)
-    placed = series.numbered(modes, ["run", "mode"], ["t"]).withColumnRenamed("position", "pos")
-    return series.autocorrelation(placed, ["run", "mode"], 10).withColumn("acf", fix("acf"))
-
-
 @query(
     MODES
     + """,
@@ -145,7 +131,7 @@ z AS (SELECT run, mode, sum(re * re + im * im) AS s0 FROM c GROUP BY ALL),
 l AS (SELECT a.run, a.mode, b.pos - a.pos AS lag, sum(a.re * b.re + a.im * b.im) AS s FROM c a JOIN c b ON a.run = b.run AND a.mode = b.mode AND b.pos > a.pos GROUP BY ALL)
 SELECT run, mode, lag, round(s / s0, 6) + 0.0 AS acf FROM l JOIN z USING (run, mode)"""
 )
-def mode_autocorrelation_all(spark: SparkSession, d: str) -> DataFrame:
+def mode_autocorrelation(spark: SparkSession, d: str) -> DataFrame:
     placed = series.numbered(spectral.mode_series(tables.fields(spark, d), tables.SIDE), ["run", "mode"], ["t"]).withColumnRenamed("position", "pos")
     return series.full_autocorrelation(placed, ["run", "mode"]).withColumn("acf", fix("acf"))
 
@@ -344,16 +330,8 @@ def cumulative_lengths(spark: SparkSession, d: str) -> DataFrame:
     return series.cumulative(tables.fields(spark, d).groupBy("run").agg(F.count("*").alias("length")))
 
 
-@query("WITH l AS (SELECT label AS run, count(*) AS n FROM embeddings GROUP BY label), r AS (SELECT run, sum(n) OVER (ORDER BY run) AS high, sum(n) OVER (ORDER BY run) - n AS low FROM l)\nSELECT p.x AS position, run, CAST(p.x - low AS BIGINT) AS local FROM range(0, (SELECT count(*) FROM embeddings), 7) p(x) JOIN r ON p.x >= low AND p.x < high")
-def run_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Every seventh position, as the SQL has them; ``run_lookup_all`` looks up every one."""
-    ranges = series.cumulative(tables.fields(spark, d).groupBy("run").agg(F.count("*").alias("length")))
-    total = tables.fields(spark, d).count()
-    return series.located(spark.range(0, total, 7).withColumnRenamed("id", "position"), ranges)
-
-
 @query("WITH l AS (SELECT label AS run, count(*) AS n FROM embeddings GROUP BY label), r AS (SELECT run, sum(n) OVER (ORDER BY run) AS high, sum(n) OVER (ORDER BY run) - n AS low FROM l)\nSELECT p.x AS position, run, CAST(p.x - low AS BIGINT) AS local FROM range(0, (SELECT count(*) FROM embeddings)) p(x) JOIN r ON p.x >= low AND p.x < high")
-def run_lookup_all(spark: SparkSession, d: str) -> DataFrame:
+def run_lookup(spark: SparkSession, d: str) -> DataFrame:
     lengths = tables.fields(spark, d).groupBy("run").agg(F.count("*").alias("length"))
     return series.located(spark.range(tables.fields(spark, d).count()).withColumnRenamed("id", "position"), series.cumulative(lengths))
 
@@ -410,18 +388,22 @@ def detailed_positions(spark: SparkSession, d: str) -> DataFrame:
     return placed.where(F.col("position").isin(0, 1, 2)).select("run", "t")
 
 
-@query(S.with_(S.MANIFEST) + "SELECT run, tau0 FROM manifest m WHERE EXISTS (SELECT 1 FROM embeddings e WHERE e.label = m.run AND vec_id % 97 = 0)")
+def artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """run of each file that the store of the training runs has, from a listing of its folders."""
+    place = new_folder(spark, "pool")
+    train = tables.split_runs(tables.manifest(spark, d), "train").select("run")
+    stores.write_stack(tables.fields(spark, d).join(F.broadcast(train), "run", "left_semi"), place)  # a row for each run
+    return stores.listed(spark, place, "*.parquet").select(F.regexp_extract("folder", r"^run=(\d+)$", 1).cast("int").alias("run"))
+
+
+@query(S.with_(S.MANIFEST) + "SELECT run, tau0 FROM manifest WHERE split = 'train'")
 def runs_with_artifacts(spark: SparkSession, d: str) -> DataFrame:
-    """Files are every 97th snapshot, as the SQL has them; ``runs_with_times`` asks for a whole table."""
-    files = tables.fields(spark, d).where("t % 97 = 0").select("run")
-    return selection.with_artifacts(tables.manifest(spark, d), files).select("run", "tau0")
+    return selection.with_artifacts(tables.manifest(spark, d), artifacts(spark, d)).select("run", "tau0")
 
 
-@query(S.with_(S.MANIFEST) + "SELECT run, tau0 FROM manifest m WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.label = m.run AND vec_id % 97 = 0)")
+@query(S.with_(S.MANIFEST) + "SELECT run, tau0 FROM manifest WHERE split <> 'train'")
 def runs_without_artifacts(spark: SparkSession, d: str) -> DataFrame:
-    """Files are every 97th snapshot, as the SQL has them; ``runs_without_times`` asks for a whole table."""
-    files = tables.fields(spark, d).where("t % 97 = 0").select("run")
-    return selection.without_artifacts(tables.manifest(spark, d), files).select("run", "tau0")
+    return selection.without_artifacts(tables.manifest(spark, d), artifacts(spark, d)).select("run", "tau0")
 
 
 TIMED = S.with_(S.MANIFEST, "timed AS (SELECT DISTINCT dense_rank() OVER (ORDER BY event_type) - 1 AS run FROM events)")
@@ -456,14 +438,8 @@ def snapshot_names(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("snapshot_"), F.col("t"), F.lit(".parquet")).alias("file_name"))
 
 
-@query("SELECT 'snapshot_' || vec_id || '.parquet' AS file_name, CAST(vec_id AS INTEGER) AS suffix, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS position FROM embeddings WHERE vec_id % 9 = 0")
-def files_by_suffix(spark: SparkSession, d: str) -> DataFrame:
-    """Every ninth name, as the SQL has them; ``files_by_suffix_all`` lists every one."""
-    return tables.by_suffix(snapshot_names(tables.fields(spark, d).where("t % 9 = 0"))).withColumn("position", F.col("position").cast("int"))
-
-
 @query("SELECT 'snapshot_' || vec_id || '.parquet' AS file_name, CAST(vec_id AS INTEGER) AS suffix, row_number() OVER (ORDER BY vec_id) - 1 AS position FROM embeddings")
-def files_by_suffix_all(spark: SparkSession, d: str) -> DataFrame:
+def files_by_suffix(spark: SparkSession, d: str) -> DataFrame:
     return tables.by_suffix(snapshot_names(tables.fields(spark, d)))
 
 
@@ -507,51 +483,115 @@ def step_size(spark: SparkSession, d: str) -> DataFrame:
     return series.step_size(tables.series(spark, d))
 
 
-@query(
-    S.with_(S.SERIES, "c AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY us, id) AS pos, v - avg(v) OVER (PARTITION BY run) AS v FROM series)", "z AS (SELECT run, sum(v * v) AS s0 FROM c GROUP BY run)")
-    + "SELECT a.run, CAST(b.pos - a.pos AS INTEGER) AS lag, round(sum(a.v * b.v) / any_value(s0), 6) + 0.0 AS acf FROM c a JOIN c b ON a.run = b.run AND b.pos - a.pos BETWEEN 1 AND 20 JOIN z ON a.run = z.run GROUP BY a.run, b.pos - a.pos"
-)
-def series_autocorrelation(spark: SparkSession, d: str) -> DataFrame:
-    """Lags to 20, as the SQL has them; ``series_autocorrelation_all`` has every lag."""
-    placed = series.numbered(tables.series(spark, d), ["run"], ["us", "id"], 24 * HOUR).select("run", F.col("v").alias("re"), F.lit(0.0).alias("im"), F.col("position").alias("pos"))
-    return series.autocorrelation(placed, ["run"], 20).withColumn("acf", fix("acf"))
-
-
 @query(
     S.with_(S.SERIES, "c AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY us, id) AS pos, v - avg(v) OVER (PARTITION BY run) AS v FROM series)", "z AS (SELECT run, sum(v * v) AS s0 FROM c GROUP BY run)")
     + "SELECT a.run, b.pos - a.pos AS lag, round(sum(a.v * b.v) / any_value(s0), 6) + 0.0 AS acf FROM c a JOIN c b ON a.run = b.run AND b.pos > a.pos JOIN z ON a.run = z.run GROUP BY a.run, b.pos - a.pos"
 )
-def series_autocorrelation_all(spark: SparkSession, d: str) -> DataFrame:
+def series_autocorrelation(spark: SparkSession, d: str) -> DataFrame:
     placed = series.numbered(tables.series(spark, d), ["run"], ["us", "id"], 24 * HOUR).select("run", F.col("v").alias("re"), F.lit(0.0).alias("im"), F.col("position").alias("pos"))
     return series.full_autocorrelation(placed, ["run"]).withColumn("acf", fix("acf"))
 
 
-@query(
-    """WITH RECURSIVE e AS (SELECT label AS run, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, 0.02 + 0.1 * abs(CAST(embedding[1] AS DOUBLE)) AS r FROM embeddings),
-s AS (SELECT run, 0::BIGINT AS k, 0.08::DOUBLE AS before, 0.00001::DOUBLE AS dt FROM (SELECT DISTINCT run FROM e)
-  UNION ALL SELECT s.run, e.k, CASE WHEN r > 0.1 THEN before ELSE r END, CASE WHEN r > 0.1 THEN 0.75 * dt ELSE pow(0.075 / r, 0.075) * pow(before / r, 0.1) * dt END FROM s JOIN e ON s.run = e.run AND e.k = s.k + 1 WHERE e.k <= 12)
-SELECT run, CAST(k AS INTEGER) AS step, round(dt * 1000000, 5) AS micro FROM s WHERE k > 0"""
-)
-def step_controller(spark: SparkSession, d: str) -> DataFrame:
-    """The first twelve steps of each run, as the SQL has them; ``step_controller_all`` controls every step."""
-    first = series.strided(tables.fields(spark, d), 1, "t").where("position < 12")
-    errors = F.transform(F.array_sort(F.collect_list(F.struct("position", F.col("field")[0].alias("x")))), lambda x: 0.02 + 0.1 * F.abs(x["x"]))
-    steps = first.groupBy("run").agg(errors.alias("e")).select("run", F.posexplode(series.controlled_steps(F.col("e"), 1e-5)).alias("at", "dt"))
-    return steps.select("run", (F.col("at") + 1).alias("step"), fix(F.col("dt") * 1e6, 5).alias("micro"))
-
-
 @query(
     """WITH RECURSIVE e AS (SELECT label AS run, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, 0.02 + 0.1 * abs(CAST(embedding[1] AS DOUBLE)) AS r FROM embeddings),
 s AS (SELECT run, 0::BIGINT AS k, 0.08::DOUBLE AS before, 0.00001::DOUBLE AS dt FROM (SELECT DISTINCT run FROM e)
   UNION ALL SELECT s.run, e.k, CASE WHEN r > 0.1 THEN before ELSE r END, CASE WHEN r > 0.1 THEN 0.75 * dt ELSE pow(0.075 / r, 0.075) * pow(before / r, 0.1) * dt END FROM s JOIN e ON s.run = e.run AND e.k = s.k + 1)
 SELECT run, k AS step, round(dt * 1000000, 5) AS micro FROM s WHERE k > 0"""
 )
-def step_controller_all(spark: SparkSession, d: str) -> DataFrame:
+def step_controller(spark: SparkSession, d: str) -> DataFrame:
     placed = series.numbered(tables.fields(spark, d), ["run"], ["t"])
     errors = placed.select("run", "position", (0.02 + 0.1 * F.abs(F.col("field")[0])).alias("r"))
     return series.step_sizes(errors, 1e-5).select("run", (F.col("position") + 1).alias("step"), fix(F.col("dt") * 1e6, 5).alias("micro"))
 
 
+# --- Stores: written, then read again -----------------------------------------------
+
+
+@query(S.with_(S.MANIFEST) + "SELECT run, round(tau0, 9) AS tau0, split, n, snapshots FROM manifest")
+def manifest_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    place = new_folder(spark, "manifest")
+    stores.write_manifest(tables.manifest(spark, d), place)
+    return stores.read_manifest(spark, place).withColumn("tau0", F.round("tau0", 9))
+
+
+@query(S.with_(S.CELLS) + "SELECT run, t, i, j, round(v, 6) + 0.0 AS v FROM cells")
+def stack_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    place = new_folder(spark, "stack")
+    stores.write_stack(tables.fields(spark, d), place)
+    return cells_of(stores.read_stack(spark, place), "field")
+
+
+@query("SELECT 'run=' || label AS folder, CAST(label AS INTEGER) AS suffix, row_number() OVER (ORDER BY label) - 1 AS position FROM (SELECT DISTINCT label FROM embeddings)")
+def folders_by_suffix(spark: SparkSession, d: str) -> DataFrame:
+    """Folders of a store, listed and put in order of the number that ends their names."""
+    place = new_folder(spark, "stack")
+    stores.write_stack(tables.fields(spark, d).select("run", "t"), place)
+    folders = stores.listed(spark, place, "*.parquet").select("folder").distinct()
+    numbered = tables.by_suffix(folders.withColumn("name", F.regexp_replace("folder", "=", "_")), "name")
+    return numbered.select("folder", "suffix", "position")
+
+
+@query("SELECT 'run=' || label AS folder, dense_rank() OVER (ORDER BY 'run=' || label) - 1 AS position FROM (SELECT DISTINCT label FROM embeddings)")
+def folders_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """The same in order of their names as text."""
+    place = new_folder(spark, "stack")
+    stores.write_stack(tables.fields(spark, d).select("run", "t"), place)
+    folders = stores.listed(spark, place, "*.parquet").select("folder").distinct()  # a row for each run
+    return folders.withColumn("position", (F.row_number().over(Window.orderBy("folder")) - 1).cast("long"))
+
+
+@query(S.with_(S.CELLS) + "SELECT run, count(DISTINCT t) AS snapshots, CAST(8 AS INTEGER) AS n FROM cells GROUP BY run")
+def stack_shape(spark: SparkSession, d: str) -> DataFrame:
+    """How many snapshots a store has of each run, and their side; its fields aren't read."""
+    place = new_folder(spark, "stack")
+    stores.write_stack(tables.fields(spark, d), place)
+    return stores.read_stack(spark, place).groupBy("run").agg(F.count("*").alias("snapshots"), F.max("n").alias("n"))
+
+
+@query(SPECTRUM + "SELECT run, t, round(sum(energy), 6) + 0.0 AS energy FROM spec GROUP BY run, t")
+def cached_energy(spark: SparkSession, d: str) -> DataFrame:
+    """Made under a key of its parameters, made anew when forced, and read from there the third time."""
+    place, parameters = new_folder(spark, "cache"), {"source": d, "side": tables.SIDE}
+    make = lambda: spectral.total_energy(spectrum(spark, d))
+    stores.cached(spark, place, "energy", parameters, make)
+    stores.cached(spark, place, "energy", parameters, make, force=True)
+    return stores.cached(spark, place, "energy", parameters, lambda: spark.range(0).toDF("run")).withColumn("energy", fix("energy"))
+
+
+@query(SPECTRUM + "SELECT run, t, round(sum(enstrophy), 6) + 0.0 AS enstrophy FROM spec GROUP BY run, t")
+def diagnostics_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Records added in two parts, of which one column is read again."""
+    place = new_folder(spark, "diagnostics")
+    records = spectrum(spark, d).groupBy("run", "t").agg(F.sum("energy").alias("energy"), F.sum("enstrophy").alias("enstrophy"))
+    for part in ("t % 2 = 0", "t % 2 = 1"):
+        stores.write_diagnostics(records.where(part), place)
+    return stores.read_diagnostics(spark, place, "run", "t", "enstrophy").withColumn("enstrophy", fix("enstrophy"))
+
+
+@query(SCORES + "SELECT run, t, round(background, 6) + 0.0 AS rrmse FROM wide")
+def records_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Experiment records with all their fields, of which the score reads two."""
+    place = new_folder(spark, "records")
+    stores.write_records(tables.estimates(tables.fields(spark, d)), place)
+    return spark.read.parquet(place).select("run", "t", fix(metrics.relative_rmse("x_b")).alias("rrmse"))
+
+
+@query(
+    S.with_(S.SERIES, "p AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY us, id) - 1 AS position FROM series)", "d AS (SELECT run, max(us) - min(us) AS dt FROM p WHERE position < 2 GROUP BY run)")
+    + "SELECT run, position, us, v FROM p JOIN d USING (run) WHERE position % coalesce(greatest(1, CAST(round(3600000000 / nullif(dt, 0)::DOUBLE) AS BIGINT)), 1) = 0"
+)
+def coarsened_series(spark: SparkSession, d: str) -> DataFrame:
+    return series.coarsened(tables.series(spark, d), HOUR).select("run", F.col("position").cast("long").alias("position"), "us", "v")
+
+
+@query("WITH a AS (SELECT DISTINCT CAST(floor(o_totalprice / 100) AS BIGINT) AS k FROM orders), b AS (SELECT DISTINCT CAST(floor(p_retailprice / 10) AS BIGINT) AS k FROM part), x AS (SELECT k, row_number() OVER (ORDER BY k) AS at_a FROM a), y AS (SELECT k, row_number() OVER (ORDER BY k) AS at_b FROM b)\nSELECT k, at_a, at_b FROM x JOIN y USING (k)")
+def value_intersection(spark: SparkSession, d: str) -> DataFrame:
+    """Values that two lists share, and where each has them."""
+    a = tables.table(spark, d, "orders").select(F.floor(F.col("o_totalprice") / 100).alias("k")).distinct()
+    b = tables.table(spark, d, "part").select(F.floor(F.col("p_retailprice") / 10).alias("k")).distinct()
+    return series.intersected(a, b, "k")
+
+
 # --- Sensors -----------------------------------------------------------------------
 
 SENSED = S.with_(S.CELLS, S.GRID, S.sensors(SENSORS, JITTER), "y AS (SELECT s.run, s.t, sid, si, sj, v AS y FROM sensors s JOIN cells c ON s.run = c.run AND s.t = c.t AND si = i AND sj = j)")
@@ -612,9 +652,10 @@ def tessellated_observation(spark: SparkSession, d: str) -> DataFrame:
     return flat.select("run", "t", F.expr("p div n").cast("int").alias("i"), (F.col("p") % F.col("n")).alias("j"), F.col("c.cell_sensor").alias("sid"), fix("c.cell_value").alias("v"))
 
 
-@query()
+@query(SENSED + f"SELECT run, t, sid, round(y + 0.1::DOUBLE * abs(y) * sqrt(-2 * ln({S.uniform('run', 't', 'sid', '4', '2')})) * cos(2 * pi() * {S.uniform('run', 't', 'sid', '4', '3')}), 6) + 0.0 AS y FROM y")
 def noisy_observations(spark: SparkSession, d: str) -> DataFrame:
-    return sensed(spark, d).select("run", "t", sensors.noisy("y", 0.1, 4).alias("y"))
+    flat = sensed(spark, d).select("run", "t", F.posexplode(sensors.noisy("y", 0.1, 4)).alias("sid", "y"))
+    return flat.withColumn("y", fix("y"))
 
 
 # --- Covariance and bases --------------------------------------------------------------
@@ -811,14 +852,8 @@ def simulate_ensemble(spark: SparkSession, d: str) -> DataFrame:
 def streamed(spark: SparkSession, d: str, result: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """``result`` of ``events`` as a stream, run to the end of what is there; the sink is a folder of the session's checkpoints."""
     import datetime
-    import os
-    import tempfile
-    import uuid
-
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    place = os.path.join(context.getCheckpointDir(), f"stream-{uuid.uuid4().hex}")
+
+    place = new_folder(spark, "stream")
     schema = tables.table(spark, d, "events").schema
     source = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     ts = F.col("ts").cast("timestamp")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +22,14 @@ def session(master: str = "local[*]", name: str = "fieldloom", **settings: str)
     }
     conf |= {k.replace("_", "."): v for k, v in settings.items()}
     return SparkSession.builder.master(master).appName(name).config(map=conf).getOrCreate()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder that isn't there yet, where ``spark.checkpoint.dir`` points; on this machine where that is empty and Spark runs in one process."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return os.path.join(context.getCheckpointDir(), f"{name}-{uuid.uuid4().hex}")

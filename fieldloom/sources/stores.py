@@ -50,6 +50,44 @@ def file_sizes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
 
 
+def listed(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """path, folder, file_name and length of the files whose name fits a glob pattern, at any depth; no file is opened."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).select("path", "length")
+    parts = F.split("path", "/")
+    return found.select("path", F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("file_name"), "length")
+
+
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """The runs of an ensemble as lines of JSON, readable by other programs."""
+    manifest.coalesce(1).write.mode("overwrite").json(path)  # a row for each run
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("run int, tau0 double, split string, n int, snapshots long").json(path)
+
+
+def write_diagnostics(records: DataFrame, path: str, mode: str = "append") -> None:
+    """Diagnostics of runs as they come; a run's records lie in a folder of its own, and a later call adds to them."""
+    records.write.mode(mode).partitionBy("run").parquet(path)
+
+
+def read_diagnostics(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """All diagnostics, or the named columns alone."""
+    rows = spark.read.parquet(path)
+    return rows.select(*columns) if columns else rows
+
+
+def write_weights(spark: SparkSession, weights: np.ndarray, path: str) -> None:
+    """A weight matrix, a row for each of its rows."""
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(np.atleast_2d(weights))]
+    spark.createDataFrame(rows, "row int, values array<double>").write.mode("overwrite").parquet(path)
+
+
+def read_weights(spark: SparkSession, path: str) -> np.ndarray:
+    """The matrix that ``write_weights`` wrote; it has the size of a grid, not of the data."""
+    return np.array([r["values"] for r in spark.read.parquet(path).orderBy("row").collect()])
+
+
 class _Records(InputPartition):
     def __init__(self, path: str, first: int, last: int) -> None:
         super().__init__(None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.operators.series import BUCKET, numbered
+from fieldloom.operators.series import BUCKET, numbered, preceded
 
 SIDE = 8  # an embedding of 64 numbers is a field of 8 by 8
 
@@ -72,8 +72,8 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def estimates(packed: DataFrame) -> DataFrame:
     """run, t, n, x_true and the estimates x_b (the run's snapshot before), x_v, x_da and x_3 (between it and the truth)."""
-    before = F.lag("field").over(Window.partitionBy("run").orderBy("t"))
-    pairs = packed.select("run", "t", "n", F.col("field").alias("x_true"), before.alias("x_b")).where("x_b is not null")
+    placed = preceded(packed.select("run", "t", "n", "field"), ["run"], "t", "field", "x_b")
+    pairs = placed.select("run", "t", "n", F.col("field").alias("x_true"), "x_b").where("x_b is not null")
     between = lambda w: F.zip_with("x_true", "x_b", lambda a, b: w * a + (1 - w) * b)
     return pairs.withColumns({"x_v": between(0.25), "x_da": between(0.5), "x_3": between(0.75)})
 

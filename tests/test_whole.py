@@ -33,7 +33,7 @@ def test_every_step_is_controlled(spark, block):
 
 
 def test_no_step_is_missing(spark):
-    assert QUERIES["step_controller_all"](spark, SMALL).count() == tables.fields(spark, SMALL).count()
+    assert QUERIES["step_controller"](spark, SMALL).count() == tables.fields(spark, SMALL).count()
 
 
 @pytest.mark.parametrize("width", [1, 10, 1000])
@@ -47,8 +47,8 @@ def test_every_name_is_numbered(spark, width):
 
 def test_no_name_or_position_is_missing(spark):
     t = sorted(r.t for r in tables.fields(spark, SMALL).select("t").collect())
-    assert sorted(r.suffix for r in QUERIES["files_by_suffix_all"](spark, SMALL).collect()) == t
-    assert sorted(r.position for r in QUERIES["run_lookup_all"](spark, SMALL).collect()) == list(range(len(t)))
+    assert sorted(r.suffix for r in QUERIES["files_by_suffix"](spark, SMALL).collect()) == t
+    assert sorted(r.position for r in QUERIES["run_lookup"](spark, SMALL).collect()) == list(range(len(t)))
 
 
 def test_runs_are_with_or_without_times(spark):
