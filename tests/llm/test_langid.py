@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import zlib
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +81,35 @@ def test_trigram_vectors_by_hand():
 def test_far_text_is_rejected(spark, model):
     docs = odd.documents(spark, [(1, "qzx xqz zzq qqx " * 40, None, None)])
     assert langid.identify(docs, model).first().rejected
+
+
+def vector_by_hand(text: str, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF of folded byte trigrams, one by one, scaled to length 1."""
+
+    def fold(c: str) -> str:
+        if ord(c) < 128:
+            return c.lower() if c.isalpha() else " "
+        return chr(ord(c) + 32) if 0xC0 <= ord(c) <= 0xDE and ord(c) != 0xD7 else c
+
+    raw, out = "".join(map(fold, text)).encode(), np.zeros(langid.SIZE)
+    for gram, n in Counter(raw[i : i + 3] for i in range(len(raw) - 2) if raw[i : i + 2] != b"  ").items():
+        out[(int.from_bytes(gram, "big") * 2654435761) % 2**32 >> (32 - langid.BITS)] += n
+    out = np.log1p(out) * idf
+    return out / max(np.sqrt((out * out).sum()), 1e-12)
+
+
+@pytest.mark.parametrize("where", ["odd", "table"])
+def test_predictions_by_hand(spark, model, where):
+    """Every whole text against every centroid: the nearest one's language, its cosine, and whether it is too far."""
+    docs = odd.documents(spark) if where == "odd" else table(spark, "/root/testdata/sf0.001", "documents")
+    got = sorted(map(tuple, langid.identify(docs, model).select("doc_id", "lang_pred", "score", "rejected").collect()), key=str)
+    want = []
+    for r in docs.select("doc_id", "text").collect():
+        if r.text is None or not any(c.isalpha() for c in r.text):
+            want.append((r.doc_id, "und", 0.0, False))
+            continue
+        cosine = model.centroids @ vector_by_hand(r.text, model.idf)
+        c = int(cosine.argmax())
+        want.append((r.doc_id, model.languages[c], min(1.0, max(0.0, float(cosine[c]))), bool(1 - cosine[c] > model.limits[c])))
+    for (i, lang, score, rejected), (j, theirs, cosine, far) in zip(got, sorted(want, key=str), strict=True):
+        assert (i, lang) == (j, theirs) and score == pytest.approx(cosine, abs=1e-5) and (rejected == far)
