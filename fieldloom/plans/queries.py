@@ -893,3 +893,20 @@ def stream_moments(spark: SparkSession, d: str) -> DataFrame:
 def stream_cadence(spark: SparkSession, d: str) -> DataFrame:
     found = streamed(spark, d, lambda rows: stream_series.cadence(rows, "1 hour"), "complete")
     return found.select("run", F.unix_micros("slot").alias("slot"), "us", "v")
+
+
+@query(S.with_(S.SERIES) + "SELECT run, start, round(avg(v), 5) + 0.0 AS mean, count(*) AS n_records FROM (SELECT run, v, unnest([us // 3600000000, us // 3600000000 - 1]) * 3600000000 AS start FROM series) GROUP BY run, start")
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """Means over windows of two hours that begin every hour."""
+    found = streamed(spark, d, lambda rows: stream_series.sliding(rows, "2 hours", "1 hour"), "complete")
+    return found.select("run", F.unix_micros("start").alias("start"), fix("mean", 5).alias("mean"), "n_records")
+
+
+@query(
+    S.with_(S.SERIES, "g AS (SELECT run, us, coalesce(us - lag(us) OVER (PARTITION BY run ORDER BY us) > 600000000, true) AS begins FROM series)", "n AS (SELECT run, us, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY us RANGE UNBOUNDED PRECEDING) AS session FROM g)")
+    + "SELECT run, min(us) AS start, max(us) + 600000000 AS end, count(*) AS n_records FROM n GROUP BY run, session"
+)
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Samples with less than ten minutes from each to the next."""
+    found = streamed(spark, d, lambda rows: stream_series.sessions(rows, "10 minutes"), "complete")
+    return found.select("run", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n_records")

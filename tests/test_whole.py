@@ -7,9 +7,10 @@ import os
 import numpy as np
 import pytest
 
-from fieldloom.operators import ensemble, series
+from fieldloom.operators import ensemble, metrics, selection, series
+from fieldloom.plans import queries
 from fieldloom.plans.queries import QUERIES
-from fieldloom.sources import tables
+from fieldloom.sources import stores, tables
 from fieldloom.streaming import series as stream_series
 from tests.compare import SMALL
 
@@ -94,3 +95,100 @@ def test_a_run_cut_by_its_steps_says_so(spark):
     whole, cut = (ensemble.simulated(m, 0.2, 0.05, 4, nu=1e-12, most_steps=k).collect() for k in (5000, 3))
     assert [r.status for r in whole] == [None] * 4
     assert [(r.run, r.t, r.time, r.field, r.status) for r in cut] == [("a", 0, None, None, "steps")]
+
+
+# --- Queries that SQL can't express, against numpy over the whole table ------------------
+
+
+def matrix(rows, column: str) -> np.ndarray:
+    return np.array([r[column] for r in rows])
+
+
+def rrmse(x: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    return np.linalg.norm(x - truth, axis=1) / np.linalg.norm(truth, axis=1)
+
+
+def test_pod_energy_against_svd(spark):
+    x = matrix(tables.fields(spark, SMALL).collect(), "field")
+    s = np.linalg.svd(x, compute_uv=False)
+    rows = QUERIES["pod_energy"](spark, SMALL).orderBy("mode").collect()
+    np.testing.assert_allclose([r.s for r in rows], s, rtol=1e-6)
+    np.testing.assert_allclose([r.energy for r in rows], np.cumsum(s**2) / (s**2).sum(), rtol=1e-8)
+
+
+def test_pod_reconstruct_against_svd(spark):
+    rows = tables.fields(spark, SMALL).orderBy("run", "t").collect()
+    x = matrix(rows, "field")
+    v = np.linalg.svd(x, full_matrices=False)[2][:16]
+    got = QUERIES["pod_reconstruct"](spark, SMALL).orderBy("run", "t").collect()
+    np.testing.assert_allclose([r.rrmse for r in got], rrmse(x @ v.T @ v, x), rtol=1e-6)
+    np.testing.assert_allclose(np.linalg.norm(matrix(got, "reduced"), axis=1), np.linalg.norm(x @ v.T, axis=1), rtol=1e-6)
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    """Tessellated observations and fields of the two parts, and a ridge fit on the first by least squares on widened rows."""
+    train, validation = (part.orderBy("run", "t").collect() for part in queries.training(spark, SMALL))
+
+    def fit(penalty: float) -> np.ndarray:
+        a = np.hstack([matrix(train, "cell_value"), np.ones((len(train), 1))])
+        ridge = np.sqrt(penalty) * np.eye(a.shape[1])[:-1]
+        return np.linalg.lstsq(np.vstack([a, ridge]), np.vstack([matrix(train, "field"), np.zeros((len(ridge), 64))]), rcond=None)[0]
+
+    return train, validation, lambda rows, w: matrix(rows, "cell_value") @ w[:-1] + w[-1], fit
+
+
+def test_inverse_operator_against_least_squares(spark, learned):
+    _, validation, infer, fit = learned
+    residual = matrix(validation, "field") - infer(validation, fit(1.0))
+    got = QUERIES["inverse_residuals"](spark, SMALL).orderBy("run", "t").collect()
+    np.testing.assert_allclose(matrix(got, "residual"), residual, atol=1e-6)
+    tries = QUERIES["inverse_operator_train"](spark, SMALL).orderBy("penalty").collect()
+    want = [((matrix(validation, "field") - infer(validation, fit(p))) ** 2).mean() for p in (0.1, 1.0, 10.0)]
+    np.testing.assert_allclose([r.loss for r in tries], want, rtol=1e-6)
+
+
+def test_in_distribution_check_against_least_squares(spark, learned):
+    train, _, infer, fit = learned
+    ids = {(r.run, r.t) for r in selection.sample(queries.training(spark, SMALL)[0], 10, 1, "run", "t").collect()}
+    some = [r for r in train if (r.run, r.t) in ids]
+    want = rrmse(infer(some, fit(1.0)), matrix(some, "field"))
+    r = QUERIES["in_distribution_check"](spark, SMALL).first()
+    np.testing.assert_allclose([r["mean"], r["std"], r["min"], r["max"]], [want.mean(), want.std(), want.min(), want.max()], rtol=1e-5)
+
+
+def test_split_is_exact_with_repeated_rows(spark):
+    rows = spark.range(50).selectExpr("id % 10 AS t")
+    for share in (0.1, 0.3, 0.5):
+        assert selection.train_val_split(rows, share, 2, "t").where("part = 'val'").count() == round(share * 50)
+
+
+@pytest.mark.parametrize("bins", [1, 7, 4096])
+def test_quartiles_are_exact(spark, bins):
+    rng = np.random.default_rng(bins)
+    values = {k: rng.choice(rng.standard_normal(9), n).tolist() for k, n in (("a", 40), ("b", 1), ("c", 2), ("d", 33))}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("d", None)], "method string, v double").repartition(3)
+    for r in metrics.quartiles(df, ["method"], "v", bins).collect():
+        np.testing.assert_allclose([r.q1, r.median, r.q3], np.quantile(values[r.method], [0.25, 0.5, 0.75]))
+
+
+@pytest.mark.parametrize("width", [1, 5, 1000])
+def test_what_came_before_does_not_depend_on_buckets(spark, width):
+    losses = np.random.default_rng(width).integers(0, 50, 60).tolist()
+    df = spark.createDataFrame([(run, k, float(x)) for run in ("a", None) for k, x in enumerate(losses)], "run string, t int, loss double").repartition(3)
+    for r in series.preceded(df, ["run"], "t", "loss", "before", width).collect():
+        assert r.before == (losses[r.t - 1] if r.t else None)
+    for r in metrics.running_best(df, ["run"], "t", width).collect():
+        assert r.best == min(losses[: r.t + 1]) and r.improved == (not r.t or losses[r.t] < min(losses[: r.t]))
+
+
+def test_weights_and_run_folders(spark, tmp_path):
+    w = np.random.default_rng(0).standard_normal((5, 4))
+    stores.write_weights(spark, w, str(tmp_path / "w"))
+    np.testing.assert_array_equal(stores.read_weights(spark, str(tmp_path / "w")), w)
+    a, b = (stores.run_folder(64, 0.1, "sin", {"tau0": t}) for t in (0.1, 0.1001))
+    assert a != b and a.rsplit("_", 1)[0] == b.rsplit("_", 1)[0] == "N64/baro_N64_forcing-sin_tau0-0.1"
+    stores.write_stack(tables.fields(spark, SMALL), str(tmp_path / "stack"))
+    assert stores.file_sizes(spark, str(tmp_path / "stack")).where("length > 0").count() > 0
+    plan = stores.read_stack(spark, str(tmp_path / "stack")).where("run = 3").select("t")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run" in plan and "ReadSchema: struct<t:bigint>" in plan
