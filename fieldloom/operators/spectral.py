@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,13 +36,21 @@ def _norms(n: int) -> tuple[np.ndarray, np.ndarray]:
     return k2, np.divide(1.0, k2, out=np.zeros_like(k2), where=k2 > 0)
 
 
-def shell_weights(n: int) -> np.ndarray:
-    """(modes, n/2 + 1): each mode's share in the two shells around its norm; none if it lies beyond n/2."""
+@lru_cache(maxsize=8)
+def _shells(n: int) -> tuple[np.ndarray, ...]:
+    """Modes within n/2, the shell below each one's norm, the shell above, and the share of the upper one."""
     k = np.sqrt(_norms(n)[0]).ravel()
     low, high = np.floor(k).astype(int), np.ceil(k).astype(int)
-    inside, out = np.flatnonzero(high <= n // 2), np.zeros((n * n, n // 2 + 1))
-    np.add.at(out, (inside, low[inside]), 1 - (k - low)[inside])
-    np.add.at(out, (inside, high[inside]), (k - low)[inside])
+    inside = np.flatnonzero(high <= n // 2)
+    return inside, low[inside], high[inside], (k - low)[inside]
+
+
+def shell_sums(flat: np.ndarray, n: int) -> np.ndarray:
+    """(rows, n/2 + 1): each mode of (rows, n * n) shared among the two shells around its norm; none if it lies beyond n/2."""
+    inside, low, high, upper = _shells(n)
+    out = np.empty((len(flat), n // 2 + 1))
+    for row, x in zip(out, flat[:, inside], strict=True):
+        row[:] = np.bincount(low, x * (1 - upper), n // 2 + 1) + np.bincount(high, x * upper, n // 2 + 1)
     return out
 
 
@@ -92,8 +102,8 @@ def shell_spectrum(fields: DataFrame, column: str = "field") -> DataFrame:
 
     def compute(n: int, x: np.ndarray) -> tuple[np.ndarray, ...]:
         power = np.abs(np.fft.fft2(x)) ** 2
-        flat, w = power.reshape(len(x), -1), shell_weights(n) * 0.5 / n**4
-        return (flat * _norms(n)[1].ravel()) @ w, flat @ w
+        flat = power.reshape(len(x), -1) * (0.5 / n**4)
+        return shell_sums(flat * _norms(n)[1].ravel(), n), shell_sums(flat, n)
 
     found = map_fields(fields, [column], {"energy": "array", "enstrophy": "array"}, compute, ["run", "t"])
     return found.select("run", "t", F.posexplode(F.arrays_zip("energy", "enstrophy")).alias("k", "s")).select("run", "t", "k", "s.energy", "s.enstrophy")

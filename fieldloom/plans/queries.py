@@ -691,6 +691,15 @@ def covariance_inverse(spark: SparkSession, d: str) -> DataFrame:
     + f"SELECT ai, aj, bi, bj, round(s / n * ({S.taper('d / 1.0::DOUBLE')}), 6) + 0.0 AS p FROM p, n"
 )
 def localized_covariance(spark: SparkSession, d: str) -> DataFrame:
+    return covariance.localized_moments(tables.fields(spark, d), 1.0).withColumn("p", fix("p"))
+
+
+LOCALIZED = SQL["localized_covariance"]
+
+
+@query(LOCALIZED)
+def localized_covariance_join(spark: SparkSession, d: str) -> DataFrame:
+    """The covariance as a join of near cells."""
     return covariance.localized_covariance(tables.cells(tables.fields(spark, d)), 1.0).withColumn("p", fix("p"))
 
 

@@ -164,13 +164,15 @@ def test_basis_of_a_rank_two_stack(spark):
     assert covariance.projected(x, basis).select(F.max(metrics.relative_rmse("restored", "field"))).first()[0] < 1e-7
 
 
-def test_localized_covariance_forms_agree(spark):
+@pytest.mark.parametrize("length", [0.4, 1.0, 1.5, 6.0])
+def test_localized_covariance_forms_agree(spark, length):
     x = [np.random.default_rng(k).standard_normal((8, 8)) for k in range(5)]
-    got = np.zeros((64, 64))
-    for r in covariance.localized_covariance(tables.cells(stack(spark, x)), 1.5).collect():
-        got[r.ai * 8 + r.aj, r.bi * 8 + r.bj] = r.p
-    want = covariance.dense_localized(stack(spark, x).withColumn("residual", F.col("field")), 8, 1.5)
-    np.testing.assert_allclose(got, want, atol=1e-10)
+    want = covariance.dense_localized(stack(spark, x).withColumn("residual", F.col("field")), 8, length)
+    for found in (covariance.localized_covariance(tables.cells(stack(spark, x)), length), covariance.localized_moments(stack(spark, x).repartition(3), length)):
+        got = np.zeros((64, 64))
+        for r in found.collect():
+            got[r.ai * 8 + r.aj, r.bi * 8 + r.bj] = r.p
+        np.testing.assert_allclose(got, want, atol=1e-10)
 
 
 def test_perfect_estimate(spark, noise):
