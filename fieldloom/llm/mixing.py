@@ -33,9 +33,9 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def key_of(doc_id: Column, weight: Column, seed: int) -> Column:
+def key_of(name: Column, weight: Column, seed: int) -> Column:
     """Exponential key: the smaller, the sooner it is taken."""
-    return -F.log(unit_hash(doc_id, F.lit(seed))) / F.when(weight > 0, weight).otherwise(F.lit(1.0))
+    return -F.log(unit_hash(name, F.lit(seed))) / F.when(weight > 0, weight).otherwise(F.lit(1.0))
 
 
 def targets(rows: DataFrame, rates: tuple[int, ...] = (3, 1, 2), percent: int = 150, most_epochs: int = 2) -> DataFrame:
@@ -112,11 +112,12 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 
 def _keyed(rows: DataFrame, weights: DataFrame, seed: int) -> DataFrame:
     """``rows`` with weight and key, by doc_id; ``weights`` is broadcast if it is small, so that texts need no shuffle."""
-    return rows.join(weights, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))).withColumn("key", key_of(F.col("doc_id"), F.col("weight"), seed))
+    return rows.join(weights, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))).withColumn("key", key_of(F.coalesce(F.col("doc_id").cast("string"), "_mix_name"), F.col("weight"), seed)).drop("_mix_name")
 
 
 def _sized(documents: DataFrame, *more: Column) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), *more)
+    name = F.when(F.col("doc_id").isNull(), F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("_mix_name")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), name, *more)
 
 
 def mix(documents: DataFrame, labels: DataFrame, seed: int = 17, **options) -> DataFrame:

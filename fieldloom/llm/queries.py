@@ -102,8 +102,8 @@ FROM n LEFT JOIN root USING (doc_id)
 OP2_SQL = r"""
 WITH
 good AS (SELECT doc_id, CASE WHEN min(quality) > 0 THEN 2.0 ELSE 0.5 END::DOUBLE AS weight FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, coalesce(weight, 1.0) AS weight FROM documents LEFT JOIN good USING (doc_id)),
-k AS (SELECT doc_id, source, size, -ln((CAST(concat('0x', substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '|17')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / weight AS key FROM d),
+d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, coalesce(weight, 1.0) AS weight, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS name FROM documents LEFT JOIN good USING (doc_id)),
+k AS (SELECT doc_id, source, size, -ln((CAST(concat('0x', substr(md5(concat(name, '|17')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / weight AS key FROM d),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 rated AS (SELECT *, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS rate, 2 * source_size AS cap, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE AS budget FROM per),
 level AS (SELECT *, (budget - coalesce(CAST(sum(cap) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0)) / CAST(sum(rate) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level

@@ -32,7 +32,8 @@ def by_hand(rows: list[tuple], weights: dict) -> list[str]:
     for doc_id, text, source in rows:
         n = len(odd.words(text))
         sizes[source] += n
-        u = (int(hashlib.md5(f"{'' if doc_id is None else doc_id}|17".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        name = hashlib.md5((text or "").encode()).hexdigest() if doc_id is None else doc_id
+        u = (int(hashlib.md5(f"{name}|17".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
         own[source].append((-math.log(u) / weights.get(doc_id, 1.0), -1 if doc_id is None else doc_id, n, doc_id))
     goal, out = goals(sizes), []
     for source, docs in own.items():
