@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 def gaspari_cohn(rho: Column) -> Column:
-    """The fifth-order compactly supported taper: 1 at 0, 0 from 2 on."""
+    """The fifth-order compactly supported taper: 1 at 0, 0 from 2 on. The coefficients are fixed values of the published function."""
     near = 1 - 5 / 3 * rho**2 + 5 / 8 * rho**3 + 1 / 2 * rho**4 - 1 / 4 * rho**5
     far = 4 - 5 * rho + 5 / 3 * rho**2 + 5 / 8 * rho**3 - 1 / 2 * rho**4 + 1 / 12 * rho**5 - 2 / 3 / rho
     return F.when(rho < 1, near).when(rho < 2, far).otherwise(0.0)

@@ -22,7 +22,7 @@ def correlation_spectrum(n: int, length: float, localize: bool = False) -> np.nd
 
 
 def taper(rho: np.ndarray) -> np.ndarray:
-    """The compactly supported taper on an array."""
+    """The compactly supported taper on an array. The coefficients are fixed values of the published function."""
     rho = np.asarray(rho, dtype=np.float64)
     near = np.polyval([-1 / 4, 1 / 2, 5 / 8, -5 / 3, 0, 1], rho)
     safe = np.maximum(rho, 1)
