@@ -6,8 +6,8 @@
    are candidates, and only those are compared. No pair becomes a row that isn't a link:
    a task compares signatures batch by batch, drops a pair as soon as the posterior probability of
    reaching the threshold falls below ``miss``, and confirms survivors on their full sets.
-3. First each bucket's smallest document meets the others. Buckets whose members the links found so far
-   connect are done with. In each that stays open, every two members that aren't connected meet, a pair in the
+3. First each bucket's smallest document meets the others. Buckets whose other members the links found so far
+   connect are done with. In each that stays open, every two of these others that aren't connected meet, a pair in the
    first bucket that both are in.
 4. Components of the links are the classes.
 
@@ -112,8 +112,8 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
-        large = cut(both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         edges = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -216,7 +216,8 @@ def _star_links(members: DataFrame, sets: DataFrame, percent: int, tests: tuple[
 
 def _bucket_links(members: DataFrame, known: DataFrame, sets: DataFrame, percent: int, tests: tuple[int, ...], block: int) -> DataFrame:
     """Links (a, b) that connect members of a bucket which ``known`` (node, root) leaves unconnected."""
-    rooted = members.join(known, F.col("rep") == F.col("node"), "left").select("band", "rep", "n_shingles", F.coalesce("root", "rep").alias("root"))
+    # Its smallest document has met all others of a bucket, so that what is left are pairs of those others.
+    rooted = members.where("rep <> hub").join(known, F.col("rep") == F.col("node"), "left").select("band", "rep", "n_shingles", F.coalesce("root", "rep").alias("root"))
     rooted = cut(rooted)
     still = cut(rooted.groupBy("band").agg(F.min("root").alias("one"), F.max("root").alias("other"), _blocks(block).alias("blocks")).where("one < other").select("band", "blocks"))
     dealt = rooted.join(still, "band").withColumn("mine", _mine(F.col("rep"))).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))

@@ -38,9 +38,16 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed once and stored in the shared folder; recovers from there if executors are lost."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df``, computed once and stored in the shared folder; recovers from there if executors are lost.
+
+    Shuffle files, and stored tables that nothing refers to any more, are deleted when the driver's JVM collects what they belong
+    to. A job of many steps would keep them all until it happens to, so it is asked for here.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    stored = df.checkpoint()
+    spark._jvm.System.gc()
+    return stored
 
 
 def small(stored: DataFrame, most: int = 1_000_000) -> DataFrame:
