@@ -111,13 +111,17 @@ class Model:
         return self.escape and not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, kind in self.pieces if kind in (NORMAL, USER, UNUSED))
 
     def merges(self) -> list[tuple[str, str]]:
-        """Every way to make a piece of two, in the order of the whole's score, then of its parts' ids."""
+        """Every way to make a piece of two, in the order of the whole's score; of ways to one piece that with the longest left part comes first.
+
+        The SentencePiece library takes the leftmost of pairs of one score. In a run of one character, where such pairs overlap, that order of the ways
+        gives the same.
+        """
         ids = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER)}
         ways = []
         for whole, i in ids.items():
             score = self.pieces[i][1]
-            ways += [(-score, ids[whole[:k]], ids[whole[k:]]) for k in range(1, len(whole)) if whole[:k] in ids and whole[k:] in ids]
-        return [(self.pieces[a][0], self.pieces[b][0]) for _, a, b in sorted(ways)]
+            ways += [(-score, -k, i, whole) for k in range(1, len(whole)) if whole[:k] in ids and whole[k:] in ids]
+        return [(whole[:-left], whole[-left:]) for _, left, _, whole in sorted(ways)]  # left is negative
 
     def normalizer(self, prefix: bool = True) -> normalizers.Normalizer:
         steps: list = []

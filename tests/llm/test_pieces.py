@@ -135,3 +135,12 @@ def test_what_is_forgotten_is_worked_out_again():
 
 def test_empty_table(spark):
     assert pieces.encode(odd.empty(spark), PATH).count() == 0
+
+
+def test_runs_of_one_character_against_the_library():
+    """Where pairs of one score overlap, the library takes the leftmost."""
+    c = pieces.Codec(PATH, verify=True)
+    texts = [x * n for x in (" ", "a", "=", "-", "ab", "na", "0", "\n") for n in range(1, 200)] + [" " * n + "word" for n in range(1, 120)]
+    ids, parts = c.encode(texts)
+    assert all(x.tolist() == c.reference.encode(t) for x, t in zip(ids, texts, strict=True))
+    assert all(c.parity(texts, ids, parts))
