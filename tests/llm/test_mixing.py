@@ -89,3 +89,11 @@ def test_the_stage_repeats_rows_as_the_mix_takes_them(spark):
 def test_empty_table(spark):
     assert mixing.mix(odd.empty(spark), odd.labels(spark)).count() == 0
     assert mixing.mixed_rows(odd.empty(spark), odd.labels(spark)).count() == 0
+
+
+def test_the_same_by_shuffles(spark, monkeypatch):
+    """Beyond a million weights their join shuffles."""
+    docs, lab = odd.documents(spark), odd.labels(spark, [(5, 1, 0), (6, 0, 1)])
+    want, rows = shown(mixing.mix(docs, lab)), odd.sorted_rows(mixing.mixed_rows(docs, lab))
+    monkeypatch.setattr(mixing, "small", lambda stored: stored)
+    assert shown(mixing.mix(docs, lab)) == want and odd.sorted_rows(mixing.mixed_rows(docs, lab)) == rows

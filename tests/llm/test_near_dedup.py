@@ -99,3 +99,11 @@ def test_signatures_estimate_similarity():
     b = np.concatenate([a[:1000], rng.integers(0, 2**63, 300, dtype=np.uint64)])
     same = (nd.signature(a, 1024) == nd.signature(np.sort(b), 1024)).mean()
     assert same == pytest.approx(1000 / (len(a) + 300), abs=0.06)
+
+
+def test_the_same_by_shuffles(spark, monkeypatch):
+    """Beyond a million ids their joins shuffle; nothing is broadcast here."""
+    monkeypatch.setattr(nd, "small", lambda stored: stored)
+    docs = odd.documents(spark)
+    assert shown(nd.near_duplicates(docs)) == by_hand([(r[0], r[1]) for r in odd.TEXTS])
+    assert {4, 5, 6, 7, 9, 13} - {r.doc_id for r in nd.keep_one(docs).collect()} == {5, 6, 7, 13}
