@@ -36,7 +36,7 @@ from fieldloom.llm.shared import cut, returning, shuffle_tasks
 
 GRAM = 200  # bytes of an anchor; half of the default width
 PACKED = 4096  # anchors in an array
-HELD_BYTES = 8 << 20  # of texts or extents that a task gathers before it gives them out
+HELD_BYTES = 4 << 20  # of texts or extents that a task gathers before it gives them out
 _NO_ID = -(1 << 63)
 
 
@@ -84,7 +84,7 @@ def _anchor_rows(keyed: DataFrame, width: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             did, th = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for row, data, off in tk.slices(b.column(2), 1 << 21):
+            for row, data, off in tk.slices(b.column(2)):
                 d, first, more, p, anchor, extent = anchors_of(data, off, width, gram)
                 if not len(d):
                     continue
