@@ -107,9 +107,10 @@ def global_rank(df: DataFrame, *order) -> DataFrame:
 
 def resample(documents: DataFrame, target_ids: DataFrame, share: float, bits: int = 15, seed: int = 11) -> DataFrame:
     """doc_id, n_grams, log_weight, score, rank and kept: the Gumbel top-k, k being ``share`` of the documents with n-grams."""
-    weighed = log_weights(documents, fit_ratio(documents, target_ids, bits))
     noise = -F.log(-F.log(unit_hash(F.col("doc_id"), F.lit(seed))))
-    ranked = global_rank(weighed.withColumn("score", F.col("log_weight") + noise), F.col("score").desc_nulls_last(), F.col("doc_id").asc_nulls_last())
+    # Stored, as the order by ranges reads it twice: for its bounds, then for its rows.
+    weighed = cut(log_weights(documents, fit_ratio(documents, target_ids, bits)).withColumn("score", F.col("log_weight") + noise))
+    ranked = global_rank(weighed, F.col("score").desc_nulls_last(), F.col("doc_id").asc_nulls_last())
     k = int(round(share * ranked.where("score is not null").count()))
     return ranked.withColumn("kept", F.col("score").isNotNull() & (F.col("rank") <= k))
 
