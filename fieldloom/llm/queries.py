@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import importance, langid, mixing, near_dedup, packing, pieces, pii, quality_rules, repeats, topk
+from fieldloom.llm import bytepairs, importance, langid, mixing, near_dedup, packing, pieces, pii, quality_rules, repeats, topk
 from fieldloom.llm.shared import table
 
 
@@ -61,6 +61,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "parity", "round_trip")
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepairs.digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_repeated_strings": op9_repeated_strings,
     "op10_sentencepiece": op10_sentencepiece,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 OP3_SQL = """

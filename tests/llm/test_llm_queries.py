@@ -15,10 +15,10 @@ def test_matches_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == [*range(1, 11), 13]
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["op1_quality_rules", "op4_packed_tokens", "op6_importance_resampling", "op8_language_id", "op9_repeated_strings", "op10_sentencepiece"])
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op4_packed_tokens", "op6_importance_resampling", "op8_language_id", "op9_repeated_strings", "op10_sentencepiece", "op13_byte_bpe"])
 def test_runs(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
