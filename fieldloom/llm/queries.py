@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import bytepairs, importance, langid, mixing, near_dedup, packing, pieces, pii, quality_rules, repeats, topk
+from fieldloom.llm import bytepairs, importance, langid, mixing, near_dedup, packing, pieces, pii, quality_rules, repeats, topk, variants
 from fieldloom.llm.shared import table
 
 
@@ -61,6 +61,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "parity", "round_trip")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"), delete_one_in=97)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytepairs.digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_repeated_strings": op9_repeated_strings,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
@@ -121,6 +126,28 @@ FROM run JOIN whole ON run.source IS NOT DISTINCT FROM whole.source
 """
 
 
+#: CRC-32 from its polynomial, byte by byte; near words by what is left without a character, or with one masked.
+OP11_SQL = r"""
+WITH RECURSIVE
+codes AS (SELECT list_transform(range(256), lambda i: list_reduce([CAST(0 AS BIGINT), 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, CAST(i AS BIGINT))) AS code),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+each AS (SELECT doc_id, run, count(*) AS n, hex(encode(concat(doc_id, ':', run))) AS bytes FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_transform(range(1, length(bytes) // 2 + 1), lambda i: CAST(concat('0x', substr(bytes, 2 * i - 1, 2)) AS BIGINT)),
+  lambda c, b: xor(c >> 8, code[(xor(c, b) & 255) + 1]), 4294967295)) AS h FROM each, codes),
+spelt AS (SELECT CASE WHEN h % 97 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, n FROM hashed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+masks AS (SELECT DISTINCT word, concat(substr(word, 1, i), '*', substr(word, i + 2)) AS mask FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+less AS (SELECT DISTINCT word, concat(substr(word, 1, i), substr(word, i + 2)) AS other FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+pairs AS (SELECT DISTINCT a.word, b.word AS other FROM masks a JOIN masks b ON a.mask = b.mask AND a.word <> b.word
+  UNION SELECT less.word, less.other FROM less JOIN v ON v.word = less.other UNION SELECT less.other, less.word FROM less JOIN v ON v.word = less.other),
+near AS (SELECT p.word, count(*) AS n_near, first(v.word ORDER BY v.n DESC, v.word) AS form, max(v.n) AS form_n FROM pairs p JOIN v ON v.word = p.other GROUP BY p.word),
+found AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * v.n THEN form END AS form, CASE WHEN form_n >= 2 * v.n THEN form_n END AS form_n FROM v LEFT JOIN near ON near.word = v.word),
+walk(word, root) AS (SELECT word, form FROM found WHERE form IS NOT NULL UNION ALL SELECT walk.word, found.form FROM walk JOIN found ON found.word = walk.root AND found.form IS NOT NULL),
+last AS (SELECT walk.word, walk.root FROM walk JOIN found ON found.word = walk.root AND found.form IS NULL)
+SELECT found.word, form, coalesce(root, found.word) AS root, n, n_near, form_n FROM found LEFT JOIN last ON last.word = found.word
+"""
+
+
 def _op7_sql() -> str:
     """Matches and the gaps between them give positions; the checks are list expressions."""
     patterns = {
@@ -166,4 +193,4 @@ FROM t LEFT JOIN per USING (doc)
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op2_source_mixing": OP2_SQL, "op3_exact_top_k": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op7_pii": _op7_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_source_mixing": OP2_SQL, "op3_exact_top_k": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op7_pii": _op7_sql(), "op11_spelling_variants": OP11_SQL}
