@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import bytepairs, importance, langid, mixing, near_dedup, packing, pieces, pii, quality_rules, repeats, topk, variants
+from fieldloom.llm import bytepairs, collocations, importance, langid, mixing, near_dedup, packing, pieces, pii, quality_rules, repeats, topk, variants
 from fieldloom.llm.shared import table
 
 
@@ -65,6 +65,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents"), delete_one_in=97)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytepairs.digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeated_strings": op9_repeated_strings,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_collocations": op12_collocations,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
@@ -148,6 +153,27 @@ SELECT found.word, form, coalesce(root, found.word) AS root, n, n_near, form_n F
 """
 
 
+OP12_SQL = r"""
+WITH
+d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT doc, lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+inside AS (SELECT lang, part AS phrase, max(a) AS longer FROM (
+  SELECT lang, a, unnest(list_transform(range(1, k - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS part FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
+cuts AS (SELECT lang, phrase, a, w, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)),
+scored AS (SELECT cuts.lang, cuts.phrase, a, cut, x.f AS l, y.f AS r, CAST((CAST(2000000 AS HUGEINT) * a) // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = tail),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM weakest JOIN totals USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
 def _op7_sql() -> str:
     """Matches and the gaps between them give positions; the checks are list expressions."""
     patterns = {
@@ -193,4 +219,4 @@ FROM t LEFT JOIN per USING (doc)
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op2_source_mixing": OP2_SQL, "op3_exact_top_k": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op7_pii": _op7_sql(), "op11_spelling_variants": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_source_mixing": OP2_SQL, "op3_exact_top_k": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL, "op7_pii": _op7_sql(), "op11_spelling_variants": OP11_SQL, "op12_collocations": OP12_SQL}
