@@ -76,9 +76,7 @@ def test_chunks_end_where_texts_do(spark):
 
 
 def test_odd_rows(spark):
-    rows = odd.crowded(odd.documents(spark))
-    rows = rows.union(rows).union(rows).union(rows)
-    rows = rows.union(rows).union(rows).union(rows)
+    rows = odd.crowded(odd.documents(spark, odd.TEXTS * 16)).coalesce(4)
     want = brute([(lang, t) for _, t, lang, _ in odd.TEXTS] * 16)
     assert want
     assert found(C.collocations(rows)) == want
