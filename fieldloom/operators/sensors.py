@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from fieldloom.functions import grids, scalar
 from fieldloom.operators.batch import map_fields
+from fieldloom.session import stored
 
 
 def placed(fields: DataFrame, per_side: int, radius: float = 3.0, seed: int = 0) -> DataFrame:
@@ -49,32 +50,104 @@ def noisy(values: str, share: float, seed: int) -> Column:
     return F.transform(values, add)
 
 
+def _tile_side(n: int, sensors: float) -> int:
+    """Tiles of about one sensor each."""
+    return max(1, math.isqrt(int(n * n / max(1.0, sensors))))
+
+
+def nearest_sensor(n: int, field: np.ndarray, si: np.ndarray, sj: np.ndarray, fields: int) -> np.ndarray:
+    """For each cell of ``fields`` grids the place, in ``field`` (sorted), ``si`` and ``sj``, of the nearest of its grid's sensors, the first of equals; -1 without any.
+
+    Sensors lie in square tiles. Cells search the tiles around their own ring by ring, all of them at once, and are done when nothing
+    farther out can be as near.
+    """
+    side = _tile_side(n, len(si) / max(1, fields))
+    across = -(-n // side)
+    tile = (field * across + si // side) * across + sj // side
+    order = np.argsort(tile, kind="stable")
+    starts = np.searchsorted(tile[order], np.arange(fields * across * across + 1))
+    left, total = np.arange(fields * n * n), max(1, len(si))
+    none = np.iinfo(np.int64).max
+    best = np.full(len(left), none)  # distance squared, then place
+    ring = 0
+    while len(left) and ring <= across:
+        grid, cell = np.divmod(left, n * n)
+        i, j = np.divmod(cell, n)
+        found = best[left]
+        for x in range(-ring, ring + 1):
+            for y in range(-ring, ring + 1) if abs(x) == ring else {-ring, ring}:
+                row, column = i // side + x, j // side + y
+                at = np.flatnonzero((row >= 0) & (row < across) & (column >= 0) & (column < across))
+                here = (grid[at] * across + row[at]) * across + column[at]
+                first, count = starts[here], starts[here + 1] - starts[here]
+                for k in range(int(count.max(initial=0))):
+                    some = count > k
+                    s = order[first[some] + k]
+                    c = at[some]
+                    found[c] = np.minimum(found[c], ((i[c] - si[s]) ** 2 + (j[c] - sj[s]) ** 2) * total + s)
+        best[left] = found
+        # What lies in no tile of these rings is at least this far away.
+        edge = np.minimum(np.minimum(i % side, side - 1 - i % side), np.minimum(j % side, side - 1 - j % side)) + ring * side + 1
+        left = left[(found == none) | (found // total >= edge**2)]
+        ring += 1
+    return np.where(best == none, -1, best % total).reshape(fields, n * n)
+
+
 def tessellated(observed: DataFrame, values: str = "y") -> DataFrame:
-    """``observed`` with cell_sensor and cell_value: for each cell the nearest sensor (Euclidean, not periodic; ties to the lowest number) and its value."""
+    """``observed`` with cell_sensor and cell_value: for each cell the nearest sensor (Euclidean, not periodic; ties to the lowest number) and its value; null without sensors."""
     schema = T.StructType([*observed.schema.fields, T.StructField("cell_sensor", T.ArrayType(T.IntegerType())), T.StructField("cell_value", T.ArrayType(T.DoubleType()))])
     names = observed.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, 64):
-                b = whole.slice(a, 64)
-                sensor, value = [], []
-                for n, si, sj, y in zip(*[b.column(names.index(c)).to_pylist() for c in ("n", "si", "sj", values)], strict=True):
-                    i, j = np.divmod(np.arange(n * n), n)
-                    nearest = ((i[:, None] - np.array(si)) ** 2 + (j[:, None] - np.array(sj)) ** 2).argmin(1)
-                    sensor.append(nearest.astype(np.int32))
-                    value.append(np.array(y, dtype=np.float64)[nearest])
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sensor, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float64()))], [*names, "cell_sensor", "cell_value"])
+            sizes = whole.column(names.index("n")).to_numpy()
+            for n in map(int, np.unique(sizes)):
+                same = whole.filter(pa.array(sizes == n)) if (sizes != n).any() else whole
+                step = max(1, (1 << 18) // (n * n))
+                for a in range(0, same.num_rows, step):
+                    b = same.slice(a, step)
+                    si, sj, y = (b.column(names.index(c)) for c in ("si", "sj", values))
+                    counts = np.asarray(si.value_lengths().fill_null(0))
+                    field = np.repeat(np.arange(b.num_rows), counts)
+                    i, j = (c.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in (si, sj))
+                    nearest = nearest_sensor(n, field, i, j, b.num_rows)
+                    number = pa.array((nearest - (np.cumsum(counts) - counts)[:, None]).ravel().astype(np.int32), mask=nearest.ravel() < 0)
+                    value = y.flatten().cast(pa.float64()).take(pa.array(nearest.ravel(), mask=nearest.ravel() < 0))
+                    ends = np.arange(b.num_rows + 1, dtype=np.int32) * (n * n)
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, number), pa.ListArray.from_arrays(ends, value)], [*names, "cell_sensor", "cell_value"])
 
     return observed.mapInArrow(run, schema)
 
 
 def tessellated_cells(sensors: DataFrame, n: int) -> DataFrame:
-    """run, t, i, j, sid, v of sensor rows run, t, sid, si, sj, y: the same as a join of each snapshot's sensors with the grid's cells."""
-    grid = F.broadcast(grids.index_grid(sensors.sparkSession, n))  # n * n rows
-    d2 = (F.col("i") - F.col("si")) ** 2 + (F.col("j") - F.col("sj")) ** 2
-    nearest = F.min(F.struct(d2.alias("d2"), "sid", "y"))
-    return sensors.crossJoin(grid).groupBy("run", "t", "i", "j").agg(nearest.alias("s")).select("run", "t", "i", "j", "s.sid", F.col("s.y").alias("v"))
+    """run, t, i, j, sid, v of sensor rows run, t, sid, si, sj, y: every cell of each snapshot with its nearest sensor, by joins.
+
+    Tiles have about one sensor each. A cell meets the sensors of the tiles in one ring after the other around its own; what no sensor of a
+    farther ring can change is settled, and only the others go on. A ring is stored before the next, so that its join is planned by what is left.
+    """
+    spark, keys = sensors.sparkSession, ["run", "t"]
+    snapshots = sensors.groupBy(*keys).agg(F.count("*").alias("_sensors"))
+    side = _tile_side(n, snapshots.agg(F.avg("_sensors")).first()[0] or 1)
+    numbers = F.sequence(F.lit(0), F.lit(n - 1))
+    cells = snapshots.select(*keys, F.explode(numbers).alias("i")).select(*keys, "i", F.explode(numbers).alias("j"))
+    tile = lambda c: F.floor(F.col(c) / side).cast("int")
+    dealt = sensors.select(*keys, tile("si").alias("x"), tile("sj").alias("y"), "si", "sj", "sid", F.col("y").alias("v"))
+    left, settled, ring = cells.withColumn("s", F.lit(None).cast("struct<d2:bigint,sid:int,v:double>")), None, 0
+    while True:
+        around = [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in range(-ring, ring + 1) for y in range(-ring, ring + 1) if max(abs(x), abs(y)) == ring]
+        asked = left.select(*keys, "i", "j", F.explode(F.array(*around)).alias("o")).select(*keys, "i", "j", (tile("i") + F.col("o.x")).alias("x"), (tile("j") + F.col("o.y")).alias("y"))
+        d2 = ((F.col("i") - F.col("si")) * (F.col("i") - F.col("si")) + (F.col("j") - F.col("sj")) * (F.col("j") - F.col("sj"))).cast("long")
+        met = asked.join(dealt, [*keys, "x", "y"]).groupBy(*keys, "i", "j").agg(F.min(F.struct(d2.alias("d2"), F.col("sid").cast("int").alias("sid"), F.col("v").cast("double").alias("v"))).alias("s"))
+        now = left.select(*keys, "i", "j", "s").unionByName(met).groupBy(*keys, "i", "j").agg(F.min("s").alias("s"))  # passes over nulls
+        at = lambda c: F.least(F.col(c) % side, side - 1 - F.col(c) % side)
+        edge = F.least(at("i"), at("j")) + (ring * side + 1)
+        now = stored(now.withColumn("_done", F.coalesce(F.col("s.d2") < edge * edge, F.lit(False)) | F.lit(ring * side >= n)))
+        over = now.where("_done").drop("_done")
+        settled = over if settled is None else settled.unionByName(over)
+        left = now.where("not _done").drop("_done")
+        if ring * side >= n or left.isEmpty():
+            return settled.select(*keys, "i", "j", "s.sid", "s.v")
+        ring += 1
 
 
 def disk(n: int, radius: float) -> np.ndarray:

@@ -90,6 +90,34 @@ def cadence(series: DataFrame, step: int) -> DataFrame:
     return slots.select("run", "slot", "x.us", "x.v")
 
 
+def least_before(rows: DataFrame, keys: list[str], order: list[str], column: str, name: str, width: float = BUCKET) -> DataFrame:
+    """``rows`` with ``name``, the least ``column`` of the rows before within ``keys`` (null at the first); the first of ``order`` is a number, cut into buckets of ``width``."""
+    bucketed = rows.withColumn("_bucket", F.floor(F.col(order[0]) / width))
+    before = Window.unboundedPreceding, -1
+    ends = bucketed.groupBy(*keys, "_bucket").agg(F.min(column).alias("_end"))
+    ends = ends.select(*keys, "_bucket", F.min("_end").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(*before)).alias("_earlier"))
+    here = F.min(column).over(Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(*before))
+    met = beside(bucketed.withColumn("_here", here), ends, [*keys, "_bucket"])
+    return met.withColumn(name, F.least("_here", "_earlier")).drop("_bucket", "_here", "_earlier")  # passes over nulls
+
+
+def cadence_with_lag(series: DataFrame, step: int, bucket: int = 3_600_000_000) -> DataFrame:
+    """run, record, us, v, lag: the samples that a recorder keeps which takes a sample once its due time has come and then
+    moves that time on by ``step``. It takes one a sample at most, so after a gap it lags behind and catches up; ``lag`` is how far.
+
+    A run's first sample is due at its own time, the k-th record k steps later. With p the position of a sample and f the steps since
+    the first that have begun by its time, records up to it are p + min(1, least f - p so far): a prefix minimum in place of the loop.
+    """
+    known = series.where("us is not null")
+    starts = known.groupBy("run").agg(F.min("us").alias("_since"))
+    placed = numbered(beside(known, starts, ["run"]), ["run"], ["us", "id"], bucket)
+    ahead = F.floor((F.col("us") - F.col("_since")) / step) + 1 - F.col("position")
+    met = least_before(placed.withColumn("_ahead", ahead), ["run"], ["us", "id"], "_ahead", "_before", bucket)
+    low = F.least(F.lit(1), F.col("_before"))
+    kept = met.withColumn("record", F.col("position") + low - 1).where(F.col("_ahead") >= low)
+    return kept.select("run", "record", "us", "v", (F.col("us") - F.col("_since") - F.col("record") * step).alias("lag"))
+
+
 def step_size(series: DataFrame, bucket: int = 3_600_000_000) -> DataFrame:
     """run and dt, the second time less the first."""
     placed = numbered(series.select("run", "us", "id"), ["run"], ["us", "id"], bucket).where("position < 2")

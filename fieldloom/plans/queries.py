@@ -460,11 +460,34 @@ def resample_linear(spark: SparkSession, d: str) -> DataFrame:
     return series.resampled(tables.series(spark, d), HOUR).withColumn("v", fix("v", 5))
 
 
-@query("WITH s AS (SELECT o_orderstatus AS run, epoch_us(o_orderdate) AS us, o_orderkey AS id, o_totalprice AS v FROM orders)\nSELECT run, us // 86400000000 AS slot, min(us) AS us, arg_min(v, (us, id)) AS v FROM s GROUP BY run, us // 86400000000")
-def cadence_record(spark: SparkSession, d: str) -> DataFrame:
+ORDER_SERIES = "series AS (SELECT o_orderstatus AS run, epoch_us(o_orderdate) AS us, o_orderkey AS id, o_totalprice AS v FROM orders)"
+
+
+def order_series(spark: SparkSession, d: str) -> DataFrame:
     us = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
-    rows = tables.table(spark, d, "orders").select(F.col("o_orderstatus").alias("run"), us.alias("us"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"))
-    return series.cadence(rows, 24 * HOUR)
+    return tables.table(spark, d, "orders").select(F.col("o_orderstatus").alias("run"), us.alias("us"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"))
+
+
+@query(S.with_(ORDER_SERIES) + "SELECT run, us // 86400000000 AS slot, min(us) AS us, arg_min(v, (us, id)) AS v FROM series GROUP BY run, us // 86400000000")
+def cadence_record(spark: SparkSession, d: str) -> DataFrame:
+    return series.cadence(order_series(spark, d), 24 * HOUR)
+
+
+def lagging(source: str, step: int) -> str:
+    """SQL of the recorder: each sample's slot less its position, and the least of those before it."""
+    return S.with_(source, f"p AS (SELECT *, row_number() OVER w - 1 AS p, us - min(us) OVER (PARTITION BY run) AS since FROM series WHERE us IS NOT NULL WINDOW w AS (PARTITION BY run ORDER BY us, id)), f AS (SELECT *, since // {step} + 1 - p AS f FROM p), m AS (SELECT *, least(1, min(f) OVER (PARTITION BY run ORDER BY us, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS m FROM f)") + (
+        f"SELECT run, p + m - 1 AS record, us, v, since - (p + m - 1) * {step} AS lag FROM m WHERE f >= m"
+    )
+
+
+@query(lagging(S.SERIES, HOUR))
+def cadence_with_lag(spark: SparkSession, d: str) -> DataFrame:
+    return series.cadence_with_lag(tables.series(spark, d), HOUR)
+
+
+@query(lagging(ORDER_SERIES, 24 * HOUR))
+def cadence_with_lag_orders(spark: SparkSession, d: str) -> DataFrame:
+    return series.cadence_with_lag(order_series(spark, d), 24 * HOUR, 30 * 24 * HOUR)
 
 
 @query(S.with_(S.SERIES, "b AS (SELECT min(us) AS start FROM series)") + "SELECT run, CAST(ceil(min(us)::DOUBLE / 3600000000) AS BIGINT) * 3600000000 AS tick FROM series, b WHERE us > 1704153600000000 GROUP BY run")

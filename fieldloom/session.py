@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", name: str = "fieldloom", **settings: str) -> SparkSession:
@@ -33,3 +33,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return os.path.join(context.getCheckpointDir(), f"{name}-{uuid.uuid4().hex}")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept in the folder of ``spark.checkpoint.dir``: what is built on it begins there, whichever executors are lost."""
+    new_folder(df.sparkSession, "stored")
+    return df.checkpoint()
