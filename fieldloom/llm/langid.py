@@ -2,7 +2,7 @@
 
 A text becomes a TF-IDF vector of hashed byte trigrams (letters in lower case,
 all else a space), scaled to length 1. Each language has several centroids, found by
-spherical k-means on a bounded sample of its labelled rows. A text takes the
+spherical k-means on a bounded sample of its labelled rows, an exact number of them whatever ids are null or repeated. A text takes the
 language of the centroid of the highest cosine; it is flagged ``rejected`` if
 its distance exceeds what nearly all of that language's training rows show.
 
@@ -16,14 +16,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm import textkernel as tk
-from fieldloom.llm.shared import returning, unit_hash
+from fieldloom.llm.shared import returning
 
 BITS = 12
 SIZE = 1 << BITS
@@ -107,17 +108,38 @@ def _spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarr
     return centre, (x @ centre.T).argmax(1)
 
 
-def fit_language_model(documents: DataFrame, per_language: int = 800, clusters: int = 3, accept: float = 0.999, seed: int = 5) -> LanguageModel:
-    """Fit on about ``per_language`` rows of each language, chosen by the hash of their ids.
+def _least_hashes(rows: DataFrame, quota: int, counts: dict[str, int]) -> dict[str, int]:
+    """For each language the ``quota``-th of the distinct ``_h`` of its rows in order, or its last.
 
-    The driver gets the trigram counts of those rows alone.
+    Only a share of each language's hashes is looked at, which grows where repeated rows leave fewer than ``quota`` different ones.
     """
-    rows = documents.where("lang is not null and text is not null")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    share = {k: min(1.0, 4 * quota / n) for k, n in counts.items()}
+    limits: dict[str, int] = {}
+    while share:
+        below = F.create_map(*[F.lit(x) for k, part in share.items() for x in (k, min(2**63 - 1, int(part * 2**63)))])
+        seen = rows.where(F.col("_h") <= below[F.col("lang")]).select("lang", "_h").distinct()
+        first = seen.withColumn("_nth", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_nth") <= quota)
+        found = {r[0]: (r[1], r[2]) for r in first.groupBy("lang").agg(F.max("_nth"), F.max("_h")).collect()}  # a row for each language
+        limits |= {k: h for k, (_, h) in found.items()}
+        share = {k: min(1.0, part * 64) for k, part in share.items() if part < 1 and found.get(k, (0, 0))[0] < quota}
+    return limits
+
+
+def fit_language_model(documents: DataFrame, per_language: int = 800, clusters: int = 3, accept: float = 0.999, most_rows: int = 20_000, most_languages: int = 1000) -> LanguageModel:
+    """Fit on ``per_language`` rows of each language, or as many as it has, and on ``most_rows`` in all.
+
+    The rows are those of the least hashes of id and text, each once, whatever ids are null or repeated. Of more than ``most_languages``
+    languages the most frequent ones are learned, so that a column full of errors can't grow the model. The driver gets the trigram counts
+    of those rows alone, sparse, and works on one language at a time.
+    """
+    h = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")), 1)
+    rows = documents.where("lang is not null and text is not null").select("lang", "text", h.alias("_h"))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not counts:
         return LanguageModel(np.ones(SIZE, np.float32), [], np.empty((0, SIZE), np.float32), np.empty(0))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
-    picked = rows.where(unit_hash(F.col("doc_id"), F.lit(seed)) < share[F.col("lang")]).select("lang", "text")
+    limits = _least_hashes(rows, max(1, min(per_language, most_rows // len(counts))), counts)
+    below = F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, v)])
+    picked = rows.where(F.col("_h") <= below[F.col("lang")]).groupBy("lang", "_h").agg(F.first("text").alias("text")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,25 +152,28 @@ def fit_language_model(documents: DataFrame, per_language: int = 800, clusters:
                             some = np.flatnonzero(x)
                             langs.append(b.column(0)[row + a + i].as_py())
                             grams.append(some.astype(np.int16).tobytes())
-                            tf.append(np.minimum(x[some], 2**31 - 1).astype(np.int32).tobytes())
+                            tf.append(np.log1p(x[some]).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.binary()), pa.array(tf, pa.binary())], ["lang", "grams", "tf"])
 
-    sample = picked.mapInArrow(returning(run), "lang string, grams binary, tf binary").toPandas().sort_values(["lang", "grams", "tf"])
-    x = np.zeros((len(sample), SIZE), dtype=np.float32)
-    for i, (grams, tf) in enumerate(zip(sample.grams, sample.tf, strict=True)):
-        x[i, np.frombuffer(grams, np.int16)] = np.log1p(np.frombuffer(tf, np.int32))
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + np.float32(1)
-    x = _unit(x * idf)
-    names, centres, limits = [], [], []
-    for lang in sorted(sample.lang.unique()):
-        own = x[(sample.lang == lang).to_numpy()]
-        centre, member = _spherical_kmeans(own, clusters)
+    sample = sorted((r.lang, bytes(r.grams), bytes(r.tf)) for r in picked.mapInArrow(returning(run), "lang string, grams binary, tf binary").collect())
+    seen = np.zeros(SIZE, dtype=np.int64)
+    for _, grams, _ in sample:
+        seen[np.frombuffer(grams, np.int16)] += 1
+    idf = np.log((1 + len(sample)) / (1 + seen)).astype(np.float32) + np.float32(1)
+    names, centres, limit = [], [], []
+    for lang, group in groupby(sample, key=lambda x: x[0]):
+        own = list(group)
+        x = np.zeros((len(own), SIZE), dtype=np.float32)
+        for i, (_, grams, tf) in enumerate(own):
+            x[i, np.frombuffer(grams, np.int16)] = np.frombuffer(tf, np.float32)
+        x = _unit(x * idf)
+        centre, member = _spherical_kmeans(x, clusters)
         for c in range(len(centre)):
-            distance = 1 - own[member == c] @ centre[c]
+            distance = 1 - x[member == c] @ centre[c]
             names.append(lang)
-            limits.append(float(np.quantile(distance, accept)) * 1.05 if len(distance) else 1.0)
+            limit.append(float(np.quantile(distance, accept)) * 1.05 if len(distance) else 1.0)
         centres.append(centre)
-    return LanguageModel(idf, names, np.concatenate(centres) if centres else np.empty((0, SIZE), np.float32), np.array(limits))
+    return LanguageModel(idf, names, np.concatenate(centres) if centres else np.empty((0, SIZE), np.float32), np.array(limit))
 
 
 def identify(documents: DataFrame, model: LanguageModel, *keep: Column) -> DataFrame:

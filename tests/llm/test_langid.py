@@ -113,3 +113,39 @@ def test_predictions_by_hand(spark, model, where):
         want.append((r.doc_id, model.languages[c], min(1.0, max(0.0, float(cosine[c]))), bool(1 - cosine[c] > model.limits[c])))
     for (i, lang, score, rejected), (j, theirs, cosine, far) in zip(got, sorted(want, key=str), strict=True):
         assert (i, lang) == (j, theirs) and score == pytest.approx(cosine, abs=1e-5) and (rejected == far)
+
+
+def invented(lang: int, k: int) -> str:
+    """A text of a language with syllables of its own."""
+    rng = np.random.default_rng([lang, 1])
+    syllables = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 3)) for _ in range(12)]
+    own = np.random.default_rng([lang, 2, k])
+    return " ".join("".join(own.choice(syllables, 3)) for _ in range(12))
+
+
+@pytest.mark.parametrize("name", [None, 7])
+def test_ids_that_are_null_or_all_the_same(spark, name):
+    """20,000 rows: an exact number of each language is learned, and half the table being one repeated row changes nothing."""
+    rows = [(name, invented(k % 4, k % 2000), f"l{k % 4}") for k in range(10_000)] + [(name, invented(0, 0), "l0")] * 10_000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit_language_model(df)
+    assert sorted(set(model.languages)) == ["l0", "l1", "l2", "l3"]
+    fresh = spark.createDataFrame([(name, invented(k % 4, 5000 + k), f"l{k % 4}") for k in range(400)], df.schema)
+    assert langid.identify(fresh, model, F.col("lang")).where("lang = lang_pred").count() >= 396
+    again = langid.fit_language_model(df.where("lang <> 'l0'").union(df.where("lang = 'l0'").distinct()))
+    np.testing.assert_allclose(model.centroids, again.centroids, atol=1e-6)
+
+
+def test_many_languages_share_the_rows_and_the_rarest_stay_out(spark):
+    rows = [(k, invented(k % 300, k), f"l{k % 300:03}") for k in range(6000)] + [(k, invented(999, k), f"once{k}") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit_language_model(df, most_rows=3000, most_languages=300)
+    assert sorted(set(model.languages)) == [f"l{k:03}" for k in range(300)]
+    fresh = spark.createDataFrame([(k, invented(k % 300, 9000 + k), f"l{k % 300:03}") for k in range(600)], df.schema)
+    assert langid.identify(fresh, model, F.col("lang")).where("lang = lang_pred").count() >= 590
+
+
+def test_exact_numbers_by_least_hashes(spark):
+    rows = [("a", h, None) for h in range(0, 2**62, 2**52)] + [("b", 5, None)] * 5000 + [("b", 2**61, None)]
+    df = spark.createDataFrame([(a, h) for a, h, _ in rows], "lang string, _h long")
+    assert langid._least_hashes(df, 3, {"a": 1024, "b": 5001}) == {"a": 2 * 2**52, "b": 2**61}
