@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import grids, scalar
-from fieldloom.operators import assimilation, covariance, ensemble, learning, metrics, selection, sensors, series, spectral
+from fieldloom.operators import assimilation, basis, covariance, ensemble, learning, metrics, selection, sensors, series, spectral
 from fieldloom.plans import sql as S
 from fieldloom.session import new_folder
 from fieldloom.sources import stores, tables
@@ -733,16 +733,41 @@ def pod_gram(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pod_energy(spark: SparkSession, d: str) -> DataFrame:
-    _, s = covariance.pod(tables.fields(spark, d), 8)
-    rows = spark.createDataFrame([(k, float(x)) for k, x in enumerate(s)], "mode int, s double")
-    return covariance.captured(rows)
+    fields = tables.fields(spark, d)
+    return basis.leading(fields, 16).energy(fields)
 
 
 @query()
 def pod_reconstruct(spark: SparkSession, d: str) -> DataFrame:
+    """Coefficients in 16 modes and how far the fields they stand for are off."""
+    fields = tables.fields(spark, d)
+    found = basis.leading(fields, 16)
+    truth = fields.select("run", "t", F.posexplode("field").alias("cell", "x"))
+    off = basis.restored(fields, found).join(truth, ["run", "t", "cell"]).groupBy("run", "t").agg(F.sqrt(F.sum((F.col("v") - F.col("x")) ** 2) / F.sum(F.col("x") ** 2)).alias("rrmse"))
+    return basis.reduced(fields, found).join(off, ["run", "t"])
+
+
+@query("SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS dot, (SELECT count(*) FROM embeddings WHERE embedding IS NULL) + 64 AS cells FROM range(1, 9) x(a), range(1, 9) y(b)")
+def basis_orthonormal(spark: SparkSession, d: str) -> DataFrame:
+    """Products of the leading modes with each other."""
+    modes = basis.leading(tables.fields(spark, d), 8).rows()
+    met = modes.select("cell", F.col("mode").alias("a"), F.col("value").alias("x")).join(modes.select("cell", F.col("mode").alias("b"), F.col("value").alias("y")), "cell")
+    return met.groupBy("a", "b").agg(fix(F.sum(F.col("x") * F.col("y"))).alias("dot"), F.count("*").alias("cells"))
+
+
+@query("SELECT 64 AS modes, round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 4) AS squares, 1.0::DOUBLE AS energy FROM embeddings")
+def basis_total(spark: SparkSession, d: str) -> DataFrame:
+    """All modes together have all squares of the stack."""
+    fields = tables.fields(spark, d)
+    return basis.leading(fields, 64).energy(fields).agg(F.count("*").alias("modes"), fix(F.sum(F.col("s") * F.col("s")), 4).alias("squares"), fix(F.max("energy")).alias("energy"))
+
+
+@query(S.with_(S.CELLS) + "SELECT run, t, i, j, round(v, 6) + 0.0 AS v FROM cells")
+def basis_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Every field from its coefficients in all modes."""
     fields = tables.fields(spark, d)
-    basis, _ = covariance.pod(fields, 16)
-    return covariance.projected(fields, basis).select("run", "t", "reduced", metrics.relative_rmse("restored", "field").alias("rrmse"))
+    rows = basis.restored(fields, basis.leading(fields, 64))
+    return rows.select("run", "t", F.floor(F.col("cell") / tables.SIDE).cast("int").alias("i"), (F.col("cell") % tables.SIDE).cast("int").alias("j"), fix("v").alias("v"))
 
 
 @query()
@@ -837,10 +862,10 @@ def cost_history(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def da_reduced(spark: SparkSession, d: str) -> DataFrame:
-    basis, s = covariance.pod(tables.fields(spark, d), 16)
+    modes, s = covariance.pod(tables.fields(spark, d), 16)
     variance = s[:16] ** 2 / max(1, tables.fields(spark, d).count() - 1)
     rows = problems(spark, d).withColumn("x_v", F.col("x_b"))
-    found = assimilation.analysed_reduced(rows, basis, variance, variance, STD_O)
+    found = assimilation.analysed_reduced(rows, modes, variance, variance, STD_O)
     return found.select("run", "t", "x_r", "x_r_cost", metrics.relative_rmse("x_r", "field").alias("rrmse"))
 
 
