@@ -138,65 +138,74 @@ def evenly(rows: DataFrame, most: int, *order: str, bucket: float = BUCKET) -> D
     return placed.where(hit | (F.col("total") <= most)).drop("total")
 
 
-def autocorrelation(series: DataFrame, keys: list[str], most_lag: int, block: int = BUCKET) -> DataFrame:
-    """keys, lag, acf: real part of the demeaned complex series' autocorrelation at lags 1 to ``most_lag``, 1 at lag 0.
+def full_autocorrelation(series: DataFrame, keys: list[str], tile: int = 16) -> DataFrame:
+    """keys, lag, acf: real part of the demeaned complex series' autocorrelation at every lag from 1 to the last position less the first, 1 at lag 0.
 
-    ``series`` has keys, re, im and pos (whole, consecutive). Each row meets the rows up to ``most_lag`` behind it by window, not
-    by join; a block of positions also gets the last ``most_lag`` rows of the block before it.
-    """
-    block = max(block, most_lag)
-    means = series.groupBy(*keys).agg(F.avg("re").alias("_re"), F.avg("im").alias("_im"))
-    centred = beside(series, means, keys).select(*keys, "pos", *[(F.col(c) - F.col(f"_{c}")).alias(c) for c in ("re", "im")])
-    own = F.floor(F.col("pos") / block)
-    near_end = F.col("pos") >= (own + 1) * block - most_lag
-    dealt = centred.withColumn("_own", own).withColumn("_block", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))))
-    ordered = Window.partitionBy(*keys, "_block").orderBy("pos")
-    terms = [(F.col("re") * F.lag("re", k).over(ordered) + F.col("im") * F.lag("im", k).over(ordered)).alias(f"l{k}") for k in range(1, most_lag + 1)]
-    met = dealt.select(*keys, "_own", "_block", scalar.abs2(F.col("re"), F.col("im")).alias("l0"), *terms).where("_own = _block")
-    sums = met.groupBy(*keys).agg(F.sum("l0").alias("s0"), F.array(*[F.sum(f"l{k}") for k in range(1, most_lag + 1)]).alias("s"))
-    return sums.select(*keys, F.posexplode("s").alias("at", "x"), "s0").select(*keys, (F.col("at") + 1).alias("lag"), F.when(F.col("s0") > 0, F.coalesce("x", F.lit(0.0)) / F.col("s0")).alias("acf"))
-
-
-def full_autocorrelation(series: DataFrame, keys: list[str], block: int = BUCKET, side: int = 16) -> DataFrame:
-    """keys, lag, acf: as ``autocorrelation``, at every lag from 1 to the last position less the first.
-
-    Each run is cut into blocks of positions, and a block is a row with arrays. Block a meets block a + apart in the group
-    (apart, a div side), which so holds at most 2 * side blocks; a group's sums are a spectrum, turned into lags once. The work grows
-    with the square of a run's blocks, as every lag takes every pair of them.
+    ``series`` has keys, re, im and pos (whole; what is missing counts as the mean). The lags are the inverse transform of the power spectrum of a run, padded to
+    m = n1 n2 places, a power of two at least twice its span. Both transforms are dealt out in four steps: position p1 + n1 p2 is in
+    column p1; columns are transformed, turned by their twiddle factors, and shuffled into rows k2, which give wavenumbers k2 + n2 k1; the rows' powers
+    go back the same way. A group has ``tile`` columns or rows of some sqrt(m) numbers each, and every number is shuffled three times, however long a run is.
     """
     means = series.groupBy(*keys).agg(F.avg("re").alias("_re"), F.avg("im").alias("_im"), F.min("pos").alias("_first"), F.max("pos").alias("_last"))
-    centred = beside(series, means, keys)
-    at = F.col("pos") - F.col("_first")
+    span = (F.col("_last") - F.col("_first")).cast("long")
+    bits = F.ceil(F.log2(2.0 * (span + 1))).cast("int")
+    means = means.withColumn("_most", span).withColumn("_n1", F.pow(F.lit(2.0), F.floor(bits / 2)).cast("int")).withColumn("_n2", F.pow(F.lit(2.0), bits - F.floor(bits / 2)).cast("int"))
     parts = [F.coalesce(F.col(c) - F.col(f"_{c}"), F.lit(0.0)).alias(c) for c in ("re", "im")]
-    placed = centred.select(*keys, (F.col("_last") - F.col("_first")).alias("_most"), F.floor(at / block).alias("_block"), (at % block).cast("int").alias("at"), *parts)
-    packed = placed.groupBy(*keys, "_most", "_block").agg(F.collect_list(F.struct("at", "re", "im")).alias("x"))
-    packed = packed.select(*keys, "_block", F.floor(F.col("_most") / block).alias("_blocks"), *[F.col(f"x.{c}").alias(c) for c in ("at", "re", "im")])
-    low = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - F.col("_block")), lambda k: F.struct(k.alias("apart"), F.floor(F.col("_block") / side).alias("tile"), F.lit(True).alias("low")))
-    high = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_block")), lambda k: F.struct(k.alias("apart"), F.floor((F.col("_block") - k) / side).alias("tile"), F.lit(False).alias("low")))
-    dealt = packed.withColumn("_to", F.explode(F.concat(low, high))).select(*keys, "_to.*", "_block", "at", "re", "im")
-
-    def met(group: pa.Table) -> pa.Table:
-        apart, spectra, total = group["apart"][0].as_py(), {True: {}, False: {}}, np.zeros(2 * block, complex)
-        for row in range(len(group)):
-            z = np.zeros(2 * block, complex)
-            at, re, im = (group[c][row].values.to_numpy() for c in ("at", "re", "im"))
-            z[at] = re + 1j * im
-            spectra[group["low"][row].as_py()][group["_block"][row].as_py()] = np.fft.fft(z)
-        for k, x in spectra[True].items():
-            if k + apart in spectra[False]:
-                total += x.conj() * spectra[False][k + apart]
-        sums = np.fft.ifft(total).real
-        columns = {k: group[k].slice(0, 1).combine_chunks() for k in keys}
-        return pa.table(columns | {"apart": pa.array([apart], pa.int64()), "s": pa.array([sums], pa.list_(pa.float64()))})
-
-    kinds = ", ".join(f"`{k}` {dealt.schema[k].dataType.simpleString()}" for k in keys)
-    sums = dealt.groupBy(*keys, "apart", "tile").applyInArrow(met, f"{kinds}, apart long, s array<double>")
-    # The last block entries of a spectrum's lags are those below apart * block.
-    flat = sums.select(*keys, "apart", F.posexplode("s").alias("_m", "s"))
-    lag = F.col("apart") * block + F.when(F.col("_m") < block, F.col("_m")).otherwise(F.col("_m") - 2 * block)
-    found = flat.select(*keys, lag.alias("lag"), "s").where("lag >= 0").groupBy(*keys, "lag").agg(F.sum("s").alias("s"))
-    whole = placed.groupBy(*keys).agg(F.sum(scalar.abs2(F.col("re"), F.col("im"))).alias("_s0"), F.max("_most").alias("_most"))
-    return beside(found, whole, keys).where("lag between 1 and _most").select(*keys, "lag", F.when(F.col("_s0") > 0, F.col("s") / F.col("_s0")).alias("acf"))
+    placed = beside(series, means, keys).select(*keys, "_most", "_n1", "_n2", (F.col("pos") - F.col("_first")).alias("_p"), *parts)
+    kinds = ", ".join(f"`{k}` {placed.schema[k].dataType.simpleString()}" for k in keys)
+    numbers = "_most long, _n1 int, _n2 int"
+
+    def read(group: pa.Table) -> tuple[int, int, int]:
+        return group["_tile"][0].as_py(), group["_n1"][0].as_py(), group["_n2"][0].as_py()
+
+    def same(group: pa.Table, rows: int) -> dict[str, pa.Array]:
+        """The keys and numbers of a group, for so many rows."""
+        return {c: pa.chunked_array([group[c].combine_chunks().take(pa.array(np.zeros(rows, np.int64)))]) for c in [*keys, "_most", "_n1", "_n2"]}
+
+    def dealt(group: pa.Table, at: int, z: np.ndarray) -> pa.Table:
+        """``z``, whose columns from ``at`` on have been transformed, in tiles of rows."""
+        starts = np.arange(0, len(z), tile)
+        flat = [z[a : a + tile].ravel() for a in starts]
+        return pa.table(same(group, len(starts)) | {"_tile": pa.array(starts // tile), "_at": pa.array(np.full(len(starts), at)), "re": pa.array([x.real for x in flat], pa.list_(pa.float64())), "im": pa.array([x.imag for x in flat], pa.list_(pa.float64()))})
+
+    def gathered(group: pa.Table, here: int, across: int) -> np.ndarray:
+        """The rows of a tile, ``across`` wide, from the pieces that columns sent."""
+        z = np.empty((here, across), complex)
+        for at, re, im in zip(group["_at"].to_pylist(), group["re"], group["im"], strict=True):
+            piece = (re.values.to_numpy() + 1j * im.values.to_numpy()).reshape(here, -1)
+            z[:, at : at + piece.shape[1]] = piece
+        return z
+
+    def columns(group: pa.Table) -> pa.Table:
+        number, n1, n2 = read(group)
+        own = np.arange(number * tile, min(n1, (number + 1) * tile))
+        z = np.zeros((n2, len(own)), complex)
+        p = group["_p"].to_numpy()
+        np.add.at(z, (p // n1, p % n1 - own[0]), group["re"].to_numpy() + 1j * group["im"].to_numpy())
+        z = np.fft.fft(z, axis=0) * np.exp(-2j * np.pi * (np.arange(n2)[:, None] * own % (n1 * n2)) / (n1 * n2))
+        return dealt(group, int(own[0]), z)
+
+    def rows(group: pa.Table) -> pa.Table:
+        number, n1, n2 = read(group)
+        own = np.arange(number * tile, min(n2, (number + 1) * tile))
+        power = np.abs(np.fft.fft(gathered(group, len(own), n1), axis=1)) ** 2
+        z = np.fft.ifft(power, axis=1).T * np.exp(2j * np.pi * (np.arange(n1)[:, None] * own % (n1 * n2)) / (n1 * n2))
+        return dealt(group, int(own[0]), z)
+
+    def lags(group: pa.Table) -> pa.Table:
+        number, n1, n2 = read(group)
+        own = np.arange(number * tile, min(n1, (number + 1) * tile))
+        sums = np.fft.ifft(gathered(group, len(own), n2), axis=1).real
+        lag = own[:, None] + n1 * np.arange(n2)
+        use = (lag >= 1) & (lag <= group["_most"][0].as_py())
+        return pa.table({k: v for k, v in same(group, int(use.sum())).items() if k in keys} | {"lag": pa.array(lag[use].astype(np.int64)), "s": pa.array(sums[use])})
+
+    packed = f"{kinds}, {numbers}, _tile long, _at long, re array<double>, im array<double>"
+    by_tile = [*keys, "_tile"]
+    first = placed.withColumn("_tile", F.floor(F.col("_p") % F.col("_n1") / tile))
+    found = first.groupBy(*by_tile).applyInArrow(columns, packed).groupBy(*by_tile).applyInArrow(rows, packed).groupBy(*by_tile).applyInArrow(lags, f"{kinds}, lag long, s double")
+    whole = placed.groupBy(*keys).agg(F.sum(scalar.abs2(F.col("re"), F.col("im"))).alias("_s0"))
+    return beside(found, whole, keys).select(*keys, "lag", F.when(F.col("_s0") > 0, F.col("s") / F.col("_s0")).alias("acf"))
 
 
 def cumulative(lengths: DataFrame) -> DataFrame:
