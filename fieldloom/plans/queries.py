@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import grids, scalar
-from fieldloom.operators import assimilation, basis, covariance, ensemble, learning, metrics, selection, sensors, series, spectral
+from fieldloom.operators import assimilation, basis, conjugate, covariance, ensemble, learning, metrics, selection, sensors, series, spectral
 from fieldloom.plans import sql as S
 from fieldloom.session import new_folder
 from fieldloom.sources import stores, tables
@@ -770,6 +770,32 @@ def basis_restored(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("run", "t", F.floor(F.col("cell") / tables.SIDE).cast("int").alias("i"), (F.col("cell") % tables.SIDE).cast("int").alias("j"), fix("v").alias("v"))
 
 
+SHIFT = 0.02
+
+
+def differences(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Entries (a, b, p) of the tapered second moments of what a snapshot and the one before differ by, and these differences by cell."""
+    pairs = tables.estimates(tables.fields(spark, d)).select("run", "t", "n", F.zip_with("x_true", "x_b", lambda a, b: a - b).alias("field"))
+    place = lambda i, j: (F.col(i) * tables.SIDE + F.col(j)).alias(i[0])
+    entries = covariance.localized_moments(pairs, LENGTH).select(place("ai", "aj"), place("bi", "bj"), "p")
+    return entries, pairs.select("run", "t", F.posexplode("field").alias("cell", "r"))
+
+
+@query(S.with_(S.CELLS, S.PAIRS) + "SELECT run, t, i, j, round(x_true - x_b, 5) + 0.0 AS back FROM pairs")
+def covariance_solve(spark: SparkSession, d: str) -> DataFrame:
+    """The covariance times the solution for each difference gives the difference again."""
+    entries, rights = differences(spark, d)
+    back = conjugate.applied(entries, conjugate.solved(entries, rights, SHIFT).select("run", "t", "cell", "x"), SHIFT)
+    return back.select("run", "t", F.floor(F.col("cell") / tables.SIDE).cast("int").alias("i"), (F.col("cell") % tables.SIDE).cast("int").alias("j"), fix("q", 5).alias("back"))
+
+
+@query()
+def covariance_form(spark: SparkSession, d: str) -> DataFrame:
+    """The quadratic form of each difference in the regularised inverse of their covariance."""
+    entries, rights = differences(spark, d)
+    return conjugate.quadratic(conjugate.solved(entries, rights, SHIFT))
+
+
 @query()
 def background_fields(spark: SparkSession, d: str) -> DataFrame:
     return covariance.with_background(tables.fields(spark, d), STD_B, LENGTH).select("run", "t", "x_b")
