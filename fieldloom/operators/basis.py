@@ -57,8 +57,8 @@ def _added(parts: DataFrame, tasks: int) -> DataFrame:
     return _batches(parts.repartition(tasks, "block"), SCHEMA, step, ["block", "v"], end)
 
 
-def _small(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
-    """The sum of arrays of ``shape``, columns by columns."""
+def summed(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """The sum of the arrays ``v``, each of ``shape``, as they stream into one task."""
     rows = _added(parts.select(F.lit(0).alias("block"), "v"), 1).collect()
     return np.array(rows[0].v).reshape(shape) if rows else np.zeros(shape)
 
@@ -89,7 +89,7 @@ class Columns:
                 yield [listed((v.values.to_numpy().reshape(one, -1) @ w.values.to_numpy().reshape(two, -1).T).reshape(1, -1))]
 
         met = self.table.join(other.table.withColumnRenamed("v", "w"), "block").select("v", "w")
-        return _small(_batches(met, "v array<double>", step, ["v"]), (one, two))
+        return summed(_batches(met, "v array<double>", step, ["v"]), (one, two))
 
     def less(self, other: Columns, matrix: np.ndarray) -> Columns:
         """The columns less the other's times a small matrix."""

@@ -3,16 +3,26 @@
 The operator is linear with a ridge penalty: its normal equations are sums over rows, which tasks add up,
 so training reads the data once whatever its size, and the driver solves a system of one grid's
 cells. A deep network would be a local library inside a task; it is left out on purpose.
+
+The same operator can be trained by mini-batches instead: gradients of a batch add up in the tasks, every epoch's weights and losses are stored as tables, and
+the weights of the least validation loss are read again. Weights have the size of a grid's cells squared, whatever the number of rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.batch import map_fields
+from fieldloom.operators.basis import summed
+from fieldloom.operators.batch import listed, map_fields, stacked
 from fieldloom.operators.covariance import moments
+from fieldloom.operators.metrics import running_best, weighted_loss
+from fieldloom.operators.selection import minibatches
+from fieldloom.sources import stores
 
 
 def fit_inverse(rows: DataFrame, penalty: float, inputs: str = "cell_value", target: str = "field") -> np.ndarray:
@@ -49,3 +59,60 @@ def trained(train: DataFrame, validation: DataFrame, penalties: list[float]) ->
 def residuals(rows: DataFrame, weights: np.ndarray) -> DataFrame:
     """Adds x_v and residual, the field less what is inferred."""
     return inferred(rows, weights).withColumn("residual", F.zip_with("field", "x_v", lambda a, b: a - b))
+
+
+def loss_and_gradient(rows: DataFrame, weights: np.ndarray, inputs: str = "cell_value", target: str = "field") -> tuple[int, float, np.ndarray]:
+    """Number of rows, mean squared error over their cells and its gradient in the weights; a task adds its rows up."""
+    shape = weights.shape
+    sent = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, total = sent.value, np.zeros((shape[0] + 2, shape[1]))
+        for b in batches:
+            if b.num_rows:
+                x = np.hstack([stacked(b.column(0), (shape[0] - 1,)), np.ones((b.num_rows, 1))])
+                off = x @ w - stacked(b.column(1), (shape[1],))
+                total[:-2] += 2 * x.T @ off
+                total[-2] += (off * off).sum(0)
+                total[-1] += b.num_rows
+        yield pa.RecordBatch.from_arrays([listed(total.reshape(1, -1))], ["v"])
+
+    total = summed(rows.select(inputs, target).mapInArrow(run, "v array<double>"), (shape[0] + 2, shape[1]))
+    sent.destroy()
+    n = int(total[-1, 0])
+    return n, float(total[-2].sum() / max(1, n * shape[1])), total[:-2] / max(1, n * shape[1])
+
+
+def trained_by_batches(train: DataFrame, validation: DataFrame, folder: str, epochs: int, size: int, rate: float, ids: list[str], seed: int = 0, inputs: str = "cell_value", target: str = "field") -> DataFrame:
+    """(epoch, loss, validation, best, improved) of training by mini-batches with Adam's steps from zero weights.
+
+    Each epoch deals the rows anew into batches of ``size``, by hashes of ``ids``, and writes them under ``folder``, a folder for each batch, so that a step reads its own
+    rows alone; the epoch's weights are kept under ``weights`` there, for ``best_weights``.
+    """
+    spark = train.sparkSession
+    widths = train.select(F.size(inputs), F.size(target)).first()
+    weights = np.zeros((widths[0] + 1, widths[1]))
+    rows = train.count()
+    first, second, step, history, checks = np.zeros_like(weights), np.zeros_like(weights), 0, [], []
+    for epoch in range(epochs):
+        place = f"{folder}/batches/{epoch}"
+        minibatches(train.select(*ids, inputs, target), size, seed, epoch, [], *ids).write.partitionBy("batch").parquet(place)
+        dealt = spark.read.parquet(place)
+        for batch in range(-(-rows // size)):
+            n, loss, gradient = loss_and_gradient(dealt.where(F.col("batch") == batch), weights, inputs, target)
+            history.append((epoch, batch, n, loss))
+            # Moments' decay and the least divisor are the published method's own values.
+            step += 1
+            first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
+            weights = weights - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        stores.write_weights(spark, weights, f"{folder}/weights/epoch={epoch}")
+        checks.append((epoch, loss_and_gradient(validation, weights, inputs, target)[1]))
+    losses = weighted_loss(spark.createDataFrame(history, "epoch int, batch int, n long, loss double"), ["epoch"])
+    kept = running_best(spark.createDataFrame(checks, "epoch int, loss double"), [], "epoch").withColumnRenamed("loss", "validation")
+    return losses.join(kept, "epoch")
+
+
+def best_weights(history: DataFrame, folder: str) -> np.ndarray:
+    """The weights stored after the last epoch that improved on all before it."""
+    epoch = history.where("improved").agg(F.max("epoch")).first()[0]
+    return stores.read_weights(history.sparkSession, f"{folder}/weights/epoch={epoch}")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import grids, scalar
 from fieldloom.operators import assimilation, basis, conjugate, covariance, ensemble, learning, metrics, selection, sensors, series, spectral
 from fieldloom.plans import sql as S
-from fieldloom.session import new_folder
+from fieldloom.session import new_folder, stored
 from fieldloom.sources import stores, tables
 from fieldloom.streaming import series as stream_series
 
@@ -852,6 +852,25 @@ def inverse_operator_train(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(tries, "penalty double, loss double, improved boolean")
 
 
+def by_batches(spark: SparkSession, d: str) -> tuple[DataFrame, str, DataFrame]:
+    """History and folder of training by batches, and the validation rows."""
+    train, validation = (stored(x) for x in training(spark, d))
+    folder = new_folder(spark, "training")
+    return learning.trained_by_batches(train, validation, folder, epochs=4, size=128, rate=0.01, ids=["run", "t"]), folder, validation
+
+
+@query()
+def training_history(spark: SparkSession, d: str) -> DataFrame:
+    return by_batches(spark, d)[0]
+
+
+@query()
+def trained_residuals(spark: SparkSession, d: str) -> DataFrame:
+    """What the best epoch's weights, read again, leave of the validation rows."""
+    history, folder, validation = by_batches(spark, d)
+    return learning.residuals(validation, learning.best_weights(history, folder)).select("run", "t", "residual")
+
+
 @query()
 def inverse_residuals(spark: SparkSession, d: str) -> DataFrame:
     train, validation = training(spark, d)
