@@ -86,6 +86,23 @@ def idft2_cells(modes: DataFrame, n: int) -> DataFrame:
     return rows.join(w, F.col("ki") == F.col("m")).groupBy("run", "t", F.col("k").alias("i"), "j").agg((F.sum(re) / (n * n)).alias("v"))
 
 
+def with_hermitian_noise(modes: DataFrame, power: DataFrame, n: int, seed: int) -> DataFrame:
+    """run, t, ki, kj, re, im with a seeded normal number of variance ``power`` (ki, kj, power; n * n rows, the same for a mode and its mirror) added to each mode.
+
+    A mode and its mirror (-ki, -kj) draw from one counter, keyed by run, t and the smaller of the two, and get conjugate numbers, a mode that is its own
+    mirror a real one: the field stays real, and no mode has to know of another.
+    """
+    mirror = [F.pmod(-F.col(k), F.lit(n)).cast("int") for k in ("ki", "kj")]
+    low = F.least(F.struct(F.col("ki").cast("int").alias("i"), F.col("kj").cast("int").alias("j")), F.struct(mirror[0].alias("i"), mirror[1].alias("j")))
+    met = modes.join(F.broadcast(power), ["ki", "kj"]).withColumn("_low", low)
+    u = lambda salt: scalar.uniform(F.col("run"), F.col("t"), F.col("_low.i"), F.col("_low.j"), F.lit(seed), F.lit(salt))
+    size, turn = F.sqrt(-2 * F.ln(u(0))) * F.sqrt("power"), 2 * math.pi * u(1)
+    own, first = (F.col("ki") == mirror[0]) & (F.col("kj") == mirror[1]), (F.col("ki") == F.col("_low.i")) & (F.col("kj") == F.col("_low.j"))
+    re = F.when(own, size * F.cos(turn)).otherwise(size * F.cos(turn) / math.sqrt(2))
+    im = F.when(own, 0.0).when(first, size * F.sin(turn) / math.sqrt(2)).otherwise(-size * F.sin(turn) / math.sqrt(2))
+    return met.select("run", "t", "ki", "kj", (F.col("re") + re).alias("re"), (F.col("im") + im).alias("im"))
+
+
 def mode_rows(spectral: DataFrame) -> DataFrame:
     """run, t, n, ki, kj, re, im: a row for each mode of packed re and im."""
     flat = spectral.select("run", "t", "n", F.posexplode(F.arrays_zip("re", "im")).alias("p", "z"))

@@ -684,14 +684,21 @@ def noisy_observations(spark: SparkSession, d: str) -> DataFrame:
 # --- Covariance and bases --------------------------------------------------------------
 
 
-@query(f"SELECT CAST(r AS INTEGER) AS r, round((1 + r / 9.0::DOUBLE) * exp(-r / 9.0::DOUBLE), 8) AS matern, round({S.taper('r / 9.0::DOUBLE')}, 8) + 0.0 AS taper FROM range(64) x(r)")
+@query("SELECT run, t, r, acf, round((1 + r / 2.0::DOUBLE) * exp(-r / 2.0::DOUBLE), 8) AS matern, round(" + S.taper("r / 2.0::DOUBLE") + f", 8) + 0.0 AS taper FROM ({SQL['radial_autocorrelation']})")
 def correlation_kernels(spark: SparkSession, d: str) -> DataFrame:
-    return covariance.kernel_table(spark, 64, 9.0).select("r", fix("matern", 8).alias("matern"), fix("taper", 8).alias("taper"))
+    """Each field's radial autocorrelation beside the model's and the taper."""
+    r = F.col("r").cast("double")
+    rows = spectral.radial_autocorrelation(tables.fields(spark, d)).withColumn("acf", fix("acf"))
+    return rows.select("run", "t", "r", "acf", fix(scalar.matern32(r, LENGTH), 8).alias("matern"), fix(scalar.gaspari_cohn(r / LENGTH), 8).alias("taper"))
 
 
-@query(S.with_(S.GRID, S.TWIDDLES, S.SK) + "SELECT ki, kj, round(sk, 6) + 0.0 AS sk FROM sk")
+@query(S.with_(S.CELLS, S.GRID, S.TWIDDLES, S.SK, S.dft("cells", "hat")) + "SELECT run, ki, kj, round(avg(re * re + im * im), 6) AS power, round(any_value(sk), 6) + 0.0 AS sk FROM hat JOIN sk USING (ki, kj) GROUP BY run, ki, kj")
 def stationary_spectrum(spark: SparkSession, d: str) -> DataFrame:
-    return covariance.spectrum_cells(spark, tables.SIDE, LENGTH).withColumn("sk", fix("sk"))
+    """Each run's mean power by mode beside the stationary covariance's spectrum."""
+    modes = spectral.dft2_cells(tables.cells(tables.fields(spark, d)), tables.SIDE)
+    power = modes.groupBy("run", "ki", "kj").agg(fix(F.avg(scalar.abs2(F.col("re"), F.col("im")))).alias("power"))
+    model = covariance.spectrum_cells(spark, tables.SIDE, LENGTH).select("ki", "kj", fix("sk").alias("sk"))
+    return power.join(F.broadcast(model), ["ki", "kj"])  # a row for each mode
 
 
 COVARIED = S.with_(S.CELLS, S.GRID, S.TWIDDLES, S.SK, S.dft("cells", "hat"), "top AS (SELECT max(sk) AS m FROM sk)", "out_hat AS (SELECT run, t, ki, kj, re * {f} AS re, im * {f} AS im FROM hat JOIN sk USING (ki, kj), top)", S.idft("out_hat", "filtered")) + "SELECT run, t, i, j, round(v, {d}) + 0.0 AS v FROM filtered"
@@ -917,20 +924,53 @@ def da_reduced(spark: SparkSession, d: str) -> DataFrame:
 # --- Dynamics --------------------------------------------------------------------------------
 
 
-@query("SELECT CAST(p // 8 AS INTEGER) AS i, CAST(p % 8 AS INTEGER) AS j, round(0.1 * sin(-pi() + (p // 8) * 2 * pi() / 8) ** 2, 8) + 0.0 AS sine, round(0.1 / cosh((-pi() + (p // 8) * 2 * pi() / 8) / 0.5) ** 2, 8) + 0.0 AS sech2 FROM range(64) r(p)")
+@query(S.with_(S.MANIFEST) + "SELECT run, CAST(p // 8 AS INTEGER) AS i, CAST(p % 8 AS INTEGER) AS j, round(tau0 * sin(-pi() + (p // 8) * 2 * pi() / 8) ** 2, 8) + 0.0 AS sine, round(tau0 / cosh((-pi() + (p // 8) * 2 * pi() / 8) / 0.5) ** 2, 8) + 0.0 AS sech2 FROM manifest, range(64) r(p)")
 def wind_stress(spark: SparkSession, d: str) -> DataFrame:
-    sine = grids.wind_stress(spark, 8, "sin", 0.1).select("i", "j", fix("tau", 8).alias("sine"))
-    return sine.join(grids.wind_stress(spark, 8, "sech2", 0.1, 0.5).select("i", "j", fix("tau", 8).alias("sech2")), ["i", "j"])
+    """Each run's wind, by its own strength."""
+    sine = grids.wind_stress(spark, 8, "sin", 1.0).select("i", "j", F.col("tau").alias("one"))
+    both = sine.join(grids.wind_stress(spark, 8, "sech2", 1.0, 0.5).select("i", "j", F.col("tau").alias("two")), ["i", "j"])
+    runs = tables.manifest(spark, d).select("run", "tau0").crossJoin(F.broadcast(both))  # a row for each cell of a grid
+    return runs.select("run", "i", "j", fix(F.col("tau0") * F.col("one"), 8).alias("sine"), fix(F.col("tau0") * F.col("two"), 8).alias("sech2"))
 
 
-@query(S.with_(S.WAVES) + "SELECT ki, kj, round(-1e-6 * k ** 16, 6) + 0.0 AS rate FROM wg")
+@query(S.with_(S.CELLS, S.TWIDDLES, S.WAVES, S.dft("cells", "hat")) + "SELECT run, t, ki, kj, round(re * exp(-1e-6 * k ** 16), 6) + 0.0 AS re, round(im * exp(-1e-6 * k ** 16), 6) + 0.0 AS im FROM hat JOIN wg USING (ki, kj)")
 def hyperviscosity(spark: SparkSession, d: str) -> DataFrame:
-    return grids.damping(spark, 8, 1e-6).withColumn("rate", fix("rate"))
+    """The modes of every field after a unit of time of damping alone."""
+    modes = spectral.dft2_cells(tables.cells(tables.fields(spark, d)), 8).join(F.broadcast(grids.damping(spark, 8, 1e-6)), ["ki", "kj"])  # a row for each mode
+    return modes.select("run", "t", "ki", "kj", *[fix(F.col(c) * F.exp("rate")).alias(c) for c in ("re", "im")])
+
+
+FORCING = "forcing AS (SELECT ki, kj, CASE WHEN k = 0 THEN 0 ELSE 2 * (1 + 0.5 * cos(2 * phi)) * k * exp(-0.5 * (k - 3) ** 2) / sqrt(2 * pi()) END AS power FROM (SELECT *, CASE WHEN kx = 0 AND ky = 0 THEN 0 WHEN ky = 0 THEN pi() / 2 ELSE atan(kx / ky) END AS phi FROM wg))"
+
+
+def forced(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The modes of every field, and the power of the forcing by mode."""
+    return spectral.dft2_cells(tables.cells(tables.fields(spark, d)), 8), grids.forcing_spectrum(spark, 8, 3.0, 2.0, 1.0, 0.5)
 
 
-@query(S.with_(S.WAVES) + "SELECT ki, kj, round(CASE WHEN k = 0 THEN 0 ELSE 2 * (1 + 0.5 * cos(2 * phi)) * k * exp(-0.5 * (k - 3) ** 2) / sqrt(2 * pi()) END, 6) + 0.0 AS power FROM (SELECT *, CASE WHEN kx = 0 AND ky = 0 THEN 0 WHEN ky = 0 THEN pi() / 2 ELSE atan(kx / ky) END AS phi FROM wg)")
+@query(S.with_(S.CELLS, S.TWIDDLES, S.WAVES, S.dft("cells", "hat"), FORCING) + "SELECT run, t, round(sum(power * (re * re + im * im)), 5) + 0.0 AS weighted FROM hat JOIN forcing USING (ki, kj) GROUP BY run, t")
 def forcing_spectrum(spark: SparkSession, d: str) -> DataFrame:
-    return grids.forcing_spectrum(spark, 8, 3.0, 2.0, 1.0, 0.5).withColumn("power", fix("power"))
+    """Each field's power weighted by that of the forcing."""
+    modes, power = forced(spark, d)
+    met = modes.join(F.broadcast(power), ["ki", "kj"])  # a row for each mode
+    return met.groupBy("run", "t").agg(fix(F.sum(F.col("power") * scalar.abs2(F.col("re"), F.col("im"))), 5).alias("weighted"))
+
+
+def _noisy_modes() -> str:
+    u = lambda salt: S.uniform("run", "t", "ci", "cj", "11", str(salt))
+    size, turn = f"sqrt(-2 * ln({u(0)})) * sqrt(power)", f"2 * pi() * {u(1)}"
+    return f"""paired AS (SELECT hat.*, power, (8 - ki) % 8 = ki AND (8 - kj) % 8 = kj AS own, (ki, kj) <= ((8 - ki) % 8, (8 - kj) % 8) AS first,
+  CASE WHEN (ki, kj) <= ((8 - ki) % 8, (8 - kj) % 8) THEN ki ELSE (8 - ki) % 8 END AS ci, CASE WHEN (ki, kj) <= ((8 - ki) % 8, (8 - kj) % 8) THEN kj ELSE (8 - kj) % 8 END AS cj FROM hat JOIN forcing USING (ki, kj)),
+noisy AS (SELECT run, t, ki, kj, re + {size} * cos({turn}) / (CASE WHEN own THEN 1 ELSE sqrt(2) END) AS re, im + CASE WHEN own THEN 0 WHEN first THEN 1 ELSE -1 END * {size} * sin({turn}) / sqrt(2) AS im FROM paired)"""
+
+
+@query(S.with_(S.CELLS, S.TWIDDLES, S.WAVES, S.dft("cells", "hat"), FORCING, _noisy_modes(), S.idft("noisy", "out")) + "SELECT run, t, i, j, round(v, 6) + 0.0 AS v, 0.0::DOUBLE AS imaginary FROM out")
+def forced_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every field with the forcing's noise on its modes, and the imaginary part of what they transform to."""
+    noisy = spectral.with_hermitian_noise(*forced(spark, d), 8, 11)
+    real = spectral.idft2_cells(noisy, 8).select("run", "t", "i", "j", fix("v").alias("v"))
+    other = spectral.idft2_cells(noisy.select("run", "t", "ki", "kj", F.col("im").alias("re"), (-F.col("re")).alias("im")), 8)
+    return real.join(other.select("run", "t", "i", "j", fix("v").alias("imaginary")), ["run", "t", "i", "j"])
 
 
 @query()
