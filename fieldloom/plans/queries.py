@@ -1033,14 +1033,14 @@ def stream_moments(spark: SparkSession, d: str) -> DataFrame:
 
 @query(S.with_(S.SERIES) + "SELECT run, us // 3600000000 * 3600000000 AS slot, min(us) AS us, arg_min(v, us) AS v FROM series GROUP BY run, us // 3600000000")
 def stream_cadence(spark: SparkSession, d: str) -> DataFrame:
-    found = streamed(spark, d, lambda rows: stream_series.cadence(rows, "1 hour"), "complete")
+    found = streamed(spark, d, lambda rows: stream_series.cadence(rows, "1 hour"), "append")
     return found.select("run", F.unix_micros("slot").alias("slot"), "us", "v")
 
 
 @query(S.with_(S.SERIES) + "SELECT run, start, round(avg(v), 5) + 0.0 AS mean, count(*) AS n_records FROM (SELECT run, v, unnest([us // 3600000000, us // 3600000000 - 1]) * 3600000000 AS start FROM series) GROUP BY run, start")
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
     """Means over windows of two hours that begin every hour."""
-    found = streamed(spark, d, lambda rows: stream_series.sliding(rows, "2 hours", "1 hour"), "complete")
+    found = streamed(spark, d, lambda rows: stream_series.sliding(rows, "2 hours", "1 hour"), "append")
     return found.select("run", F.unix_micros("start").alias("start"), fix("mean", 5).alias("mean"), "n_records")
 
 
@@ -1050,5 +1050,5 @@ def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
 )
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Samples with less than ten minutes from each to the next."""
-    found = streamed(spark, d, lambda rows: stream_series.sessions(rows, "10 minutes"), "complete")
+    found = streamed(spark, d, lambda rows: stream_series.sessions(rows, "10 minutes"), "append")
     return found.select("run", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n_records")
