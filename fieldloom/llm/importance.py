@@ -3,12 +3,11 @@
 Two generative models over hashed word unigrams and bigrams, one of the target
 text and one of all the raw text, give each document a log importance weight,
 the log ratio of its likelihoods. Gumbel noise drawn from the document's id
-turns the k largest scores into a sample without replacement in proportion to
+(from the text, where there is none) turns the k largest scores into a sample without replacement in proportion to
 the weights. Both models' counts cover every n-gram of their documents.
 
 Defined results: a null or empty text, or one of white space, has no n-grams: its
-weight is null and it is never sampled. Rows with null ids share one noise value;
-repeated rows are scored alike and ties go to the smaller id. Without target rows
+weight is null and it is never sampled. Repeated rows are scored alike and ties go to the smaller id. Without target rows
 the weights are all 0. Columns beside id and text are not read.
 """
 
@@ -85,10 +84,12 @@ def log_weights(documents: DataFrame, ratio: np.ndarray) -> DataFrame:
                 counts.append(n)
                 sums.append(total)
             n, total = np.concatenate(counts), np.concatenate(sums)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total, mask=n == 0)], ["doc_id", "n_grams", "log_weight"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total, mask=n == 0), b.column(2)], ["doc_id", "n_grams", "log_weight", "name"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(returning(run), "doc_id long, n_grams long, log_weight double")
+    text = F.col("text").cast("string")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(text))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), name.alias("name"))
+    return rows.mapInArrow(returning(run), "doc_id long, n_grams long, log_weight double, name string")
 
 
 def global_rank(df: DataFrame, *order) -> DataFrame:
@@ -107,9 +108,9 @@ def global_rank(df: DataFrame, *order) -> DataFrame:
 
 def resample(documents: DataFrame, target_ids: DataFrame, share: float, bits: int = 15, seed: int = 11) -> DataFrame:
     """doc_id, n_grams, log_weight, score, rank and kept: the Gumbel top-k, k being ``share`` of the documents with n-grams."""
-    noise = -F.log(-F.log(unit_hash(F.col("doc_id"), F.lit(seed))))
+    noise = -F.log(-F.log(unit_hash(F.col("name"), F.lit(seed))))
     # Stored, as the order by ranges reads it twice: for its bounds, then for its rows.
-    weighed = cut(log_weights(documents, fit_ratio(documents, target_ids, bits)).withColumn("score", F.col("log_weight") + noise))
+    weighed = cut(log_weights(documents, fit_ratio(documents, target_ids, bits)).withColumn("score", F.col("log_weight") + noise).drop("name"))
     ranked = global_rank(weighed, F.col("score").desc_nulls_last(), F.col("doc_id").asc_nulls_last())
     k = int(round(share * ranked.where("score is not null").count()))
     return ranked.withColumn("kept", F.col("score").isNotNull() & (F.col("rank") <= k))

@@ -230,6 +230,8 @@ def _by_suffix(extents: DataFrame, width: int) -> DataFrame:
 
 def repeated_ranges(documents: DataFrame, width: int = 400, gram: int = GRAM, most_rows: int = 8192) -> DataFrame:
     """did, th and ranges, an array of (first, last) repeated suffixes, of each document that has any."""
+    if not 1 <= gram <= width < gram + 4096:
+        raise ValueError("gram must be at most width, and width less than gram + 4096: an extent's lengths have 12 bits each")
     keyed = _keyed(documents)
     rows = _anchor_rows(keyed, width, gram)
     repeated = rows.groupBy("anchor").agg(F.count("*").alias("total"), F.min("extent").alias("a"), F.max("extent").alias("b")).where("total > 1")

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import ctypes
-import re
 import sys
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.session import shared_folder
+
 #: Words are runs of anything but space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,17 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one of this machine where that is empty and Spark runs in one process (tests, a laptop)."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.match(r"local(\[|$)", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context.getCheckpointDir()
-
-
 def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder, wherever Spark writes to."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -84,3 +84,9 @@ def test_target_of_labels(spark):
     assert sorted(r.doc_id for r in target.collect()) == [1, 5] and share == pytest.approx(3 / 5)
     target, share = im.target_of(odd.labels(spark))
     assert target.count() == 0 and share == 1.0
+
+
+def test_rows_without_ids_draw_by_their_texts(spark):
+    rows = [(None, f"word{k} other{k % 7} thing" * 3, "en", "a") for k in range(300)]
+    got = im.resample(odd.documents(spark, rows), odd.labels(spark).select("doc_id"), 0.5).collect()
+    assert len({round(r.score - r.log_weight, 9) for r in got}) == 300 and sum(r.kept for r in got) == 150

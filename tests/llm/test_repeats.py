@@ -83,3 +83,9 @@ def test_the_text_given_out_is_what_is_kept(spark):
     cleaned = repeats.without_repeats(docs)
     kept = {(r.doc_id, bytes(r.kept).decode("utf-8", "replace")) for r in cleaned.collect()}
     assert {(r.doc_id, r.text) for r in repeats.digest(cleaned).collect()} == kept
+
+
+def test_widths_that_lengths_of_12_bits_cannot_hold(spark):
+    for options in ({"width": 6000}, {"width": 100}, {"width": 400, "gram": 0}):
+        with pytest.raises(ValueError):
+            repeats.repeated_ranges(odd.documents(spark), **options)
