@@ -740,8 +740,9 @@ def pod_gram(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pod_energy(spark: SparkSession, d: str) -> DataFrame:
+    """All singular values and the share of the squares up to each, modes from 0."""
     fields = tables.fields(spark, d)
-    return basis.leading(fields, 16).energy(fields)
+    return basis.leading(fields, tables.SIDE**2).energy(fields).withColumn("mode", F.col("mode") - 1)
 
 
 @query()
