@@ -76,10 +76,10 @@ def test_chunks_end_where_texts_do(spark):
 
 
 def test_odd_rows(spark):
-    rows = odd.crowded(odd.documents(spark, odd.TEXTS * 16)).coalesce(4)
-    want = brute([(lang, t) for _, t, lang, _ in odd.TEXTS] * 16)
+    rows = odd.crowded(odd.documents(spark, odd.TEXTS * 2)).coalesce(4)
+    want = brute([(lang, t) for _, t, lang, _ in odd.TEXTS] * 2, least=4)
     assert want
-    assert found(C.collocations(rows)) == want
+    assert found(C.collocations(rows, least=4)) == want
     assert C.collocations(odd.empty(spark)).collect() == []
     with pytest.raises(ValueError):
         C.collocations(odd.empty(spark), least=300)
