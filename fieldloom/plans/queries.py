@@ -15,7 +15,8 @@ from fieldloom.functions import grids, scalar
 from fieldloom.operators import assimilation, basis, conjugate, covariance, ensemble, learning, metrics, selection, sensors, series, spectral
 from fieldloom.plans import sql as S
 from fieldloom.session import new_folder, stored
-from fieldloom.sources import stores, tables
+from fieldloom.sources import records, stores, tables
+from fieldloom.streaming import online
 from fieldloom.streaming import series as stream_series
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1053,3 +1054,81 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Samples with less than ten minutes from each to the next."""
     found = streamed(spark, d, lambda rows: stream_series.sessions(rows, "10 minutes"), "append")
     return found.select("run", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n_records")
+
+
+PARTS = 4
+
+
+def in_parts(spark: SparkSession, d: str, order: list[int], step: Callable[[str, DataFrame], None]) -> None:
+    """``events`` laid out in parts of equal time in the order given; ``step`` is called with the folder and a stream of it after each."""
+    place = new_folder(spark, "parts")
+    rows = tables.series(spark, d)
+    low, high = rows.agg(F.min("us"), F.max("us")).first()
+    part = F.least(F.lit(PARTS - 1), F.floor((F.col("us") - (low or 0)) * PARTS / ((high or 0) - (low or 0) + 1)))
+    for k in order:
+        rows.where(part == k).write.mode("append").parquet(f"{place}/in")
+        step(place, rows)
+
+
+def streamed_online(spark: SparkSession, d: str, order: list[int]) -> DataFrame:
+    """Ticks and late samples of ``events`` that come in ``PARTS`` batches; each batch is a run of the stream of its own, from the state that the one before left."""
+    own = spark.newSession()  # the state store's kind is its option, not the caller's
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = new_folder(spark, "online")
+
+    def step(place: str, rows: DataFrame) -> None:
+        stream = own.readStream.schema(rows.schema).parquet(f"{place}/in")
+        found = online.resampled(stream, HOUR).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{place}/state")
+        found.trigger(availableNow=True).start().awaitTermination()
+
+    in_parts(spark, d, order, step)
+    return spark.read.schema(online.OUT).parquet(out)
+
+
+@query(RESAMPLED)
+def stream_online(spark: SparkSession, d: str) -> DataFrame:
+    """Resampled as samples come, with a state of one sample a run."""
+    found = streamed_online(spark, d, list(range(PARTS))).where("not late")
+    return found.select("run", "us", fix("v", 5).alias("v"))
+
+
+@query(
+    S.with_(S.SERIES, "b AS (SELECT min(us) AS low, max(us) AS high FROM series)", f"p AS (SELECT run, least({PARTS - 1}, CAST(floor((us - low)::DOUBLE * {PARTS} / (high - low + 1)) AS BIGINT)) AS part FROM series, b)")
+    + "SELECT run, count(*) AS n_late FROM p WHERE part = 1 AND run IN (SELECT run FROM p WHERE part = 2) GROUP BY run"
+)
+def stream_late(spark: SparkSession, d: str) -> DataFrame:
+    """Samples that come after later ones of their run, when the second part of ``events`` is held back until the third is in."""
+    return streamed_online(spark, d, [0, 2, 1, 3]).where("late").groupBy("run").agg(F.count("*").alias("n_late"))
+
+
+@query(S.with_(S.SERIES) + "SELECT run, us, id, v FROM series")
+def stream_committed(spark: SparkSession, d: str) -> DataFrame:
+    """``events`` through a sink that commits in two phases, in four batches, of which the last is given twice: its commit to the stream's own log is taken away, as if the driver had been lost before it."""
+    spark.dataSource.register(records.RecordSource)
+    out = new_folder(spark, "committed")
+
+    def run(place: str, rows: DataFrame) -> None:
+        stream = spark.readStream.schema(rows.schema).parquet(f"{place}/in")
+        sink = stream.writeStream.format("npy_records").option("path", out).option("key", "us").option("stream", "events").option("checkpointLocation", f"{place}/state")
+        sink.trigger(availableNow=True).start().awaitTermination()
+
+    def step(place: str, rows: DataFrame) -> None:
+        run(place, rows)
+        if len(records.commits(out)) == PARTS:
+            log = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/state/commits/{PARTS - 1}")
+            log.getFileSystem(spark._jsc.hadoopConfiguration()).delete(log, False)
+            run(place, rows)
+
+    in_parts(spark, d, list(range(PARTS)), step)
+    return records.read_records(spark, out)
+
+
+@query("SELECT label AS run, vec_id AS t, round(list_sum(CAST(embedding AS DOUBLE[])), 5) + 0.0 AS total FROM embeddings WHERE vec_id BETWEEN (SELECT count(*) // 3 FROM embeddings) AND (SELECT 2 * count(*) // 3 FROM embeddings)")
+def records_by_range(spark: SparkSession, d: str) -> DataFrame:
+    """Fields written as records and read by a range of positions: the middle third, whatever the stack's length."""
+    place = new_folder(spark, "ranges")
+    stack = tables.fields(spark, d)
+    records.write_records(stack, place, "t")
+    total = sum(n for c in records.commits(place).values() for _, n, *_ in c["files"])
+    found = records.read_records(spark, place).where(F.col("t").between(total // 3, 2 * total // 3))
+    return found.select("run", "t", fix(F.aggregate("field", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from fieldloom.sources.records import opened
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -99,14 +101,14 @@ class _RawReader(DataSourceReader):
         self.path, self.n, self.per = options["path"], int(options["n"]), int(options.get("records_per_partition", "256"))
 
     def partitions(self) -> list[InputPartition]:
-        import os
-
-        records = os.path.getsize(self.path) // (16 * self.n**2)
+        store, path = opened(self.path)
+        records = (store.get_file_info(path).size or 0) // (16 * self.n**2)
         return [_Records(self.path, a, min(records, a + self.per)) for a in range(0, records, self.per)] or [_Records(self.path, 0, 0)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         size = self.n**2
-        with open(partition.path, "rb") as f:
+        store, path = opened(partition.path)
+        with store.open_input_file(path) as f:
             f.seek(partition.first * 16 * size)
             for t in range(partition.first, partition.last):
                 x = np.frombuffer(f.read(16 * size), dtype=np.float64)
@@ -117,7 +119,7 @@ class _RawReader(DataSourceReader):
 class RawSpectralSource(DataSource):
     """``raw_spectral``: t, n, re, im of a file of records of n * n real, then n * n imaginary parts, doubles in the machine's order.
 
-    Options: path (on storage that all workers mount), n, records_per_partition. Trailing bytes short of a record are left out.
+    Options: path (a URI of shared storage, or a path that all workers mount), n, records_per_partition. Trailing bytes short of a record are left out.
     """
 
     @classmethod
