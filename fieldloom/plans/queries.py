@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import grids, scalar
-from fieldloom.operators import assimilation, basis, conjugate, covariance, ensemble, learning, metrics, selection, sensors, series, spectral
+from fieldloom.operators import analysis, assimilation, basis, conjugate, covariance, ensemble, learning, metrics, selection, sensors, series, spectral
 from fieldloom.plans import sql as S
 from fieldloom.session import new_folder, stored
 from fieldloom.sources import records, stores, tables
@@ -923,6 +923,56 @@ def da_reduced(spark: SparkSession, d: str) -> DataFrame:
     return found.select("run", "t", "x_r", "x_r_cost", metrics.relative_rmse("x_r", "field").alias("rrmse"))
 
 
+def sensed_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every snapshot that has one before it in its run: the background is that one, and sensors see the snapshot itself."""
+    pairs = sensors.placed(tables.estimates(tables.fields(spark, d)), SENSORS, JITTER)
+    return pairs.withColumn("y", sensors.sampled("x_true"))
+
+
+def two_terms(spark: SparkSession, d: str) -> DataFrame:
+    s = covariance.correlation_spectrum(tables.SIDE, LENGTH) * STD_B**2
+    return analysis.analysed(sensed_pairs(spark, d), analysis.kernels(spark, {tables.SIDE: s}), STD_O)
+
+
+def three_terms(spark: SparkSession, d: str) -> DataFrame:
+    """With a third estimate, x_v, whose error has half the length and half the deviation."""
+    b, v = (covariance.correlation_spectrum(tables.SIDE, LENGTH / k) * (STD_B / k) ** 2 for k in (1, 2))
+    rows = analysis.between(sensed_pairs(spark, d), b, v)
+    return analysis.analysed(rows, analysis.kernels(spark, {tables.SIDE: analysis.combined(b, v)}), STD_O, "x_m")
+
+
+def balance(found: DataFrame) -> DataFrame:
+    """run, t, sid and y, the analysis at a sensor plus its weight's share of the error variance: at the minimum this is the observation."""
+    at = F.transform(F.sequence(F.lit(0), F.size("si") - 1), lambda k: F.get("x_a", F.get("si", k) * F.col("n") + F.get("sj", k)) + (STD_O**2 + 1e-12) * F.get("x_a_w", k))
+    return found.select("run", "t", F.posexplode(at).alias("sid", "y")).withColumn("y", fix("y", 5))
+
+
+BALANCE = S.with_(S.CELLS, S.PAIRS, S.sensors(SENSORS, JITTER)) + "SELECT s.run, s.t, sid, round(x_true, 5) + 0.0 AS y FROM sensors s JOIN pairs p ON s.run = p.run AND s.t = p.t AND si = i AND sj = j"
+
+
+@query(BALANCE)
+def analysis_balance(spark: SparkSession, d: str) -> DataFrame:
+    return balance(two_terms(spark, d))
+
+
+@query(BALANCE)
+def analysis_balance_three(spark: SparkSession, d: str) -> DataFrame:
+    return balance(three_terms(spark, d))
+
+
+@query(S.with_(S.CELLS, S.PAIRS, S.sensors(SENSORS, JITTER)) + f"SELECT s.run, s.t, round(0.5 * sum((x_true - x_b) ** 2) / ({STD_O}::DOUBLE ** 2 + 1e-12), 5) + 0.0 AS first, 0 AS risen FROM sensors s JOIN pairs p ON s.run = p.run AND s.t = p.t AND si = i AND sj = j GROUP BY ALL")
+def analysis_cost(spark: SparkSession, d: str) -> DataFrame:
+    """The cost before the first step, and whether the last is above it."""
+    cost = two_terms(spark, d).select("run", "t", F.col("x_a_cost").alias("c"))
+    return cost.select("run", "t", fix(F.get("c", F.lit(0)), 5).alias("first"), (F.element_at("c", -1) > F.get("c", F.lit(0))).cast("int").alias("risen"))
+
+
+@query()
+def analysis_cost_history(spark: SparkSession, d: str) -> DataFrame:
+    """The cost before the first and after each step of every snapshot's analysis."""
+    return two_terms(spark, d).select("run", "t", F.posexplode("x_a_cost").alias("step", "cost"))
+
+
 # --- Dynamics --------------------------------------------------------------------------------
 
 
