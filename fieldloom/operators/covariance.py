@@ -13,6 +13,9 @@ from fieldloom.functions import grids, scalar
 from fieldloom.operators.batch import map_fields
 
 
+MOST_BLOCKS = 64  # pairs of blocks of cells whose sums a task of ``gram`` keeps
+
+
 def correlation_spectrum(n: int, length: float, localize: bool = False) -> np.ndarray:
     """(n, n) spectrum of the periodic Matern correlation, negative rounding set to 0."""
     d = np.minimum(np.arange(n), n - np.arange(n))
@@ -120,11 +123,46 @@ def spectrum_cells(spark, n: int, length: float, localize: bool = False) -> Data
     return dft2_cells(kernel, n).select("ki", "kj", F.greatest(F.col("re"), F.lit(0.0)).alias("sk"))
 
 
-def gram(fields: DataFrame, column: str = "field") -> DataFrame:
-    """a, b, g for a <= b: sums over all snapshots of products of cells a and b. Partial sums in each task; (n * n)^2 / 2 rows out."""
-    x = fields.select(F.posexplode(column).alias("a", "va"), F.col(column).alias("_x"))
-    pairs = x.select("a", "va", F.posexplode("_x").alias("b", "vb")).where("a <= b")
-    return pairs.groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("g"))
+def gram(fields: DataFrame, column: str = "field", block: int = 512) -> DataFrame:
+    """a, b, g for a <= b: sums over all snapshots of products of cells a and b; (n * n)^2 / 2 rows out.
+
+    Cells are cut into blocks; a task adds products up by pair of blocks over its snapshots, at most ``MOST_BLOCKS`` pairs (128 MB) beyond
+    a batch, so that what is shuffled is a row for each pair of cells and task, not one for each snapshot. Null fields take no part.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from fieldloom.operators.batch import stacked
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for size in map(int, np.unique(b.column(0).to_numpy())):
+                x = stacked(b.filter(pa.array(b.column(0).to_numpy() == size)).column(1), (size,))
+                cuts = range(0, size, block)
+                for p in cuts:
+                    for q in cuts[p // block :]:
+                        part = x[:, p : p + block].T @ x[:, q : q + block]
+                        key = (p, q)
+                        old = sums.get(key)
+                        if old is None or old.shape == part.shape:
+                            sums[key] = part if old is None else old + part
+                        else:  # grids of another size
+                            yield rows_of(key, part)
+            while len(sums) > MOST_BLOCKS:
+                key = next(iter(sums))
+                yield rows_of(key, sums.pop(key))
+        for key, total in sums.items():
+            yield rows_of(key, total)
+
+    def rows_of(key: tuple[int, int], total: np.ndarray) -> pa.RecordBatch:
+        a, b = (np.repeat(np.arange(total.shape[0]), total.shape[1]) + key[0], np.tile(np.arange(total.shape[1]), total.shape[0]) + key[1])
+        keep = a <= b
+        return pa.RecordBatch.from_arrays([pa.array(a[keep].astype(np.int32)), pa.array(b[keep].astype(np.int32)), pa.array(total.ravel()[keep])], ["a", "b", "g"])
+
+    parts = fields.where(F.col(column).isNotNull()).select(F.size(column).alias("size"), column).mapInArrow(run, "a int, b int, g double")
+    return parts.groupBy("a", "b").agg(F.sum("g").alias("g"))
 
 
 def moments(fields: DataFrame, columns: tuple[str, str]) -> np.ndarray:

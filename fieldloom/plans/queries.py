@@ -390,19 +390,23 @@ def detailed_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def artifacts(spark: SparkSession, d: str) -> DataFrame:
-    """run of each file that the store of the training runs has, from a listing of its folders."""
+    """run of each file in a store of the runs whose first snapshot adds up to more than 0, from a listing of its folders."""
     place = new_folder(spark, "pool")
-    train = tables.split_runs(tables.manifest(spark, d), "train").select("run")
-    stores.write_stack(tables.fields(spark, d).join(F.broadcast(train), "run", "left_semi"), place)  # a row for each run
+    sums = tables.fields(spark, d).select("run", "t", tables.total(F.col("field")).alias("sum"))
+    made = sums.groupBy("run").agg(F.min_by("sum", "t").alias("first")).where("first > 0")
+    stores.write_stack(sums.drop("sum").join(F.broadcast(made.select("run")), "run", "left_semi"), place)  # a row for each run
     return stores.listed(spark, place, "*.parquet").select(F.regexp_extract("folder", r"^run=(\d+)$", 1).cast("int").alias("run"))
 
 
-@query(S.with_(S.MANIFEST) + "SELECT run, tau0 FROM manifest WHERE split = 'train'")
+MADE = S.with_(S.MANIFEST, "made AS (SELECT label AS run FROM embeddings GROUP BY label HAVING arg_min(list_sum(CAST(embedding AS DOUBLE[])), vec_id) > 0)")
+
+
+@query(MADE + "SELECT run, tau0 FROM manifest SEMI JOIN made USING (run)")
 def runs_with_artifacts(spark: SparkSession, d: str) -> DataFrame:
     return selection.with_artifacts(tables.manifest(spark, d), artifacts(spark, d)).select("run", "tau0")
 
 
-@query(S.with_(S.MANIFEST) + "SELECT run, tau0 FROM manifest WHERE split <> 'train'")
+@query(MADE + "SELECT run, tau0 FROM manifest ANTI JOIN made USING (run)")
 def runs_without_artifacts(spark: SparkSession, d: str) -> DataFrame:
     return selection.without_artifacts(tables.manifest(spark, d), artifacts(spark, d)).select("run", "tau0")
 

@@ -306,3 +306,15 @@ def test_split_border_lies_in_one_bin(spark):
     parts = [sorted(r.t for r in selection.train_val_split(rows, 0.1, 2, "t", bins=b).where("part = 'val'").collect()) for b in (1, 7, 1 << 16)]
     assert parts[0] == parts[1] == parts[2] and len(parts[0]) == 50
     assert selection.train_val_split(rows.where("t < 0"), 0.1, 2, "t").count() == 0
+
+
+def test_gram_over_blocks_and_sizes(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.standard_normal((30, 9)), rng.standard_normal((5, 4))
+    df = spark.createDataFrame([(v.tolist(),) for v in [*x, *y]] + [(None,)], "field array<double>").repartition(3)
+    want = x.T @ x
+    want[:4, :4] += y.T @ y
+    for block in (2, 4, 512):
+        got = {(r.a, r.b): r.g for r in covariance.gram(df, block=block).collect()}
+        assert got == pytest.approx({(a, b): want[a, b] for a in range(9) for b in range(a, 9)})
+    assert covariance.gram(df.where("false")).count() == 0
