@@ -4,8 +4,8 @@ The operator is linear with a ridge penalty: its normal equations are sums over
 so training reads the data once whatever its size, and the driver solves a system of one grid's
 cells. A deep network would be a local library inside a task; it is left out on purpose.
 
-The same operator can be trained by mini-batches instead: gradients of a batch add up in the tasks, every epoch's weights and losses are stored as tables, and
-the weights of the least validation loss are read again. Weights have the size of a grid's cells squared, whatever the number of rows.
+The same operator can be trained by mini-batches instead: a task takes the steps of many batches in a row, or many tasks add up the gradient of a large one. Every epoch's weights
+are stored as tables, and the weights of the least validation loss are read again. Weights have the size of a grid's cells squared, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -83,31 +83,78 @@ def loss_and_gradient(rows: DataFrame, weights: np.ndarray, inputs: str = "cell_
     return n, float(total[-2].sum() / max(1, n * shape[1])), total[:-2] / max(1, n * shape[1])
 
 
-def trained_by_batches(train: DataFrame, validation: DataFrame, folder: str, epochs: int, size: int, rate: float, ids: list[str], seed: int = 0, inputs: str = "cell_value", target: str = "field") -> DataFrame:
+def _stepped(state: np.ndarray, gradient: np.ndarray, step: int, rate: float) -> np.ndarray:
+    """(weights, first, second) after Adam's step number ``step``; moments' decay and the least divisor are the published method's own values."""
+    first, second = 0.9 * state[1] + 0.1 * gradient, 0.999 * state[2] + 0.001 * gradient**2
+    return np.stack([state[0] - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8), first, second])
+
+
+def steps_in_order(rows: DataFrame, state: np.ndarray, step: int, rate: float, ids: list[str], inputs: str = "cell_value", target: str = "field") -> tuple[int, int, float, np.ndarray]:
+    """Number of rows and of steps, mean loss and the state after a step for each ``batch`` of ``rows``, in order, from ``state`` after ``step`` steps; one task, which holds one batch."""
+    shape = state.shape[1:]
+    sent = rows.sparkSession.sparkContext.broadcast(state)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, done, n, losses, open_batch, held = sent.value, 0, 0, 0.0, None, []
+
+        def close() -> None:
+            nonlocal now, done, n, losses
+            x, y = (np.concatenate(z) for z in zip(*held, strict=True))
+            x = np.hstack([x, np.ones((len(x), 1))])
+            off = x @ now[0] - y
+            done, n, losses = done + 1, n + len(x), losses + float((off * off).mean()) * len(x)
+            now = _stepped(now, 2 * x.T @ off / off.size, step + done, rate)
+            held.clear()
+
+        for b in batches:
+            numbers = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if low < high:
+                    if held and numbers[low] != open_batch:
+                        close()
+                    open_batch, some = numbers[low], b.slice(low, high - low)
+                    held.append((stacked(some.column(1), (shape[0] - 1,)), stacked(some.column(2), (shape[1],))))
+        if held:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([done]), pa.array([losses / max(1, n)]), listed(now.reshape(1, -1))], ["n", "steps", "loss", "state"])
+
+    ordered = rows.coalesce(1).sortWithinPartitions("batch", *ids).select("batch", inputs, target)
+    r = ordered.mapInArrow(run, "n long, steps long, loss double, state array<double>").first()
+    sent.destroy()
+    return r.n, r.steps, r.loss, np.array(r.state).reshape(state.shape)
+
+
+def trained_by_batches(train: DataFrame, validation: DataFrame, folder: str, epochs: int, size: int, rate: float, ids: list[str], seed: int = 0, inputs: str = "cell_value", target: str = "field", most: int = 1 << 23) -> DataFrame:
     """(epoch, loss, validation, best, improved) of training by mini-batches with Adam's steps from zero weights.
 
-    Each epoch deals the rows anew into batches of ``size``, by hashes of ``ids``, and writes them under ``folder``, a folder for each batch, so that a step reads its own
-    rows alone; the epoch's weights are kept under ``weights`` there, for ``best_weights``.
+    Each epoch deals the rows anew into batches of ``size``, by hashes of ``ids``, and writes them under ``folder``, a folder for each part: as many batches in a row as
+    have at most ``most`` numbers. Steps follow each other, so a part is one task, which hands its weights and moments to the next part's; jobs grow with the parts, not with the batches.
+    A batch of more numbers than half of ``most`` is a part of its own, and its gradient adds up in many tasks. The epoch's weights are kept under ``weights`` there, for ``best_weights``.
     """
     spark = train.sparkSession
     widths = train.select(F.size(inputs), F.size(target)).first()
-    weights = np.zeros((widths[0] + 1, widths[1]))
-    rows = train.count()
-    first, second, step, history, checks = np.zeros_like(weights), np.zeros_like(weights), 0, [], []
+    state, step, history, checks = np.zeros((3, widths[0] + 1, widths[1])), 0, [], []
+    rows, per = train.count(), max(1, most // (size * (widths[0] + widths[1])))
+    parts = -(-rows // (size * per))
     for epoch in range(epochs):
         place = f"{folder}/batches/{epoch}"
-        minibatches(train.select(*ids, inputs, target), size, seed, epoch, [], *ids).write.partitionBy("batch").parquet(place)
+        dealt = minibatches(train.select(*ids, inputs, target), size, seed, epoch, [], *ids).withColumn("part", F.floor(F.col("batch") / per))
+        dealt = dealt.repartition("part") if per > 1 else dealt
+        dealt.write.partitionBy("part").parquet(place)
         dealt = spark.read.parquet(place)
-        for batch in range(-(-rows // size)):
-            n, loss, gradient = loss_and_gradient(dealt.where(F.col("batch") == batch), weights, inputs, target)
-            history.append((epoch, batch, n, loss))
-            # Moments' decay and the least divisor are the published method's own values.
-            step += 1
-            first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
-            weights = weights - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-        stores.write_weights(spark, weights, f"{folder}/weights/epoch={epoch}")
-        checks.append((epoch, loss_and_gradient(validation, weights, inputs, target)[1]))
-    losses = weighted_loss(spark.createDataFrame(history, "epoch int, batch int, n long, loss double"), ["epoch"])
+        for part in range(parts):
+            some = dealt.where(F.col("part") == part)
+            if per > 1:
+                n, steps, loss, state = steps_in_order(some, state, step, rate, ids, inputs, target)
+            else:
+                n, loss, gradient = loss_and_gradient(some, state[0], inputs, target)
+                steps, state = 1, _stepped(state, gradient, step + 1, rate)
+            step += steps
+            history.append((epoch, part, n, loss))
+        stores.write_weights(spark, state[0], f"{folder}/weights/epoch={epoch}")
+        checks.append((epoch, loss_and_gradient(validation, state[0], inputs, target)[1]))
+    losses = weighted_loss(spark.createDataFrame(history, "epoch int, part int, n long, loss double"), ["epoch"])
     kept = running_best(spark.createDataFrame(checks, "epoch int, loss double"), [], "epoch").withColumnRenamed("loss", "validation")
     return losses.join(kept, "epoch")
 

@@ -55,3 +55,20 @@ def test_history_and_best_weights(spark, tmp_path):
     best = min(kept, key=lambda e: kept[e][1])
     np.testing.assert_allclose(learning.best_weights(history, folder), kept[best][0], rtol=1e-8, atol=1e-12)
     assert spark.read.parquet(f"{folder}/weights").groupBy("epoch").agg(F.count("*").alias("n")).where("n = 65").count() == 3
+
+
+def test_jobs_do_not_grow_with_the_batches(spark, tmp_path):
+    train, validation = (x.localCheckpoint() for x in Q.training(spark, SMALL))
+    jobs, found = [], []
+    for k, (size, most) in enumerate([(128, 1 << 23), (8, 1 << 23), (8, 8 * 128 * 5), (8, 1)]):
+        spark.sparkContext.setJobGroup(f"training {k}", "")
+        found.append(learning.trained_by_batches(train, validation, str(tmp_path / str(k)), 2, size, 0.01, ["run", "t"], most=most))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"training {k}")))
+    spark.sparkContext.setJobGroup("after", "")
+    assert jobs[1] <= jobs[0] + 4  # 57 batches an epoch, 4 before; a job each would be 100 more
+    whole, cut, gradients = ([tuple(r) for r in x.orderBy("epoch").collect()] for x in found[1:])
+    for other in (cut, gradients):
+        np.testing.assert_allclose(np.array(other, float), np.array(whole, float), rtol=1e-9)
+    w = [learning.best_weights(x, str(tmp_path / str(k + 1))) for k, x in enumerate(found[1:])]
+    np.testing.assert_allclose(w[1], w[0], rtol=1e-7, atol=1e-11)
+    np.testing.assert_allclose(w[2], w[0], rtol=1e-7, atol=1e-11)
