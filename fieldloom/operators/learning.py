@@ -25,13 +25,23 @@ from fieldloom.operators.selection import minibatches
 from fieldloom.sources import stores
 
 
+def normal_equations(rows: DataFrame, inputs: str = "cell_value", target: str = "field") -> tuple[np.ndarray, np.ndarray]:
+    """(cells + 1, cells + 1) and (cells + 1, cells): sums over the rows of the widened inputs' products with themselves and with the target, in one pass."""
+    widened = rows.select(F.concat(F.col(inputs), F.array(F.lit(1.0))).alias("_x"), F.concat(F.col(inputs), F.array(F.lit(1.0)), F.col(target)).alias("_y"))
+    both = moments(widened, ("_x", "_y"))
+    return both[:, : len(both)], both[:, len(both) :]
+
+
+def ridge(xx: np.ndarray, xy: np.ndarray, penalty: float) -> np.ndarray:
+    """(cells + 1, cells) coefficients, the last row the intercept, which has no penalty."""
+    added = penalty * np.eye(len(xx))
+    added[-1, -1] = 0
+    return np.linalg.solve(xx + added, xy)
+
+
 def fit_inverse(rows: DataFrame, penalty: float, inputs: str = "cell_value", target: str = "field") -> np.ndarray:
     """(cells + 1, cells) coefficients, the last row the intercept."""
-    widened = rows.withColumn("_x", F.concat(F.col(inputs), F.array(F.lit(1.0))))
-    xx, xy = moments(widened, ("_x", "_x")), moments(widened, ("_x", target))
-    ridge = penalty * np.eye(len(xx))
-    ridge[-1, -1] = 0
-    return np.linalg.solve(xx + ridge, xy)
+    return ridge(*normal_equations(rows, inputs, target), penalty)
 
 
 def inferred(rows: DataFrame, weights: np.ndarray, inputs: str = "cell_value", name: str = "x_v") -> DataFrame:
@@ -44,18 +54,34 @@ def inferred(rows: DataFrame, weights: np.ndarray, inputs: str = "cell_value", n
 
 
 def trained(train: DataFrame, validation: DataFrame, penalties: list[float]) -> tuple[np.ndarray, list[tuple[float, float, bool]]]:
-    """The weights of the least validation loss, and (penalty, loss, improved) of each try in order."""
+    """The weights of the least validation loss, and (penalty, loss, improved) of each try in order; one pass over each part, however many penalties."""
+    sums = normal_equations(train)
+    every = [ridge(*sums, penalty) for penalty in penalties]
     best, weights, tries = np.inf, np.empty(0), []
-    for penalty in penalties:
-        w = fit_inverse(train, penalty)
-        error = F.zip_with("x_v", "field", lambda a, b: (a - b) * (a - b))
-        loss = inferred(validation, w).agg(F.avg(F.aggregate(error, F.lit(0.0), lambda a, x: a + x) / F.size("field"))).first()[0]
+    for penalty, w, loss in zip(penalties, every, losses(validation, every), strict=True):
         tries.append((penalty, loss, loss < best))
         if loss < best:
             best, weights = loss, w
     return weights, tries
 
 
+def losses(rows: DataFrame, every: list[np.ndarray], inputs: str = "cell_value", target: str = "field") -> list[float]:
+    """Mean over the rows of the mean squared error over their cells, for each of some weights, in one pass."""
+    sent = rows.sparkSession.sparkContext.broadcast(every)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (stacked(b.column(k), (len(b.column(k)[0]),)) for k in (0, 1))
+                off = [((x @ w[:-1] + w[-1] - y) ** 2).mean(1).sum() for w in sent.value]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(off)), pa.int32()), pa.array(off), pa.array([b.num_rows] * len(off))], ["k", "off", "rows"])
+
+    parts = rows.select(inputs, target).mapInArrow(run, "k int, off double, rows long")
+    found = parts.groupBy("k").agg((F.sum("off") / F.sum("rows")).alias("loss")).collect()  # a row for each of the weights
+    sent.destroy()
+    return [loss for _, loss in sorted((r.k, r.loss) for r in found)]
+
+
 def residuals(rows: DataFrame, weights: np.ndarray) -> DataFrame:
     """Adds x_v and residual, the field less what is inferred."""
     return inferred(rows, weights).withColumn("residual", F.zip_with("field", "x_v", lambda a, b: a - b))

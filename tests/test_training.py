@@ -72,3 +72,20 @@ def test_jobs_do_not_grow_with_the_batches(spark, tmp_path):
     w = [learning.best_weights(x, str(tmp_path / str(k + 1))) for k, x in enumerate(found[1:])]
     np.testing.assert_allclose(w[1], w[0], rtol=1e-7, atol=1e-11)
     np.testing.assert_allclose(w[2], w[0], rtol=1e-7, atol=1e-11)
+
+
+def test_penalties_share_their_passes(spark):
+    train, validation = (x.localCheckpoint() for x in Q.training(spark, SMALL))
+    jobs = []
+    for k, penalties in enumerate([[1.0], [0.1, 1.0, 10.0, 100.0]]):
+        spark.sparkContext.setJobGroup(f"penalties {k}", "")
+        weights, tries = learning.trained(train, validation, penalties)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"penalties {k}")))
+    spark.sparkContext.setJobGroup("after", "")
+    assert jobs[0] == jobs[1]
+    x = np.array([[*r.cell_value, 1.0] for r in validation.collect()])
+    y = np.array([r.field for r in validation.collect()])
+    for penalty, loss, _ in tries:
+        assert loss == pytest.approx(((x @ learning.fit_inverse(train, penalty) - y) ** 2).mean(), rel=1e-9)
+    best = min(tries, key=lambda r: r[1])[0]
+    np.testing.assert_allclose(weights, learning.fit_inverse(train, best), rtol=1e-9, atol=1e-12)
