@@ -103,7 +103,7 @@ def tessellated(observed: DataFrame, values: str = "y") -> DataFrame:
             sizes = whole.column(names.index("n")).to_numpy()
             for n in map(int, np.unique(sizes)):
                 same = whole.filter(pa.array(sizes == n)) if (sizes != n).any() else whole
-                step = max(1, (1 << 18) // (n * n))
+                step = max(1, (1 << 16) // (n * n))
                 for a in range(0, same.num_rows, step):
                     b = same.slice(a, step)
                     si, sj, y = (b.column(names.index(c)) for c in ("si", "sj", values))
