@@ -123,7 +123,8 @@ def tessellated_cells(sensors: DataFrame, n: int) -> DataFrame:
     """run, t, i, j, sid, v of sensor rows run, t, sid, si, sj, y: every cell of each snapshot with its nearest sensor, by joins.
 
     Tiles have about one sensor each. A cell meets the sensors of the tiles in one ring after the other around its own; what no sensor of a
-    farther ring can change is settled, and only the others go on. A ring is stored before the next, so that its join is planned by what is left.
+    farther ring can change is settled, and only the others go on. A ring is stored before the next. Sensors are as many as the snapshots times their
+    sensors, which Spark's estimates don't see after an explode, so they meet cells by shuffle and are never collected for a broadcast.
     """
     spark, keys = sensors.sparkSession, ["run", "t"]
     snapshots = sensors.groupBy(*keys).agg(F.count("*").alias("_sensors"))
@@ -131,13 +132,13 @@ def tessellated_cells(sensors: DataFrame, n: int) -> DataFrame:
     numbers = F.sequence(F.lit(0), F.lit(n - 1))
     cells = snapshots.select(*keys, F.explode(numbers).alias("i")).select(*keys, "i", F.explode(numbers).alias("j"))
     tile = lambda c: F.floor(F.col(c) / side).cast("int")
-    dealt = sensors.select(*keys, tile("si").alias("x"), tile("sj").alias("y"), "si", "sj", "sid", F.col("y").alias("v"))
+    dealt = stored(sensors.select(*keys, tile("si").alias("x"), tile("sj").alias("y"), "si", "sj", "sid", F.col("y").alias("v")))
     left, settled, ring = cells.withColumn("s", F.lit(None).cast("struct<d2:bigint,sid:int,v:double>")), None, 0
     while True:
         around = [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in range(-ring, ring + 1) for y in range(-ring, ring + 1) if max(abs(x), abs(y)) == ring]
         asked = left.select(*keys, "i", "j", F.explode(F.array(*around)).alias("o")).select(*keys, "i", "j", (tile("i") + F.col("o.x")).alias("x"), (tile("j") + F.col("o.y")).alias("y"))
         d2 = ((F.col("i") - F.col("si")) * (F.col("i") - F.col("si")) + (F.col("j") - F.col("sj")) * (F.col("j") - F.col("sj"))).cast("long")
-        met = asked.join(dealt, [*keys, "x", "y"]).groupBy(*keys, "i", "j").agg(F.min(F.struct(d2.alias("d2"), F.col("sid").cast("int").alias("sid"), F.col("v").cast("double").alias("v"))).alias("s"))
+        met = asked.join(dealt.hint("merge"), [*keys, "x", "y"]).groupBy(*keys, "i", "j").agg(F.min(F.struct(d2.alias("d2"), F.col("sid").cast("int").alias("sid"), F.col("v").cast("double").alias("v"))).alias("s"))
         now = left.select(*keys, "i", "j", "s").unionByName(met).groupBy(*keys, "i", "j").agg(F.min("s").alias("s"))  # passes over nulls
         at = lambda c: F.least(F.col(c) % side, side - 1 - F.col(c) % side)
         edge = F.least(at("i"), at("j")) + (ring * side + 1)

@@ -56,6 +56,19 @@ def test_join_and_batches_agree(spark):
             assert [joined[t, i, j] for i in range(n) for j in range(n)] == [(w, y[w]) for w in want.tolist()]
 
 
+def test_sensors_are_not_broadcast(spark, monkeypatch):
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(sensors, "stored", kept)
+    found = Q.QUERIES["voronoi_join"](spark, SMALL)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
 def test_no_sensors(spark):
     df = spark.createDataFrame([(0, 0, 2, [], [], [])], "run int, t long, n int, si array<int>, sj array<int>, y array<double>")
     assert sensors.tessellated(df).first().cell_sensor == [None] * 4
