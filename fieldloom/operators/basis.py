@@ -5,7 +5,7 @@ it in one pass over the stack a step, products added up in the tasks. Columns ar
 the block in one array; they are made orthonormal by a tall-skinny QR, whose small factors tasks make and a tree of shuffles merges. Only matrices
 of columns by columns come to the driver, where the projected problem is solved; its residuals say when to stop.
 
-A field of at most ``BLOCK`` cells is one block, and then nothing of the stack is shuffled. Of larger ones, the blocks meet by run and t in each
+A field of at most ``BLOCK`` cells is one block, whose columns go through the driver to all tasks, and then nothing of the stack is shuffled. Of larger ones, the blocks meet by run and t in each
 step. Fields of a stack must have the same number of cells. Keys (run, t) must not repeat where a field has several blocks.
 """
 
@@ -174,9 +174,22 @@ def _blocks(fields: DataFrame, column: str, cells: int) -> DataFrame:
     return fields.select("run", "t", column, numbers).select("run", "t", "block", F.slice(column, F.col("block") * BLOCK + 1, F.lit(BLOCK)).alias("x"))
 
 
+def _sent(columns: Columns):
+    """The columns of one block, at most ``BLOCK`` numbers each, on all executors: a row of the stack that had them beside it would be their size."""
+    return columns.table.sparkSession.sparkContext.broadcast(np.array(columns.table.first().v).reshape(columns.count, -1))
+
+
 def _with_products(fields: DataFrame, columns: Columns, column: str, cells: int) -> DataFrame:
-    """run, t, block, x, v and y, the products of the whole field with the columns."""
+    """run, t, block, x, v and y, the products of the whole field with the columns; without v if a field is one block, whose columns are sent to all tasks."""
     count = columns.count
+    if cells <= BLOCK and count:
+        sent = _sent(columns)
+
+        def alone(b: pa.RecordBatch) -> Iterator[list]:
+            yield [*b.columns, listed(stacked(b.column(3), (cells,)) @ sent.value.T)]
+
+        met = _blocks(fields, column, cells)
+        return _batches(met, f"{', '.join(f'{c} {kind}' for c, kind in met.dtypes)}, y array<double>", alone, [*met.columns, "y"])
 
     def step(b: pa.RecordBatch) -> Iterator[list]:
         y = np.stack([v.values.to_numpy().reshape(count, -1) @ x.values.to_numpy() for x, v in zip(b.column(3), b.column(4), strict=True)])
@@ -272,7 +285,14 @@ def restored(fields: DataFrame, basis: Basis, column: str = "field") -> DataFram
             yield [*[c.slice(k, 1) for c in b.columns[:3]], listed(x[None])]
 
     names = ["run", "t", "block", "x"]
-    met = _with_products(fields, basis.columns, column, basis.cells).select("run", "t", "block", "v", "y")
+    met = _with_products(fields, basis.columns, column, basis.cells)
+    if basis.cells <= BLOCK and count:
+        sent = _sent(basis.columns)
+
+        def step(b: pa.RecordBatch) -> Iterator[list]:  # noqa: F811
+            yield [*b.columns[:3], listed(stacked(b.column(3), (count,)) @ sent.value)]
+
+    met = met.select("run", "t", "block", *(c for c in ("v", "y") if c in met.columns))
     kinds = ", ".join(f"{c} {kind}" for c, kind in met.dtypes[:3])
     rows = _batches(met, f"{kinds}, x array<double>", step, names)
     return rows.select("run", "t", "block", F.posexplode("x").alias("p", "v")).select("run", "t", (F.col("block") * BLOCK + F.col("p")).alias("cell"), "v")

@@ -72,3 +72,10 @@ def test_empty_and_unequal(spark):
     assert B.leading(empty, 3).columns.count == 0
     with pytest.raises(ValueError):
         B.leading(stack(spark, np.ones((1, 4))).union(stack(spark, np.ones((1, 9)))), 2)
+
+
+def test_rows_of_one_block_do_not_carry_the_columns(spark):
+    df = stack(spark, decaying(20, 16))
+    found = B.leading(df, 4)
+    for rows in (B.restored(df, found), B.reduced(df, found)):
+        assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
