@@ -21,9 +21,11 @@ from fieldloom.operators.basis import summed
 from fieldloom.operators.batch import listed, map_fields, stacked
 from fieldloom.operators.covariance import moments
 from fieldloom.operators.metrics import running_best, weighted_loss
-from fieldloom.operators.selection import minibatches
+from fieldloom.operators.selection import in_batches
 from fieldloom.sources import stores
 
+DEALT = 1 << 20  # numbers of the rows that an epoch orders as one group
+
 
 def normal_equations(rows: DataFrame, inputs: str = "cell_value", target: str = "field") -> tuple[np.ndarray, np.ndarray]:
     """(cells + 1, cells + 1) and (cells + 1, cells): sums over the rows of the widened inputs' products with themselves and with the target, in one pass."""
@@ -115,37 +117,50 @@ def _stepped(state: np.ndarray, gradient: np.ndarray, step: int, rate: float) ->
     return np.stack([state[0] - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8), first, second])
 
 
-def steps_in_order(rows: DataFrame, state: np.ndarray, step: int, rate: float, ids: list[str], inputs: str = "cell_value", target: str = "field") -> tuple[int, int, float, np.ndarray]:
-    """Number of rows and of steps, mean loss and the state after a step for each ``batch`` of ``rows``, in order, from ``state`` after ``step`` steps; one task, which holds one batch."""
-    shape = state.shape[1:]
-    sent = rows.sparkSession.sparkContext.broadcast(state)
+def packed(dealt: DataFrame, inputs: str = "cell_value", target: str = "field") -> DataFrame:
+    """batch, place and rows: for rows of one batch that lie next to each other, the first one's place and (inputs, 1, target) of each as doubles in one binary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (stacked(b.column(k), (len(b.column(k)[0]),)) for k in (2, 3))
+                whole = np.hstack([x, np.ones((len(x), 1)), y])
+                number, place = b.column(0).to_numpy(), b.column(1).to_numpy()
+                first = np.flatnonzero(np.append(True, (np.diff(number) != 0) | (np.diff(place) != 1)))
+                pieces = [whole[low:high].tobytes() for low, high in zip(first, [*first[1:], len(whole)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(number[first]), pa.array(place[first]), pa.array(pieces, pa.binary())], ["batch", "place", "rows"])
+
+    return dealt.select("batch", "place", inputs, target).mapInArrow(run, "batch long, place long, rows binary")
+
+
+def steps_in_order(pieces: DataFrame, state: np.ndarray, step: int, rate: float) -> tuple[int, int, float, np.ndarray]:
+    """Number of rows and of steps, mean loss and the state after a step for each batch of ``packed`` rows, in order, from ``state`` after ``step`` steps; one task, which holds one batch."""
+    cells, wide = state.shape[1], sum(state.shape[1:])
+    sent = pieces.sparkSession.sparkContext.broadcast(state)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, done, n, losses, open_batch, held = sent.value, 0, 0, 0.0, None, []
 
         def close() -> None:
             nonlocal now, done, n, losses
-            x, y = (np.concatenate(z) for z in zip(*held, strict=True))
-            x = np.hstack([x, np.ones((len(x), 1))])
-            off = x @ now[0] - y
+            rows = np.concatenate(held) if len(held) > 1 else held[0]
+            x = rows[:, :cells]
+            off = x @ now[0] - rows[:, cells:]
             done, n, losses = done + 1, n + len(x), losses + float((off * off).mean()) * len(x)
             now = _stepped(now, 2 * x.T @ off / off.size, step + done, rate)
             held.clear()
 
         for b in batches:
-            numbers = b.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
-            for low, high in zip(cuts, cuts[1:], strict=False):
-                if low < high:
-                    if held and numbers[low] != open_batch:
-                        close()
-                    open_batch, some = numbers[low], b.slice(low, high - low)
-                    held.append((stacked(some.column(1), (shape[0] - 1,)), stacked(some.column(2), (shape[1],))))
+            for number, piece in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if held and number != open_batch:
+                    close()
+                open_batch = number
+                held.append(np.frombuffer(piece.as_buffer()).reshape(-1, wide))
         if held:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([done]), pa.array([losses / max(1, n)]), listed(now.reshape(1, -1))], ["n", "steps", "loss", "state"])
 
-    ordered = rows.coalesce(1).sortWithinPartitions("batch", *ids).select("batch", inputs, target)
+    ordered = pieces.coalesce(1).sortWithinPartitions("batch", "place").select("batch", "rows")
     r = ordered.mapInArrow(run, "n long, steps long, loss double, state array<double>").first()
     sent.destroy()
     return r.n, r.steps, r.loss, np.array(r.state).reshape(state.shape)
@@ -155,24 +170,27 @@ def trained_by_batches(train: DataFrame, validation: DataFrame, folder: str, epo
     """(epoch, loss, validation, best, improved) of training by mini-batches with Adam's steps from zero weights.
 
     Each epoch deals the rows anew into batches of ``size``, by hashes of ``ids``, and writes them under ``folder``, a folder for each part: as many batches in a row as
-    have at most ``most`` numbers. Steps follow each other, so a part is one task, which hands its weights and moments to the next part's; jobs grow with the parts, not with the batches.
+    have at most ``most`` numbers. Rows are shuffled once for it and packed where they then lie, so that all but the steps themselves is done in many tasks.
+    Steps follow each other, so a part is one task, which hands its weights and moments to the next part's; jobs grow with the parts, not with the batches.
     A batch of more numbers than half of ``most`` is a part of its own, and its gradient adds up in many tasks. The epoch's weights are kept under ``weights`` there, for ``best_weights``.
     """
     spark = train.sparkSession
-    widths = train.select(F.size(inputs), F.size(target)).first()
+    train.select(*ids, inputs, target).write.parquet(f"{folder}/rows")
+    train = spark.read.parquet(f"{folder}/rows")
+    widths, rows = train.select(F.size(inputs), F.size(target)).first(), train.count()
     state, step, history, checks = np.zeros((3, widths[0] + 1, widths[1])), 0, [], []
-    rows, per = train.count(), max(1, most // (size * (widths[0] + widths[1])))
-    parts = -(-rows // (size * per))
+    per = max(1, most // (size * (widths[0] + widths[1])))
+    parts, bins = -(-rows // (size * per)), 1 + rows * (widths[0] + widths[1]) // DEALT
     for epoch in range(epochs):
         place = f"{folder}/batches/{epoch}"
-        dealt = minibatches(train.select(*ids, inputs, target), size, seed, epoch, [], *ids).withColumn("part", F.floor(F.col("batch") / per))
-        dealt = dealt.repartition("part") if per > 1 else dealt
-        dealt.write.partitionBy("part").parquet(place)
+        dealt = in_batches(train, size, seed, epoch, [], *ids, bins=bins)
+        dealt = packed(dealt, inputs, target) if per > 1 else dealt
+        dealt.withColumn("part", F.floor(F.col("batch") / per)).write.partitionBy("part").parquet(place)
         dealt = spark.read.parquet(place)
         for part in range(parts):
             some = dealt.where(F.col("part") == part)
             if per > 1:
-                n, steps, loss, state = steps_in_order(some, state, step, rate, ids, inputs, target)
+                n, steps, loss, state = steps_in_order(some, state, step, rate)
             else:
                 n, loss, gradient = loss_and_gradient(some, state[0], inputs, target)
                 steps, state = 1, _stepped(state, gradient, step + 1, rate)

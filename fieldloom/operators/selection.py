@@ -39,9 +39,14 @@ def train_val_split(rows: DataFrame, share: float, seed: int, *ids: str, bins: i
 
 def minibatches(rows: DataFrame, size: int, seed: int, epoch: int, keys: list[str], *ids: str, bins: int = 1024) -> DataFrame:
     """``rows`` with batch: shuffled anew each epoch within ``keys`` and cut into runs of ``size``."""
+    return in_batches(rows, size, seed, epoch, keys, *ids, bins=bins).drop("place")
+
+
+def in_batches(rows: DataFrame, size: int, seed: int, epoch: int, keys: list[str], *ids: str, bins: int = 1024) -> DataFrame:
+    """The same with place, from 0, in the batch. Without ``keys`` rows are shuffled once, into ``bins`` groups about alike in size, and lie in order in their group."""
     shuffled = rows.withColumn("_u", uniform(*[F.col(c) for c in ids], F.lit(seed), F.lit(epoch)))
-    placed = numbered(shuffled, keys, ["_u", *ids], 1 / bins)
-    return placed.withColumn("batch", F.floor(F.col("position") / size)).drop("_u", "position", "total")
+    placed = numbered(shuffled, keys, ["_u", *ids], 1 / bins, few=not keys)
+    return placed.withColumn("batch", F.floor(F.col("position") / size)).withColumn("place", F.col("position") % size).drop("_u", "position", "total")
 
 
 def guard(packed: DataFrame, limit: float = 1.5e5, column: str = "field") -> DataFrame:

@@ -27,17 +27,18 @@ def beside(rows: DataFrame, per: DataFrame, keys: list[str]) -> DataFrame:
     return rows.alias("r").join(per.alias("p"), same).select("r.*", *[F.col(f"p.{c}") for c in per.columns if c not in keys])
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[str], width: float = BUCKET) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], order: list[str], width: float = BUCKET, few: bool = False) -> DataFrame:
     """``rows`` with position, from 0, in ``order`` within ``keys``, and total, the rows of those keys.
 
-    The first of ``order`` is a number, cut into buckets of ``width``.
+    The first of ``order`` is a number, cut into buckets of ``width``. Where keys and buckets are ``few``, what is known of each is broadcast,
+    so that rows are shuffled once, and come in order of the keys' buckets.
     """
     bucketed = rows.withColumn("_bucket", F.floor(F.col(order[0]) / width))
     whole = Window.partitionBy(*keys)
     counts = bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_here"))
     starts = counts.select(*keys, "_bucket", (F.sum("_here").over(whole.orderBy("_bucket")) - F.col("_here")).alias("_start"), F.sum("_here").over(whole).alias("total"))
     within = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)) - 1
-    placed = beside(bucketed.withColumn("_at", within), starts, [*keys, "_bucket"])
+    placed = beside(bucketed.withColumn("_at", within), F.broadcast(starts) if few else starts, [*keys, "_bucket"])
     return placed.withColumn("position", F.col("_at") + F.col("_start")).drop("_bucket", "_at", "_start")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +96,33 @@ def test_penalties_share_their_passes(spark):
 def test_rows_are_tessellated_after_the_split(spark):
     for part in Q.training(spark, SMALL):
         assert part._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_an_epoch_shuffles_rows_once(spark):
+    train, _ = Q.training(spark, SMALL)
+    name, rows = "spark.sql.autoBroadcastJoinThreshold", train.localCheckpoint().select("run", "t", "cell_value", "field")
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")  # as for rows that are many
+    try:
+        dealt = selection.minibatches(rows, 128, 0, 0, [], "run", "t")
+        plan = dealt._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set(name, before)
+    assert len(re.findall(r"\) Exchange\nInput.*field#", plan)) == 1
+
+
+def test_packed_rows_and_groups_of_any_size(spark, tmp_path, monkeypatch):
+    train, validation = (x.localCheckpoint() for x in Q.training(spark, SMALL))
+    dealt = selection.in_batches(train, 16, 0, 0, [], "run", "t", bins=7).localCheckpoint()
+    want = {(r.batch, r.place): [*r.cell_value, 1.0, *r.field] for r in dealt.collect()}
+    got = {}
+    for r in learning.packed(dealt).collect():
+        for k, row in enumerate(np.frombuffer(r["rows"]).reshape(-1, 129).tolist()):
+            got[r.batch, r.place + k] = row
+    assert len(want) == train.count() and got == want
+    found = []
+    for dealt_at_once in (1 << 20, 1 << 10):
+        monkeypatch.setattr(learning, "DEALT", dealt_at_once)
+        history = learning.trained_by_batches(train, validation, str(tmp_path / str(dealt_at_once)), 2, 32, 0.01, ["run", "t"])
+        found.append([tuple(r) for r in history.orderBy("epoch").collect()])
+    np.testing.assert_allclose(np.array(found[1], float), np.array(found[0], float), rtol=1e-9)
