@@ -82,9 +82,9 @@ class Words:
 
 
 def prefix_hash(data: np.ndarray, table: np.ndarray = _EXACT) -> np.ndarray:
-    """P with P[j] - P[i] the polynomial hash of data[i:j], times base^i."""
+    """P with P[j] - P[i] the polynomial hash of data[i:j], times base^i; 64-bit data (hashes of words) is its own table."""
     out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(table[data] * _power_table(_BASE, len(data)), out=out[1:])
+    np.cumsum((data if data.dtype == np.uint64 else table[data]) * _power_table(_BASE, len(data)), out=out[1:])
     return out
 
 
