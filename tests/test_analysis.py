@@ -89,3 +89,34 @@ def test_every_snapshot(spark):
     history = Q.QUERIES["analysis_cost_history"](spark, SMALL)
     ends = history.groupBy("run", "t").agg(F.max_by("cost", "step").alias("last"), F.min_by("cost", "step").alias("first"))
     assert ends.where("last > first").isEmpty() and ends.count() == found.count()
+
+
+def test_rows_minimised_together_are_as_alone():
+    rng = np.random.default_rng(8)
+    q = np.linalg.qr(rng.standard_normal((6, 20, 20)))[0]
+    a = q @ (np.array([1, 1, 10, 1e3, 1e6, 1])[:, None, None] ** np.linspace(0, 1, 20)[None, :, None] * q.swapaxes(1, 2))
+    b = rng.standard_normal((6, 20))
+    b[0], b[5] = 0, np.nan  # at its minimum from the start, and never anywhere
+
+    def some(x, rows):
+        ax = (a[rows] @ x[..., None])[..., 0]
+        return 0.5 * (x * ax).sum(1) - (b[rows] * x).sum(1), ax - b[rows]
+
+    x, iterations, costs = assimilation.minimised(some, np.zeros((6, 20)), 60, memory=4)
+    assert iterations[0] == 0 and len(set(iterations.tolist())) >= 4 and np.isnan(x[5]).all()
+    np.testing.assert_allclose(x[:3], np.linalg.solve(a[:3], b[:3, :, None])[..., 0], atol=1e-3)
+    for k in range(6):
+        alone = assimilation.minimise(lambda z, k=k: tuple(v[0] for v in some(z[None], [k])), np.zeros(20), 60, memory=4)
+        np.testing.assert_array_equal(alone[0], x[k])
+        assert alone[1] == iterations[k] and str(alone[2]) == str(costs[k])
+
+
+def test_sides_and_numbers_of_sensors_differ_in_a_batch(spark):
+    rng = np.random.default_rng(9)
+    kinds = [(6, 7), (4, 3), (6, 2), (6, 0), (6, 7)]
+    rows = [(k, n, rng.standard_normal(n * n).tolist(), rng.integers(0, n, m).tolist(), rng.integers(0, n, m).tolist(), rng.standard_normal(m).tolist()) for k, (n, m) in enumerate(kinds)]
+    df = spark.createDataFrame(rows, "t int, n int, x_b array<double>, si array<int>, sj array<int>, y array<double>").coalesce(1)
+    found = assimilation.analysed(df, 1.0, 0.3, STD).collect()
+    assert [r.t for r in found] == [0, 1, 2, 3, 4] and found[3].x_da == rows[3][2]
+    for r in found:
+        assert assimilation.analysed(df.where(F.col("t") == r.t), 1.0, 0.3, STD).collect() == [r]
