@@ -49,7 +49,7 @@ def minimised(objective: Objectives, x: np.ndarray, rounds: int = 200, tolerance
     """
     ids, out, iterations = np.arange(len(x)), x.copy(), np.full(len(x), rounds)
     cost, gradient = objective(x, ids)
-    history, kept = [[c] for c in cost.tolist()], deque(maxlen=memory)  # kept: s, y and rho of all rows, zeros where a row has none
+    history, kept = [[c] for c in cost.tolist()], deque(maxlen=memory)  # kept: s, y, both over their product, and the step's size, of all rows; zeros where a row has none
 
     def settle(rows: np.ndarray, done: int | np.ndarray) -> None:
         """Notes down ``rows`` and goes on with the others."""
@@ -65,17 +65,14 @@ def minimised(objective: Objectives, x: np.ndarray, rounds: int = 200, tolerance
         if not len(ids):
             break
         # Two-loop recursion over the kept steps.
-        d, alphas = -gradient, []
-        for s, y, rho in reversed(kept):
-            alphas.append(_dot(rho[:, None] * s, d))
-            d -= alphas[-1][:, None] * y
+        d, alphas, part = -gradient, [], np.empty_like(gradient)
+        for _, y, over_s, _, _ in reversed(kept):
+            alphas.append(_dot(over_s, d))
+            d -= np.multiply(alphas[-1][:, None], y, out=part)
         size = 1 / np.maximum(1.0, np.sqrt(_dot(gradient, gradient)))
-        if kept:
-            s, y, rho = kept[-1]
-            size = np.divide(_dot(s, y), _dot(y, y), out=size, where=rho > 0)
-        d *= size[:, None]
-        for (s, y, rho), alpha in zip(kept, reversed(alphas), strict=True):
-            d += (alpha - _dot(rho[:, None] * y, d))[:, None] * s
+        d *= (np.where(kept[-1][4] > 0, kept[-1][4], size) if kept else size)[:, None]
+        for (s, _, _, over_y, _), alpha in zip(kept, reversed(alphas), strict=True):
+            d += np.multiply((alpha - _dot(over_y, d))[:, None], s, out=part)
         slope = _dot(gradient, d)
         if (up := slope >= 0).any():
             for pair in kept:
@@ -98,13 +95,15 @@ def minimised(objective: Objectives, x: np.ndarray, rounds: int = 200, tolerance
                 break
             step[left] = np.where(np.isfinite(high[left]), (low[left] + high[left]) / 2, 2 * step[left])
         s, y = tried[:, None] * d, new_gradient - gradient
-        sy = _dot(s, y)
-        if (curved := sy > 1e-12 * _dot(y, y)).all():
-            kept.append((s, y, 1 / sy))
+        sy, yy = _dot(s, y), _dot(y, y)
+        curved = sy > 1e-12 * yy
+        rho, size = (np.divide(a, b, out=np.zeros_like(sy), where=curved) for a, b in ((1.0, sy), (sy, yy)))
+        new = (s, y, rho[:, None] * s, rho[:, None] * y, size)
+        if curved.all():
+            kept.append(new)
         else:  # a row without a new step keeps all it has
-            rho = np.divide(1.0, sy, out=np.zeros_like(sy), where=curved)
-            kept.extendleft([tuple(np.zeros_like(v) for v in (s, y, rho))] * (memory - len(kept)))
-            later = [*list(kept)[1:], (s, y, rho)]
+            kept.extendleft([tuple(np.zeros_like(v) for v in new)] * (memory - len(kept)))
+            later = [*list(kept)[1:], new]
             kept.extend([tuple(np.where(curved if a.ndim == 1 else curved[:, None], b, a) for a, b in zip(*both, strict=True)) for both in zip(list(kept), later, strict=True)])
         decrease = (cost - new_cost) / np.maximum(np.maximum(np.abs(cost), np.abs(new_cost)), 1.0)
         risen = new_cost > cost
